@@ -1,0 +1,44 @@
+"""Writers for acquisitions and items."""
+
+from pyspark.sql import DataFrame, functions as F
+
+from hoardbook.operators.imports import Import, rule_rejects, without_rejects
+from hoardbook.schemas import TABLES
+from hoardbook.sources.staging import staged
+
+
+def append_rows(
+    df: DataFrame, table: str, path: str, import_id: str, cluster_by: list[str]
+) -> None:
+    """Add rows under their import's own partition, clustered for key lookups.
+
+    Rows are range-partitioned and sorted by ``cluster_by``, whose last column is unique: files
+    have narrow key ranges to skip by, and a box with very many items spans several files.
+    Writing the same import again replaces what it wrote before.
+    """
+    (
+        df.select(*TABLES[table].names).withColumn("import_id", F.lit(import_id))
+        .repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("import_id").parquet(path)
+    )
+
+
+def write_import(result: Import, folder: str, import_id: str) -> DataFrame:
+    """Store the batches that satisfy every table rule; returns the rejected ones.
+
+    A batch is stored whole or not at all. Acquisitions and items are staged first, so both
+    tables are written from the same rows.
+    """
+    boxes = staged(result.acquisitions, "import-acquisition")
+    items = staged(result.items, "import-item")
+    rejects = staged(rule_rejects(Import(boxes, items)), "import-reject")
+    append_rows(
+        without_rejects(boxes, rejects, ["acquisition_id"]), "acquisition",
+        f"{folder}/acquisition", import_id, ["acquisition_id"],
+    )
+    append_rows(
+        without_rejects(items, rejects, ["item_id"]), "item",
+        f"{folder}/item", import_id, ["acquisition_id", "item_id"],
+    )
+    return rejects
