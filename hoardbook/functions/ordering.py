@@ -15,6 +15,11 @@ def desc_nulls_last(name: str) -> Column:
     return F.col(name).desc_nulls_last()
 
 
-def pick(sorts: dict[str, list[Column]], key: str, default: str) -> list[Column]:
+def columns(order: list[tuple]) -> list[Column]:
+    """Sort columns of an order written as (direction, column name) pairs."""
+    return [direction(name) for direction, name in order]
+
+
+def pick(sorts: dict[str, list[tuple]], key: str, default: str) -> list[Column]:
     """Named sort order; an unknown name gives the default."""
-    return sorts.get(key, sorts[default])
+    return columns(sorts.get(key, sorts[default]))

@@ -3,7 +3,7 @@
 One implementation serves movies and games; a ``CollectionSpec`` names their columns.
 """
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -29,12 +29,12 @@ class CollectionSpec:
     purchase_copy: str
     base: dict[str, str]
     search_columns: list[str]
-    sorts: dict[str, list[Column]] = field(hash=False)
-    title_columns: list[str] = field(default_factory=list)
-    copy_columns: dict[str, str] = field(default_factory=dict)
-    probe_columns: list[str] = field(default_factory=list)
-    copies_label: str = "copy_count"
-    detail_sort: list[Column] = field(default_factory=list, hash=False)
+    sorts: dict[str, list[tuple]]
+    title_columns: list[str]
+    copy_columns: dict[str, str]
+    probe_columns: list[str]
+    copies_label: str
+    detail_sort: list[tuple]
     drop_no_date: bool = False
 
 
@@ -54,12 +54,12 @@ MEDIA = CollectionSpec(
     },
     search_columns=["title", "season_name"],
     sorts={
-        "title": [o.asc("title")],
-        "acquired_desc": [o.desc_nulls_last("purchase_date"), o.asc("title")],
-        "acquired_asc": [o.asc("purchase_date"), o.asc("title")],
-        "cost_desc": [o.desc_nulls_last("cost")],
-        "cost_asc": [o.asc("cost")],
-        "genre": [o.asc("genre"), o.asc("title")],
+        "title": [(o.asc, "title")],
+        "acquired_desc": [(o.desc_nulls_last, "purchase_date"), (o.asc, "title")],
+        "acquired_asc": [(o.asc, "purchase_date"), (o.asc, "title")],
+        "cost_desc": [(o.desc_nulls_last, "cost")],
+        "cost_asc": [(o.asc, "cost")],
+        "genre": [(o.asc, "genre"), (o.asc, "title")],
     },
     title_columns=["id", "title", "type", "genre", "total_seasons", "ongoing_ind",
                    "complete_collection", "brand", "tmdb_id"],
@@ -74,7 +74,7 @@ MEDIA = CollectionSpec(
     probe_columns=["id", "title", "type", "genre", "tmdb_id", "total_seasons",
                    "complete_collection"],
     copies_label="disk_count",
-    detail_sort=[o.asc("season_number"), o.asc("season_part"), o.asc("purchase_date")],
+    detail_sort=[(o.asc, "season_number"), (o.asc, "season_part"), (o.asc, "purchase_date")],
     drop_no_date=True,
 )
 
@@ -94,13 +94,13 @@ GAMES = CollectionSpec(
     },
     search_columns=["title", "franchise"],
     sorts={
-        "title": [o.asc("title")],
-        "acquired_desc": [o.desc_nulls_last("purchase_date"), o.asc("title")],
-        "acquired_asc": [o.asc("purchase_date"), o.asc("title")],
-        "cost_desc": [o.desc_nulls_last("cost")],
-        "cost_asc": [o.asc("cost")],
-        "platform": [o.asc("platform"), o.asc("title")],
-        "year_desc": [o.desc_nulls_last("release_year"), o.asc("title")],
+        "title": [(o.asc, "title")],
+        "acquired_desc": [(o.desc_nulls_last, "purchase_date"), (o.asc, "title")],
+        "acquired_asc": [(o.asc, "purchase_date"), (o.asc, "title")],
+        "cost_desc": [(o.desc_nulls_last, "cost")],
+        "cost_asc": [(o.asc, "cost")],
+        "platform": [(o.asc, "platform"), (o.asc, "title")],
+        "year_desc": [(o.desc_nulls_last, "release_year"), (o.asc, "title")],
     },
     title_columns=["id", "title", "franchise", "genre", "developer", "publisher",
                    "release_year", "rawg_id", "complete_collection"],
@@ -111,7 +111,7 @@ GAMES = CollectionSpec(
     },
     probe_columns=["id", "title", "franchise", "genre", "rawg_id", "developer"],
     copies_label="copy_count",
-    detail_sort=[o.asc("platform"), o.asc("purchase_date")],
+    detail_sort=[(o.asc, "platform"), (o.asc, "purchase_date")],
 )
 
 DEFAULT_SORT = "title"
@@ -263,7 +263,7 @@ def title_detail(
     }
     columns = {"title_id": f"c.{spec.copy_title}", **spec.copy_columns, **purchase}
     return rows.selectExpr(*[f"{sql} as {name}" for name, sql in columns.items()]).orderBy(
-        "title_id", *spec.detail_sort, spec.copy_id, o.asc("purchase_id")
+        "title_id", *o.columns(spec.detail_sort), spec.copy_id, o.asc("purchase_id")
     )
 
 

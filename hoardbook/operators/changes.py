@@ -21,7 +21,6 @@ TICKED = ["on", "true", "1"]
 FEES = ["shipping_charged", "marketplace_fee", "processing_fee", "promo_fee", "shipping_paid",
         "supplies_cost"]
 GRADING_FEES = ["grading_fee", "grading_ship", "grading_extra"]
-ZERO = F.lit(0)
 
 
 @dataclass(frozen=True)
@@ -66,7 +65,7 @@ def event_rejects(events: DataFrame) -> DataFrame:
         F.when(_is("edit") & (no_status | outside("status", ITEM_STATUSES)), "status"),
         F.when(_is("edit") & outside("condition", CONDITIONS), "condition"),
         F.when(_is("sale") & _date("sale_date").isNull(), "sale_date"),
-        F.when(_is("sale") & (money(_entered("gross_price"), ZERO) < 0), "gross_price"),
+        F.when(_is("sale") & (money(_entered("gross_price"), F.lit(0)) < 0), "gross_price"),
         F.when(_is("grade") & outside("grader", GRADERS), "grader"),
         F.when(_is("grade") & outside("status", ITEM_STATUSES), "status"),
         F.when(_is("grade") & grade_lost, "grade"),
@@ -104,7 +103,7 @@ def _writes() -> dict[str, list[tuple[Column, Column]]]:
         "grade_date": [(grade, _date("grade_date"))],
     }
     for fee in GRADING_FEES:
-        plans[fee] = [(grade, money(_entered(fee), ZERO))]
+        plans[fee] = [(grade, money(_entered(fee), F.lit(0)))]
     return plans
 
 
@@ -144,8 +143,8 @@ def new_sales(events: DataFrame, items: DataFrame, sales: DataFrame) -> DataFram
     ).select(
         "event_id", "item_id", _date("sale_date").alias("sale_date"),
         _entered("channel").alias("channel"),
-        money(_entered("gross_price"), ZERO).alias("gross_price"),
-        *[money(_entered(f), ZERO).alias(f) for f in FEES],
+        money(_entered("gross_price"), F.lit(0)).alias("gross_price"),
+        *[money(_entered(f), F.lit(0)).alias(f) for f in FEES],
         _entered("notes").alias("notes"),
     )
     return conform(assign_keys(rows, ["event_id"], "sale_id", sales), "sale")

@@ -13,13 +13,13 @@ POSTERS = 24
 SUM = "decimal(22,2)"
 
 COLLECTION_SORTS = {
-    "name": [o.asc("name")],
-    "value_desc": [o.desc_nulls_last("market_value")],
-    "value_asc": [o.asc("market_value")],
-    "acquired_desc": [o.desc_nulls_last("purchase_date"), o.asc("name")],
-    "acquired_asc": [o.asc("purchase_date"), o.asc("name")],
-    "basis_desc": [o.desc_nulls_last("total_basis")],
-    "status": [o.asc("status"), o.asc("name")],
+    "name": [(o.asc, "name")],
+    "value_desc": [(o.desc_nulls_last, "market_value")],
+    "value_asc": [(o.asc, "market_value")],
+    "acquired_desc": [(o.desc_nulls_last, "purchase_date"), (o.asc, "name")],
+    "acquired_asc": [(o.asc, "purchase_date"), (o.asc, "name")],
+    "basis_desc": [(o.desc_nulls_last, "total_basis")],
+    "status": [(o.asc, "status"), (o.asc, "name")],
 }
 DEFAULT_SORT = "name"
 
