@@ -90,7 +90,7 @@ RELATIONS = {
             case when s.sale_id is not null
                 then s.net_proceeds - (i.cost_basis + i.grading_total) end as realized_profit,
             case when s.sale_id is not null
-                then s.sale_date - a.purchase_date end as holding_days,
+                then cast(s.sale_date - a.purchase_date as integer) end as holding_days,
             a.purchase_date, a.source, a.product_type, a.description as acquisition_description
         from item i join acquisition a on a.acquisition_id = i.acquisition_id
         left join sale s on s.item_id = i.item_id""",
@@ -260,23 +260,26 @@ RELATIONS = {
     "sealed_box": """
         select *, (select max(o_orderkey) from orders) + row_number() over (
                 order by md5(cast(batch_id as varchar)), batch_id) as acquisition_id,
-            (select count(*) from lineitem) + coalesce(sum(n_cards) over (
+            cast((select count(*) from lineitem) + coalesce(sum(n_cards) over (
                 order by md5(cast(batch_id as varchar)), batch_id
-                rows between unbounded preceding and 1 preceding), 0) as first_item
+                rows between unbounded preceding and 1 preceding), 0) as bigint)
+                as first_item
         from planned where batch_id in (select batch_id from accepted where mode = 'sealed')""",
     "single_box": """
         select *, (select max(o_orderkey) from orders) + row_number() over (
                 order by md5(cast(batch_id as varchar)), batch_id) as acquisition_id,
-            (select count(*) from lineitem) + coalesce(sum(n_cards) over (
+            cast((select count(*) from lineitem) + coalesce(sum(n_cards) over (
                 order by md5(cast(batch_id as varchar)), batch_id
-                rows between unbounded preceding and 1 preceding), 0) as first_item
+                rows between unbounded preceding and 1 preceding), 0) as bigint)
+                as first_item
         from planned where batch_id in (select batch_id from accepted where mode = 'singles')""",
     "append_batch": f"""
         select b.batch_id, cast(acquisition_id as bigint) as acquisition_id, n_cards,
             {whole('packs_now')} as packs_now,
-            (select count(*) from lineitem) + coalesce(sum(n_cards) over (
+            cast((select count(*) from lineitem) + coalesce(sum(n_cards) over (
                 order by md5(cast(b.batch_id as varchar)), b.batch_id
-                rows between unbounded preceding and 1 preceding), 0) as first_item
+                rows between unbounded preceding and 1 preceding), 0) as bigint)
+                as first_item
         from batch b where batch_id in (select batch_id from accepted where mode = 'append')""",
     "append_box": """
         select a.* exclude (packs_opened, status), cast(case when more is null then packs_opened
@@ -315,9 +318,10 @@ RELATIONS = {
                 as total_cost,
             (select max(o_orderkey) from orders) + row_number() over (
                 order by md5(cast(batch_id as varchar)), batch_id) as acquisition_id,
-            (select count(*) from lineitem) + coalesce(sum(n_cards) over (
+            cast((select count(*) from lineitem) + coalesce(sum(n_cards) over (
                 order by md5(cast(batch_id as varchar)), batch_id
-                rows between unbounded preceding and 1 preceding), 0) as first_item
+                rows between unbounded preceding and 1 preceding), 0) as bigint)
+                as first_item
         from (select batch_id, n_cards, basis, given, cast(purchase_date as date) as purchase_date,
             nullif(description, '') as description, coalesce(game, 'weiss') as game,
             coalesce(product_type, 'sealed_box') as product_type, set_code,
@@ -410,8 +414,8 @@ def _dup_check(probe: str, table: str, copies_table: str, title_key: str, column
     listed = ", ".join(f"t.{c}" for c in columns.split(", "))
     return f"""
         select p.probe, position, {columns}, {label} from (
-            select p.probe, {listed}, row_number() over (partition by p.probe
-                order by t.title, t.id) as position,
+            select p.probe, {listed}, cast(row_number() over (partition by p.probe
+                order by t.title, t.id) as integer) as position,
                 (select count(*) from {copies_table} c where c.{title_key} = t.id) as {label}
             from (select distinct {strip('probe')} as probe from ({probe})
                 where {filled('probe')} is not null) p
@@ -730,16 +734,16 @@ QUERIES = {
             s.net_proceeds - (i.cost_basis + i.grading_total) as profit_after_grading
         from item i join sale s on s.item_id = i.item_id where i.grader is not null""",
     "grading_history": """
-        select * exclude (sale_id) from (select a.query_name, g.*, row_number() over (
+        select * exclude (sale_id) from (select a.query_name, g.*, cast(row_number() over (
             partition by a.query_name order by g.sale_date desc nulls last, g.item_id desc,
-                g.sale_id) as position
+                g.sale_id) as integer) as position
         from (select distinct case p_partkey%5 when 0 then upper(p_name)
                 when 1 then replace(p_name, 'a', '_') when 2 then left(p_name, 4)||'%'
                 when 3 then '%'||right(p_name, 5) else p_name end as query_name from part) a
         join graded_copies g on g.name ilike a.query_name) where position <= 5""",
     "grading_report": """
         select r.item_id, r.name, r.tier, r.reason, r.est_upside,
-            coalesce(len(h.items), 0) as n_history, h.items[1] as latest_item,
+            cast(coalesce(len(h.items), 0) as integer) as n_history, h.items[1] as latest_item,
             h.profits[1] as latest_profit,
             coalesce(list_aggregate(h.items, 'string_agg', ','), '') as history_items
         from reasons r left join (select name, list(item_id order by position) as items,
@@ -753,17 +757,18 @@ QUERIES = {
     # Intake
     "intake_normalize": "select * exclude (l_suppkey) from normal",
     "intake_summary": f"""
-        select *, mixed_count > 1 as mixed from (
+        select * exclude (n_games), n_games > 1 as mixed from (
             select batch_id, cast(sum(quantity) as bigint) as n_cards,
             arg_min(set_code, row_pos) filter (coalesce(set_code, '') <> '') as set_code,
             string_agg(distinct game, ',' order by game) as games,
             cast(coalesce(sum(market_value * quantity), 0) as {SUMS}) as total_value,
             cast(coalesce(sum(paid * quantity), 0) as {SUMS}) as sum_paid,
             bool_or(paid is not null) as paid_seen, bool_or(has_paid_column) as has_paid_column,
-            count(distinct game) as mixed_count
+            count(distinct game) as n_games
         from normal group by batch_id)""",
     "intake_expand_qty": """
-        select batch_id, row_pos, unnest(range(quantity)) as copy_no, name, variant from normal""",
+        select batch_id, row_pos, cast(unnest(range(quantity)) as integer) as copy_no, name, variant
+        from normal""",
     "scalar_clean_number": f"""
         select line_id, {number('text')} as number, {amount('text')} as amount,
             coalesce({amount('text')}, 0) as amount_or_zero, {whole('text')} as whole,
@@ -844,7 +849,8 @@ QUERIES = {
             item_id, cast(f_sale_date as date), nullif(f_channel, ''),
             cast(f_gross_price as decimal(12,2)), 0, cast(f_marketplace_fee as decimal(12,2)), 0,
             0, 0, 0,
-            cast(f_gross_price as decimal(12,2)) - cast(f_marketplace_fee as decimal(12,2))
+            cast(cast(f_gross_price as decimal(12,2)) - cast(f_marketplace_fee as decimal(12,2))
+                as decimal(12,2))
         from good_event where kind = 'sale' and item_id <= (select count(*) from lineitem)""",
     "change_rejects": "select * from bad_event",
     "backfill_game": """
@@ -888,7 +894,7 @@ QUERIES = {
         select h.query_id, h.position, h.tmdb_id, n.name as genre from media_hit h
         left join genre n on n.media_type = h.media_type and n.id = h.first_genre_id""",
     "metadata_game_hits": f"""
-        select query_id, i as position, id as rawg_id, coalesce(name, '') as title,
+        select query_id, cast(i as integer) as position, id as rawg_id, coalesce(name, '') as title,
             coalesce(left(released, 4), '') as year, coalesce(genre, '') as genre,
             coalesce(background_image, '') as cover
         from ({_results("part", "p_partkey", m.GAME_RESULTS, {**m.GAME_RESULT, "genre": m.GAME_GENRE})})
@@ -904,7 +910,8 @@ QUERIES = {
             from (select *, 1 as i from customer))""",
 }
 RELATIONS["media_hit"] = f"""
-    select query_id, row_number() over (partition by query_id order by i) as position,
+    select query_id, cast(row_number() over (partition by query_id order by i) as integer)
+            as position,
         id as tmdb_id, coalesce(nullif(title, ''), nullif(name, ''), '') as title,
         left(coalesce(release_date, first_air_date, ''), 4) as year,
         case when media_type = 'movie' then 'movie' else 'tv_show' end as type, media_type,
