@@ -1,4 +1,4 @@
-"""Expressions that read the card fields of an export row."""
+"""Expressions that read the card fields of an export row, trimmed as the reader leaves them."""
 
 from pyspark.sql import Column, functions as F
 
@@ -22,7 +22,7 @@ PAID_HEADERS = ["paid", "cost", "purchase price", "my cost", "price paid", "paid
 
 def _lookup(value: Column, codes: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
-    return F.try_element_at(table, F.lower(strip(value)))
+    return F.try_element_at(table, F.lower(value))
 
 
 def condition_code(value: Column) -> Column:
@@ -36,16 +36,15 @@ def game_code(product_line: Column) -> Column:
 
 def collector_number(number: Column, rarity: Column) -> Column:
     """Number without its last word when that word repeats the rarity."""
-    text = strip(number)
-    tail = F.substring_index(text, " ", -1)
-    head = F.left(text, F.length(text) - F.length(tail) - 1)
+    tail = F.substring_index(number, " ", -1)
+    head = F.left(number, F.length(number) - F.length(tail) - 1)
     repeats = (
-        F.contains(text, F.lit(" ")) & (F.length(head) > 0)
-        & (F.lower(strip(rarity)) != "") & (F.lower(strip(tail)) == F.lower(strip(rarity)))
+        F.contains(number, F.lit(" ")) & (rarity != "")
+        & (F.lower(strip(tail)) == F.lower(rarity))
+    )
+    return F.when(F.coalesce(repeats, F.lit(False)), strip(head)).otherwise(
+        F.nullif(number, F.lit(""))
     )
-    return F.when(F.coalesce(number, F.lit("")) == "", None).when(
-        F.coalesce(repeats, F.lit(False)), strip(head)
-    ).otherwise(text)
 
 
 def set_code(game: Column, number: Column, set_name: Column) -> Column:
@@ -58,7 +57,7 @@ def set_code(game: Column, number: Column, set_name: Column) -> Column:
 def legacy_collector_number(number: Column) -> Column:
     """Older rule: the last word always goes."""
     return F.when(
-        F.coalesce(number, F.lit("")) != "", strip(F.regexp_replace(number, "(?s) [^ ]*$", ""))
+        number != "", strip(F.regexp_replace(number, "(?s) [^ ]*$", ""))
     )
 
 

@@ -2,18 +2,18 @@
 
 from pyspark.sql import Column, functions as F
 
-from hoardbook.functions.text import strip
+from hoardbook.functions.text import WHITE_SPACE, strip
 from hoardbook.schemas import MONEY
 
 _DIGITS = r"[0-9]+(_[0-9]+)*"
-_NUMBER = rf"^[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+_SPACE = f"[{WHITE_SPACE}]*"
+_NUMBER = rf"^{_SPACE}[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?{_SPACE}$"
 _SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
 
 
 def _digits(value: Column) -> Column:
     """The text of a finite number, else null."""
-    text = strip(value)
-    return F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")))
+    return F.when(value.rlike(_NUMBER), F.replace(strip(value), F.lit("_"), F.lit("")))
 
 
 def clean_number(value: Column) -> Column:

@@ -6,9 +6,16 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
+# Every character that counts as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(value: Column) -> Column:
     """Trim every kind of Unicode white space, not blanks alone."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(value: Column) -> Column:

@@ -20,7 +20,7 @@ PROBE_LIMIT = 5
 
 @dataclass(frozen=True)
 class CollectionSpec:
-    """Column names of one catalogue. The base columns are SQL over aliases t, c and p."""
+    """Column names of one catalogue. The base columns are SQL over prefixes t_, c_ and p_."""
 
     name: str
     title_id: str
@@ -42,15 +42,15 @@ MEDIA = CollectionSpec(
     name="media", title_id="media_title_id", copy_id="dvd_id", copy_title="media_title_id",
     purchase_copy="dvd_item_id",
     base={
-        "media_title_id": "t.id", "dvd_med_id": "c.media_title_id", "dvd_id": "c.id",
-        "pi_dvd_id": "p.dvd_item_id", "pi_id": "p.id", "type": "t.type", "genre": "t.genre",
-        "title": "t.title", "season_name": "c.season_name", "season_number": "c.season_number",
-        "season_part": "c.season_part", "location_label": "c.location_label",
-        "purchase_date": "p.purchase_date", "cost": "p.cost", "store": "p.store",
-        "condition": "p.condition", "notes": "p.notes", "box_set": "c.box_set",
-        "complete_season": "c.complete_season", "category": "c.category",
-        "complete_collection": "t.complete_collection", "disk_type": "c.disk_type",
-        "file_size": "c.file_size", "tmdb_id": "coalesce(c.tmdb_id, t.tmdb_id)",
+        "media_title_id": "t_id", "dvd_med_id": "c_media_title_id", "dvd_id": "c_id",
+        "pi_dvd_id": "p_dvd_item_id", "pi_id": "p_id", "type": "t_type", "genre": "t_genre",
+        "title": "t_title", "season_name": "c_season_name", "season_number": "c_season_number",
+        "season_part": "c_season_part", "location_label": "c_location_label",
+        "purchase_date": "p_purchase_date", "cost": "p_cost", "store": "p_store",
+        "condition": "p_condition", "notes": "p_notes", "box_set": "c_box_set",
+        "complete_season": "c_complete_season", "category": "c_category",
+        "complete_collection": "t_complete_collection", "disk_type": "c_disk_type",
+        "file_size": "c_file_size", "tmdb_id": "coalesce(c_tmdb_id, t_tmdb_id)",
     },
     search_columns=["title", "season_name"],
     sorts={
@@ -64,12 +64,12 @@ MEDIA = CollectionSpec(
     title_columns=["id", "title", "type", "genre", "total_seasons", "ongoing_ind",
                    "complete_collection", "brand", "tmdb_id"],
     copy_columns={
-        "dvd_id": "c.id", "season_name": "c.season_name", "season_number": "c.season_number",
-        "season_part": "c.season_part", "episodes": "c.episodes",
-        "location_label": "c.location_label", "disk_type": "c.disk_type",
-        "disk_region": "c.disk_region", "box_set": "c.box_set",
-        "complete_season": "c.complete_season", "category": "c.category",
-        "file_size": "c.file_size", "compressed": "c.compressed", "disk_tmdb_id": "c.tmdb_id",
+        "dvd_id": "c_id", "season_name": "c_season_name", "season_number": "c_season_number",
+        "season_part": "c_season_part", "episodes": "c_episodes",
+        "location_label": "c_location_label", "disk_type": "c_disk_type",
+        "disk_region": "c_disk_region", "box_set": "c_box_set",
+        "complete_season": "c_complete_season", "category": "c_category",
+        "file_size": "c_file_size", "compressed": "c_compressed", "disk_tmdb_id": "c_tmdb_id",
     },
     probe_columns=["id", "title", "type", "genre", "tmdb_id", "total_seasons",
                    "complete_collection"],
@@ -82,15 +82,15 @@ GAMES = CollectionSpec(
     name="game", title_id="game_title_id", copy_id="game_copy_id", copy_title="game_title_id",
     purchase_copy="game_copy_id",
     base={
-        "game_title_id": "t.id", "copy_title_id": "c.game_title_id", "game_copy_id": "c.id",
-        "pi_copy_id": "p.game_copy_id", "pi_id": "p.id", "title": "t.title",
-        "franchise": "t.franchise", "genre": "t.genre", "developer": "t.developer",
-        "publisher": "t.publisher", "release_year": "t.release_year", "rawg_id": "t.rawg_id",
-        "complete_collection": "t.complete_collection", "platform": "c.platform",
-        "edition": "c.edition", "region": "c.region", "copy_condition": "c.condition",
-        "location_label": "c.location_label", "copy_notes": "c.notes",
-        "purchase_date": "p.purchase_date", "cost": "p.cost", "store": "p.store",
-        "condition": "p.condition", "notes": "p.notes",
+        "game_title_id": "t_id", "copy_title_id": "c_game_title_id", "game_copy_id": "c_id",
+        "pi_copy_id": "p_game_copy_id", "pi_id": "p_id", "title": "t_title",
+        "franchise": "t_franchise", "genre": "t_genre", "developer": "t_developer",
+        "publisher": "t_publisher", "release_year": "t_release_year", "rawg_id": "t_rawg_id",
+        "complete_collection": "t_complete_collection", "platform": "c_platform",
+        "edition": "c_edition", "region": "c_region", "copy_condition": "c_condition",
+        "location_label": "c_location_label", "copy_notes": "c_notes",
+        "purchase_date": "p_purchase_date", "cost": "p_cost", "store": "p_store",
+        "condition": "p_condition", "notes": "p_notes",
     },
     search_columns=["title", "franchise"],
     sorts={
@@ -105,9 +105,9 @@ GAMES = CollectionSpec(
     title_columns=["id", "title", "franchise", "genre", "developer", "publisher",
                    "release_year", "rawg_id", "complete_collection"],
     copy_columns={
-        "game_copy_id": "c.id", "platform": "c.platform", "edition": "c.edition",
-        "region": "c.region", "copy_condition": "c.condition",
-        "location_label": "c.location_label", "copy_notes": "c.notes",
+        "game_copy_id": "c_id", "platform": "c_platform", "edition": "c_edition",
+        "region": "c_region", "copy_condition": "c_condition",
+        "location_label": "c_location_label", "copy_notes": "c_notes",
     },
     probe_columns=["id", "title", "franchise", "genre", "rawg_id", "developer"],
     copies_label="copy_count",
@@ -127,30 +127,28 @@ class Catalog:
     purchases: DataFrame
 
 
-def _nested(df: DataFrame, key: str, alias: str) -> DataFrame:
-    """One struct column named ``alias`` beside the join key."""
-    return df.select(F.col(key).alias("_key"), F.struct("*").alias(alias))
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    """Columns renamed to ``<prefix>_<name>``, so the three tables can sit side by side."""
+    return df.withColumnsRenamed({c: f"{prefix}_{c}" for c in df.columns})
 
 
 def _copies_with_purchases(catalog: Catalog, rows_per_task: int | None) -> DataFrame:
     """Copies, each repeated for its purchases and kept when it has none."""
-    copies = _nested(catalog.copies, "id", "c")
-    purchases = _nested(catalog.purchases, catalog.spec.purchase_copy, "p").withColumn(
-        "_spread", F.col("p.id")
+    copies = _prefixed(catalog.copies, "c").withColumn("_key", F.col("c_id"))
+    purchases = _prefixed(catalog.purchases, "p").withColumn(
+        "_key", F.col(f"p_{catalog.spec.purchase_copy}")
     )
-    return join_one_to_many(
-        copies, purchases, ["_key"], ["_spread"], "left", rows_per_task
-    ).drop("_key", "_spread")
+    return join_one_to_many(copies, purchases, ["_key"], ["p_id"], "left", rows_per_task)
 
 
 def base(catalog: Catalog, rows_per_task: int | None = None) -> DataFrame:
     """One row per copy and purchase, with its title: the input of search and statistics."""
     spec = catalog.spec
-    titles = _nested(catalog.titles, "id", "t")
+    titles = _prefixed(catalog.titles, "t").withColumn("_key", F.col("t_id"))
     copies = _copies_with_purchases(catalog, rows_per_task).withColumn(
-        "_key", F.col(f"c.{spec.copy_title}")
-    ).withColumn("_spread", F.xxhash64("c.id", "p.id"))
-    rows = join_one_to_many(titles, copies, ["_key"], ["_spread"], "inner", rows_per_task)
+        "_key", F.col(f"c_{spec.copy_title}")
+    )
+    rows = join_one_to_many(titles, copies, ["_key"], ["c_id", "p_id"], "inner", rows_per_task)
     return rows.selectExpr(*[f"{sql} as {name}" for name, sql in spec.base.items()])
 
 
@@ -258,10 +256,10 @@ def title_detail(
         Catalog(spec, catalog.titles, copies, catalog.purchases), rows_per_task
     )
     purchase = {
-        "purchase_id": "p.id", "purchase_date": "p.purchase_date", "cost": "p.cost",
-        "store": "p.store", "condition": "p.condition", "notes": "p.notes",
+        "purchase_id": "p_id", "purchase_date": "p_purchase_date", "cost": "p_cost",
+        "store": "p_store", "condition": "p_condition", "notes": "p_notes",
     }
-    columns = {"title_id": f"c.{spec.copy_title}", **spec.copy_columns, **purchase}
+    columns = {"title_id": f"c_{spec.copy_title}", **spec.copy_columns, **purchase}
     return rows.selectExpr(*[f"{sql} as {name}" for name, sql in columns.items()]).orderBy(
         "title_id", *o.columns(spec.detail_sort), spec.copy_id, o.asc("purchase_id")
     )

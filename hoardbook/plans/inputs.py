@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hoardbook.operators.catalog import GAMES, MEDIA, Catalog
 from hoardbook.operators.intake import normalize_export, normalize_typed
-from hoardbook.operators.skew import join_one_to_many
+from hoardbook.operators.skew import input_bytes, join_one_to_many
 from hoardbook.plans import mapping as m
 from hoardbook.schemas import SUBGRADES
 from hoardbook.sources.exports import named_export_rows
 from hoardbook.sources.staging import staged
 from hoardbook.sources.tables import read_numbered
 
+SMALL_TABLE = 128 * 1024 * 1024
+
 
 def mapped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{sql} as `{name}`" for name, sql in columns.items()])
@@ -38,6 +40,15 @@ class Inputs:
         parts = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
         return join_one_to_many(parts, self.lines, ["l_partkey"], ["line_id"])
 
+    @cached_property
+    def text_lines(self) -> DataFrame:
+        """Named lines for string-heavy work. A small table is a single Parquet row group, which
+        one core would have to work through; large tables come in many."""
+        lines = self.named_lines
+        if input_bytes(lines) >= SMALL_TABLE:
+            return lines
+        return lines.repartition(self.spark.sparkContext.defaultParallelism, "line_id")
+
     @cached_property
     def media(self) -> Catalog:
         return Catalog(
@@ -70,7 +81,7 @@ class Inputs:
 
     @cached_property
     def raw_export(self) -> DataFrame:
-        return mapped(self.named_lines, m.LINE_EXPORT)
+        return mapped(self.text_lines, m.LINE_EXPORT)
 
     @cached_property
     def export_rows(self) -> DataFrame:
@@ -78,7 +89,7 @@ class Inputs:
 
     @cached_property
     def typed_rows(self) -> DataFrame:
-        return mapped(self.named_lines, m.LINE_TYPED)
+        return mapped(self.text_lines, m.LINE_TYPED)
 
     @cached_property
     def manifest(self) -> DataFrame:
@@ -91,8 +102,8 @@ class Inputs:
         Staged, because an import reads them several times: to sum up the batches, to number
         the cards and to build the items.
         """
-        typed = mapped(self.named_lines.where(m.TYPED_BATCH), m.LINE_TYPED)
-        exported = mapped(self.named_lines.where(f"not ({m.TYPED_BATCH})"), m.LINE_EXPORT)
+        typed = mapped(self.text_lines.where(m.TYPED_BATCH), m.LINE_TYPED)
+        exported = mapped(self.text_lines.where(f"not ({m.TYPED_BATCH})"), m.LINE_EXPORT)
         rows = normalize_export(named_export_rows(exported, "batch_id", "row_pos"))
         return staged(rows.unionByName(normalize_typed(typed)), "import-rows")
 

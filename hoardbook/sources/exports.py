@@ -21,7 +21,8 @@ HEADERS = {
     "image_url": ["Photo URL"],
     "quantity": ["Add to Quantity", "Total Quantity"],
 }
-MAX_COLUMNS = 100
+# Exports have some sixteen columns; a wider line is an error, never cut off.
+MAX_COLUMNS = 40
 
 
 def read_cells(
