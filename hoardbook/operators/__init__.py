@@ -1 +1,2 @@
-"""DataFrame-to-DataFrame operators. Only imports write, to stage what they read repeatedly."""
+"""DataFrame-to-DataFrame operators. Only imports and grading histories write, to stage what they
+read repeatedly."""

@@ -49,6 +49,11 @@ def _is(kind: str) -> Column:
 
 def event_rejects(events: DataFrame) -> DataFrame:
     """Events that would break a table rule, each with its reason. They change nothing."""
+    return events.withColumn("reason", _problem()).where(F.col("reason").isNotNull())
+
+
+def _problem() -> Column:
+    """Why an event cannot be applied, or null."""
 
     def outside(name: str, values: list[str]) -> Column:
         return F.coalesce(~_entered(name).isin(values), F.lit(False))
@@ -61,7 +66,7 @@ def event_rejects(events: DataFrame) -> DataFrame:
     negative = reduce(
         lambda a, b: a | b, [F.coalesce(money(_entered(f)) < 0, F.lit(False)) for f in GRADING_FEES]
     )
-    reason = F.coalesce(
+    return F.coalesce(
         F.when(_is("edit") & (no_status | outside("status", ITEM_STATUSES)), "status"),
         F.when(_is("edit") & outside("condition", CONDITIONS), "condition"),
         F.when(_is("sale") & _date("sale_date").isNull(), "sale_date"),
@@ -72,7 +77,6 @@ def event_rejects(events: DataFrame) -> DataFrame:
         F.when(_is("grade") & unreadable_date("grade_date"), "grade_date"),
         F.when(_is("grade") & negative, "grading fees"),
     )
-    return events.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
 def _writes() -> dict[str, list[tuple[Column, Column]]]:
@@ -154,8 +158,7 @@ def apply_changes(
     items: DataFrame, sales: DataFrame, events: DataFrame, rows_per_task: int | None = None
 ) -> Snapshot:
     """Items and sales after all events; events that break a rule are set aside."""
-    rejected = event_rejects(events)
-    valid = events.join(rejected.select("event_id"), "event_id", "left_anti")
+    valid = events.where(_problem().isNull())
     written = list(_writes())
     # Edits, sales and gradings meet items one to one; box-wide places one to many.
     changed = items.join(last_writes(valid), "item_id", "left")
@@ -174,7 +177,8 @@ def apply_changes(
     }).select(*items.columns)
     return Snapshot(
         with_generated(result, "item"),
-        sales.unionByName(new_sales(valid, items, sales), allowMissingColumns=True), rejected,
+        sales.unionByName(new_sales(valid, items, sales), allowMissingColumns=True),
+        event_rejects(events),
     )
 
 

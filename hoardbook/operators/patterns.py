@@ -55,8 +55,10 @@ def match_patterns(
         ).alias("_piece"),
     )
     wanted = offers.select("_piece").distinct()
+    # Without any such pattern no text needs to be taken apart.
+    some = offers.agg(F.count(F.lit(1))).scalar()
     filed = (
-        texts.select(text_key, F.col(text).alias("_text"))
+        texts.where(some > 0).select(text_key, F.col(text).alias("_text"))
         .select(text_key, "_text", F.explode(_all_pieces(F.lower("_text"))).alias("_piece"))
         .join(wanted, "_piece", "left_semi")
     )

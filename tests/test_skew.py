@@ -77,7 +77,7 @@ def test_keys_are_dense_and_repeatable(table):
 
 
 def like(pattern, text):
-    """Reference matcher for the patterns of these tests."""
+    """Plain matcher for the patterns of these tests."""
     out, i = "", 0
     while i < len(pattern):
         ch = pattern[i]
