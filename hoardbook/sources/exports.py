@@ -57,7 +57,8 @@ def scan_exports(
     spark: SparkSession, path: str, max_columns: int = MAX_COLUMNS, multiline: bool = True,
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Data rows of all export files under ``path``: file, position in it, header and cells.
+    """Data rows of all export files under ``path``: file, position in it, cells, and the places
+    of the export fields among them.
 
     The lines are staged once: CSV is parsed a single time, and line numbers are fixed before
     header and data lines are told apart.
@@ -75,6 +76,7 @@ def scan_exports(
     headers = (
         lines.where(F.col("block") == 0).groupBy("file_path")
         .agg(F.min_by("cells", "line").alias("header"))
+        .select("file_path", _places().alias("places"))
     )
     known = parts.join(headers, "file_path")
     rows = join_one_to_many(
@@ -82,35 +84,42 @@ def scan_exports(
     )
     return rows.select(
         "file_path", (F.col("_before") + F.col("line") - F.col("_first")).alias("row_pos"),
-        "header", "cells",
+        "places", "cells",
     ).where(F.col("row_pos") > 0)
 
 
-def _cell(header: str | Column) -> Column:
-    """Cell under a header; of repeated headers the last one counts."""
-    at = F.size("header") + 1 - F.array_position(F.reverse("header"), header)
-    return F.when(
-        F.array_contains("header", header), F.get("cells", (at - 1).cast("int"))
-    )
+def _place(header: str | Column) -> Column:
+    """Where a header stands, from 0; of repeated headers the last one counts."""
+    last = F.size("header") - F.array_position(F.reverse("header"), header)
+    return F.when(F.array_contains("header", header), last.cast("int"))
 
 
-def _paid_header() -> Column:
-    """First header that names the price paid, or null."""
-    return F.get(
-        F.filter("header", lambda h: F.lower(strip(h)).isin(PAID_HEADERS)), F.lit(0)
+def _places() -> Column:
+    """Places of all export fields in a file, found once per file."""
+    # The first header that names the price paid, or null.
+    paid = F.get(F.filter("header", lambda h: F.lower(strip(h)).isin(PAID_HEADERS)), F.lit(0))
+    return F.struct(
+        *[_place(h).alias(f"{field}_{i}")
+          for field, headers in HEADERS.items() for i, h in enumerate(headers)],
+        _place(paid).alias("paid"),
     )
 
 
 def export_rows(scanned: DataFrame, batch: str = "file_path") -> DataFrame:
     """Scanned lines as named text fields, '' where a file lacks a field."""
+
+    def cell(place: str) -> Column:
+        return F.get("cells", F.col(f"places.{place}"))
+
     fields = {
-        field: first_filled(*[_cell(h) for h in headers]) for field, headers in HEADERS.items()
+        field: first_filled(*[cell(f"{field}_{i}") for i in range(len(headers))])
+        for field, headers in HEADERS.items()
     }
-    return scanned.withColumn("_paid", _paid_header()).select(
+    return scanned.select(
         F.col(batch).alias("batch_id"), "row_pos",
         *[c.alias(name) for name, c in fields.items()],
-        first_filled(_cell(F.col("_paid"))).alias("paid"),
-        F.col("_paid").isNotNull().alias("has_paid_column"),
+        first_filled(cell("paid")).alias("paid"),
+        F.col("places.paid").isNotNull().alias("has_paid_column"),
     )
 
 
