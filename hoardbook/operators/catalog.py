@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hoardbook.functions import ordering as o
 from hoardbook.functions.text import contains_any, is_filled, strip
+from hoardbook.operators.keysets import rows_with_keys
 from hoardbook.operators.patterns import match_patterns
 from hoardbook.operators.skew import join_one_to_many
 
@@ -250,8 +251,8 @@ def title_detail(
     spec = catalog.spec
     copies = catalog.copies
     if keys is not None:
-        wanted = keys.select(F.col("id").alias(spec.copy_title)).distinct()
-        copies = copies.join(wanted, spec.copy_title, "left_semi")
+        wanted = keys.select(F.col("id").alias(spec.copy_title))
+        copies = rows_with_keys(copies, wanted, spec.copy_title, ["id"], rows_per_task)
     rows = _copies_with_purchases(
         Catalog(spec, catalog.titles, copies, catalog.purchases), rows_per_task
     )

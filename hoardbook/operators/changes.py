@@ -142,9 +142,8 @@ def last_locations(events: DataFrame) -> DataFrame:
 
 def new_sales(events: DataFrame, items: DataFrame, sales: DataFrame) -> DataFrame:
     """Sale rows of sale events; fees default to 0. Items that do not exist cannot be sold."""
-    rows = events.where(_is("sale")).join(
-        items.select("item_id"), "item_id", "left_semi"
-    ).select(
+    sold = events.where(_is("sale"))
+    rows = join_one_to_many(items.select("item_id"), sold, ["item_id"], ["event_id"]).select(
         "event_id", "item_id", _date("sale_date").alias("sale_date"),
         _entered("channel").alias("channel"),
         money(_entered("gross_price"), F.lit(0)).alias("gross_price"),

@@ -6,6 +6,7 @@ from hoardbook.functions import ordering as o
 from hoardbook.functions.numbers import safe_ratio
 from hoardbook.functions.text import contains_any, is_filled
 from hoardbook.operators.catalog import sample
+from hoardbook.operators.keysets import rows_with_keys
 from hoardbook.operators.skew import join_one_to_many
 from hoardbook.schemas import APPENDABLE_STATUSES, MONEY, OWNED_STATUSES
 
@@ -86,9 +87,8 @@ def item_ledger_base(acquisitions, items, sales, rows_per_task: int | None = Non
 def card_detail(acquisitions, items, sales, keys: DataFrame | None = None) -> DataFrame:
     """Full detail of items, of a key set (column ``item_id``) or of all."""
     if keys is not None:
-        wanted = keys.select("item_id").distinct()
-        items = items.join(wanted, "item_id", "left_semi")
-        sales = sales.join(wanted, "item_id", "left_semi")
+        items = rows_with_keys(items, keys, "item_id", ["item_id"])
+        sales = rows_with_keys(sales, keys, "item_id", ["sale_id"])
     return ledger_rows(acquisitions, items, sales).select(*DETAIL_COLUMNS)
 
 
@@ -116,9 +116,8 @@ def box_items(
 ) -> DataFrame:
     """Ledger rows of boxes, by name, each with its grading tier."""
     if keys is not None:
-        wanted = keys.select("acquisition_id").distinct()
-        items = items.join(wanted, "acquisition_id", "left_semi")
-        acquisitions = acquisitions.join(wanted, "acquisition_id", "left_semi")
+        items = rows_with_keys(items, keys, "acquisition_id", ["item_id"])
+        acquisitions = acquisitions.join(keys, "acquisition_id", "left_semi")
     tiers = candidates.select("item_id", "tier")
     # The tier belongs to the item, so it joins before an item fans out over its sales.
     tiered = items.join(tiers, "item_id", "left")

@@ -60,9 +60,11 @@ def assign_keys(
     if existing is not None:
         first = existing.agg(F.coalesce(F.max(into), F.lit(0))).scalar()
     within = W.partitionBy("_bucket").orderBy("_digest", *unique)
+    if digits <= BUCKET_DIGITS:
+        starts = F.broadcast(starts)
     return (
         hashed.withColumn("_rank", F.row_number().over(within))
-        .join(F.broadcast(starts), "_bucket")
+        .join(starts, "_bucket")
         .withColumn(into, (first + F.col("_start") + F.col("_rank")).cast("bigint"))
         .drop("_digest", "_bucket", "_rank", "_start")
     )

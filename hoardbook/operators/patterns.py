@@ -60,11 +60,11 @@ def match_patterns(
     filed = (
         texts.where(some > 0).select(text_key, F.col(text).alias("_text"))
         .select(text_key, "_text", F.explode(_all_pieces(F.lower("_text"))).alias("_piece"))
-        .join(wanted, "_piece", "left_semi")
     )
+    filed = join_one_to_many(wanted, filed, ["_piece"], [text_key], "inner", rows_per_task)
     shared = filed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_texts"))
     chosen = (
-        offers.join(shared, "_piece")
+        join_one_to_many(shared, offers, ["_piece"], [pattern], "inner", rows_per_task)
         .groupBy(pattern, "_like")
         .agg(F.min_by("_piece", F.struct("_texts", "_piece")).alias("_piece"))
     )
@@ -81,9 +81,7 @@ def match_patterns(
         F.contains("_like", F.lit("%")), F.sequence(least, F.greatest(least, longest_text))
     ).otherwise(F.array(least))
     blank = sized.where(F.col("_size") == 0).select(pattern, F.explode(lengths).alias("_length"))
-    measured = texts.select(text_key, F.length(text).alias("_length")).join(
-        blank.select("_length").distinct(), "_length", "left_semi"
-    )
+    measured = texts.select(text_key, F.length(text).alias("_length"))
     by_length = join_one_to_many(
         blank, measured, ["_length"], [text_key], "inner", rows_per_task
     ).select(pattern, text_key)

@@ -513,7 +513,9 @@ def _results(table: str, key: str, count: str, fields: dict[str, str]) -> str:
 QUERIES = {
     # Sources
     "intake_csv_scan": f"""
-        select batch_id, row_number() over (partition by batch_id order by row_pos) as row_pos,
+        select batch_id || '-' || (row_pos // 1000000) as file,
+            row_number() over (partition by batch_id, row_pos // 1000000 order by row_pos)
+                as row_pos,
             name, product_line, {strip('set_name')} as set_name, number, rarity, printing,
             condition, price, product_id, image_url, quantity, paid, true as has_paid_column
         from export_text""",

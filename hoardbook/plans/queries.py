@@ -35,16 +35,20 @@ def query(function):
 
 @query
 def intake_csv_scan(t: Inputs):
-    """Export files written from the lines, one per batch, scanned back through their headers."""
+    """Export files written from the lines, scanned back through their headers.
+
+    Each batch has a file of its own, and another one for every further million lines.
+    """
     path = staging_path(t.spark, "exports")
+    file = F.concat_ws("-", "batch_id", F.floor(F.col("row_pos") / 1_000_000))
     (
-        t.raw_export.repartition("batch_id").sortWithinPartitions("batch_id", "row_pos")
-        .withColumn("file", F.col("batch_id")).drop("batch_id", "row_pos")
+        t.raw_export.withColumn("file", file).repartition("file")
+        .sortWithinPartitions("file", "row_pos").drop("batch_id", "row_pos")
         .write.partitionBy("file").option("header", True).option("escape", '"').csv(path)
     )
     rows = export_rows(scan_exports(t.spark, path))
-    batch = F.regexp_extract("batch_id", r"/file=(\d+)/", 1).cast("bigint")
-    return rows.select(batch.alias("batch_id"), "row_pos", *HEADERS, "paid", "has_paid_column")
+    file = F.regexp_extract("batch_id", r"/file=([-0-9]+)/", 1)
+    return rows.select(file.alias("file"), "row_pos", *HEADERS, "paid", "has_paid_column")
 
 
 @query
