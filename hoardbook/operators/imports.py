@@ -190,8 +190,8 @@ def import_legacy(
     basis is its paid text, else the price given if it is the only card, else its market value;
     a text that is no number leaves it null.
     """
-    if "basis" not in manifest.columns:
-        manifest = manifest.withColumn("basis", F.lit(None).cast("string"))
+    rejects = legacy_rejects(manifest, rows)
+    manifest = _with_basis(manifest).join(rejects.select("batch_id"), "batch_id", "left_anti")
     # A row with an unreadable price adds nothing to either sum.
     unreadable = (F.col("price_text") != "") & F.col("market_value").isNull()
     price_given = money(F.col("price"))
@@ -200,10 +200,6 @@ def import_legacy(
         batches_with_summary(
             manifest, rows.withColumn("paid", F.when(~unreadable, F.col("paid")))
         )
-        .withColumn("basis", F.coalesce(
-            blank_to_null(F.col("basis")),
-            F.when(F.col("product_type") == "single", "as_paid").otherwise("allocate"),
-        ))
         .join(
             rows.groupBy("batch_id").agg(F.bool_or(F.col("paid_text") != "").alias("_any_paid")),
             "batch_id", "left",
@@ -213,7 +209,6 @@ def import_legacy(
                 F.coalesce(price_given, F.col("total_value"))
             ).cast("string")
         ))
-        .where(F.col("n_cards") > 0)
     )
     keyed = _numbered(
         acquisition_rows(batches, legacy=True, keep=("n_cards", "basis")), acquisitions
@@ -240,6 +235,31 @@ def import_legacy(
     return Import(boxes, spread.unionByName(new.where(as_paid)).drop("basis"))
 
 
+def _with_basis(manifest: DataFrame) -> DataFrame:
+    """Manifest with the basis forced by the user, else the one its product type implies."""
+    if "basis" not in manifest.columns:
+        manifest = manifest.withColumn("basis", F.lit(None).cast("string"))
+    return manifest.withColumn("basis", F.coalesce(
+        blank_to_null(F.col("basis")),
+        F.when(F.col("product_type") == "single", "as_paid").otherwise("allocate"),
+    ))
+
+
+def legacy_rejects(manifest: DataFrame, rows: DataFrame) -> DataFrame:
+    """Batches the older loader refuses, each with the first reason found."""
+    batches = batches_with_summary(_with_basis(manifest), rows)
+    unnamed = blank_to_null(F.col("description")).isNull() | blank_to_null(
+        F.col("purchase_date")
+    ).isNull()
+    reason = F.coalesce(
+        F.when(unnamed, "A new purchase needs a description and a date."),
+        F.when((F.col("basis") == "allocate") & money(F.col("price")).isNull(),
+               "Allocating needs the price of the product."),
+        F.when(F.col("n_cards") == 0, "No item rows parsed."),
+    )
+    return batches.select("batch_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def whole_key(value: Column) -> Column:
     """A key typed as text."""
     return F.when(value.cast("string").rlike(r"^\s*\d+\s*$"), F.trim(value.cast("string"))).try_cast(

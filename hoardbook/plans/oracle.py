@@ -300,6 +300,15 @@ RELATIONS = {
             {amount('price')} as market_value, price as price_text, paid as paid_text,
             {amount('paid')} as paid, {copies('quantity')} as quantity
         from export_code where name <> ''""",
+    "old_reject": f"""
+        select batch_id, reason from (select f.batch_id, case
+            when {filled('f.description')} is null or {filled('f.purchase_date')} is null
+                then 'A new purchase needs a description and a date.'
+            when coalesce(f.basis, case when f.product_type = 'single' then 'as_paid'
+                    else 'allocate' end) = 'allocate' and {amount('f.price')} is null
+                then 'Allocating needs the price of the product.'
+            when f.batch_id not in (select batch_id from old_row) then 'No item rows parsed.' end
+            as reason from manifest f) where reason is not null""",
     "old_batch": f"""
         select *, case when basis = 'as_paid' then case when any_paid then sum_paid
                 else coalesce(given, total_value) end else coalesce(given, 0) end as price_paid
@@ -312,7 +321,8 @@ RELATIONS = {
                 cast(coalesce(sum(case when price_text = '' or market_value is not null
                     then paid * quantity end), 0) as decimal(22,2)) as sum_paid,
                 bool_or(paid_text <> '') as any_paid
-            from old_row group by batch_id) s on s.batch_id = f.batch_id)""",
+            from old_row group by batch_id) s on s.batch_id = f.batch_id)
+        where batch_id not in (select batch_id from old_reject)""",
     "old_box": f"""
         select *, cast(purchase_price + tax + shipping_in + other_fees as decimal(12,2))
                 as total_cost,
@@ -834,6 +844,7 @@ QUERIES = {
             market_value, status
         from ({_allocated('select *, market_value as own_value from old_item')})""",
     "import_legacy_boxes": f"select {BOX_COLUMNS} from old_box b",
+    "import_legacy_rejects": "select * from old_reject",
     "assign_keys": """
         select p_partkey, (select max(o_orderkey) from orders) + row_number() over (
             order by md5(cast(p_partkey as varchar)), p_partkey) as acquisition_id from part""",

@@ -583,6 +583,11 @@ def import_legacy_boxes(t: Inputs):
     return result.acquisitions.drop("created_at")
 
 
+@query
+def import_legacy_rejects(t: Inputs):
+    return imports.legacy_rejects(t.manifest, t.legacy_rows)
+
+
 @query
 def assign_new_keys(t: Inputs):
     rows = t.table("part").select("p_partkey")

@@ -282,9 +282,11 @@ def test_legacy_basis(manifest, table):
     batches = manifest(
         dict(single, batch_id="paid", price="50"), dict(single, batch_id="given", price="7"),
         dict(single, batch_id="value"), dict(SEALED, batch_id="forced", basis="as_paid"),
-        dict(SEALED, batch_id="sealed", packs_now="0"),
+        dict(SEALED, batch_id="sealed", packs_now="0"), dict(SEALED, batch_id="free", price=" "),
+        dict(single, batch_id="undated", purchase_date=""), dict(single, batch_id="empty"),
     )
     cards = export(
+        ("free", 1, "x", "", "1", ""), ("undated", 1, "y", "", "1", ""),
         ("paid", 1, "a", "A-1 R", "5", "2"), ("paid", 2, "b", "A-2 R", "5", "free"), ("paid", 3, "c", "", "bad", "4"),
         ("given", 1, "d", "X 1", "5", ""), ("value", 1, "e", "", "5", ""), ("value", 2, "f", "", "", ""),
         ("forced", 1, "g", "", "1", "9"), ("sealed", 1, "h", "", "1", ""),
@@ -293,6 +295,8 @@ def test_legacy_basis(manifest, table):
     assert rows(result.items, "name", "cost_basis") == [
         ("a", D("2.00")), ("b", None), ("c", D("4.00")), ("d", D("7.00")), ("e", D("5.00")), ("f", None),
         ("g", D("9.00")), ("h", D("0.00"))]
+    assert [r[0] for r in rows(imports.legacy_rejects(batches, cards), "batch_id")] == [
+        "empty", "free", "undated"]
     # A row whose price is unreadable adds nothing to the sum of what was paid.
     assert rows(result.acquisitions, "batch_id", "purchase_price", "status", "set_code") == [
         ("forced", D("9.00"), "partial", None), ("given", D("7.00"), "opened", None),

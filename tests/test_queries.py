@@ -34,6 +34,8 @@ def test_entry(spark):
 def test_query(spark, db, key):
     result = entry_points.queries()[key](spark, FOLDER)
     got = check.rows_of(result.columns, [tuple(r) for r in result.collect()])
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     answer = db.execute(SQL[key])
     names = [d[0] for d in answer.description]
     assert sorted(result.columns) == sorted(names)

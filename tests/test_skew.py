@@ -114,15 +114,28 @@ def test_pattern_join_has_no_pairwise_comparison(table):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_no_query_compares_all_pairs(spark):
-    """No registered query plans a pairwise join."""
-    from hoardbook.plans.queries import QUERIES
-
-    for key, query in QUERIES.items():
-        if key.startswith(("import_", "intake_csv", "violations", "singles")):
-            continue
-        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, key
+def test_no_task_gets_the_hot_key_alone(spark, table):
+    """With a third of the rows under one key, no task of the join holds a quarter of them."""
+    many = table([(i, 7 if i % 3 == 0 else i) for i in range(30_000)], "id int, k int")
+    one = table([(k, "x") for k in range(30_000)], "k int, name string")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        def fullest(limit):
+            joined = join_one_to_many(one, many, ["k"], ["id"], "left", limit)
+            counts = joined.where("id is not null").groupBy(F.spark_partition_id()).count()
+            return max(r["count"] for r in counts.collect())
+
+        assert fullest(None) >= 10_000
+        assert fullest(200) < 7_500
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_top_rows_are_cut_before_the_shuffle(spark):
