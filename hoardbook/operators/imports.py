@@ -156,9 +156,12 @@ def import_append(
 ) -> Import:
     """Add cards to existing boxes and settle the cost of those boxes again.
 
-    Returns the boxes touched, with packs and status moved on, and all of their items.
+    Returns the boxes touched, with packs and status moved on, and all of their items. A batch
+    with a row that breaks a table rule stays out as a whole, since it could not be told apart
+    any more once its box has been settled.
     """
-    listed = batches_with_summary(_of_mode(manifest, "append"), rows).select(
+    wanted = _of_mode(manifest, "append").join(row_rejects(rows), "batch_id", "left_anti")
+    listed = batches_with_summary(wanted, rows).select(
         "batch_id", "n_cards", whole_key(F.col("acquisition_id")).alias("acquisition_id"),
         F.coalesce(blank_to_null(F.col("language")), F.lit("EN")).alias("language"),
         whole_number(F.col("packs_now")).alias("packs_now"),
@@ -308,6 +311,16 @@ def without_rejects(frame: DataFrame, rejects: DataFrame, spread_by: list[str])
     return rows_without_keys(frame, rejects, "batch_id", spread_by)
 
 
+def row_rejects(rows: DataFrame) -> DataFrame:
+    """Batches with a normalised row that no item row could be made of."""
+    cards = rows.select(
+        "batch_id", F.col("row_pos").alias("item_id"), "name", "game", "condition"
+    )
+    return violations(cards, "item", ["batch_id"]).groupBy("batch_id").agg(
+        F.min("rule").alias("reason")
+    )
+
+
 def rule_rejects(result: Import) -> DataFrame:
     """Batches with a row that breaks a table rule: all of their rows must stay out."""
     parts = [

@@ -15,6 +15,15 @@ def rows_with_keys(
     )
 
 
+def replace_rows(
+    stored: DataFrame, changed: DataFrame, key: str, spread_by: list[str],
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """Stored rows, those with a key among the changed rows replaced by these."""
+    kept = rows_without_keys(stored, changed, key, spread_by, rows_per_task)
+    return kept.unionByName(changed.select(*stored.columns))
+
+
 def rows_without_keys(
     rows: DataFrame, keys: DataFrame, key: str, spread_by: list[str],
     rows_per_task: int | None = None,

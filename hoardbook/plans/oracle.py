@@ -273,6 +273,10 @@ RELATIONS = {
                 rows between unbounded preceding and 1 preceding), 0) as bigint)
                 as first_item
         from planned where batch_id in (select batch_id from accepted where mode = 'singles')""",
+    "broken_row": """
+        select distinct batch_id from import_row
+        where condition not in ('NM', 'LP', 'MP', 'HP', 'DMG', 'sealed')
+            or game not in ('mtg', 'weiss', 'pokemon', 'other')""",
     "append_batch": f"""
         select b.batch_id, cast(acquisition_id as bigint) as acquisition_id, n_cards,
             {whole('packs_now')} as packs_now,
@@ -280,7 +284,8 @@ RELATIONS = {
                 order by md5(cast(b.batch_id as varchar)), b.batch_id
                 rows between unbounded preceding and 1 preceding), 0) as bigint)
                 as first_item
-        from batch b where batch_id in (select batch_id from accepted where mode = 'append')""",
+        from batch b where batch_id in (select batch_id from accepted where mode = 'append')
+            and batch_id not in (select batch_id from broken_row)""",
     "append_box": """
         select a.* exclude (packs_opened, status), cast(case when more is null then packs_opened
                 else coalesce(packs_opened, 0) + more end as integer) as packs_opened,
@@ -825,6 +830,10 @@ QUERIES = {
     "import_append_boxes":
         "select acquisition_id, packs_total, packs_opened, status from append_box",
     "import_rejects": "select * from reject",
+    "import_row_rejects": """
+        select batch_id, case when bool_or(condition not in ('NM', 'LP', 'MP', 'HP', 'DMG', 'sealed'))
+            then 'condition' else 'game' end || ' is not an allowed value' as reason
+        from import_row where batch_id in (select batch_id from broken_row) group by batch_id""",
     "import_preview": f"""
         select p.batch_id, b.mode, p.n_cards, b.total_value,
             case when b.mode <> 'append' then p.game end as game,

@@ -566,6 +566,11 @@ def import_rejects(t: Inputs):
     return imports.import_rejects(t.manifest, t.import_rows, t.boxes)
 
 
+@query
+def import_row_rejects(t: Inputs):
+    return imports.row_rejects(t.import_rows)
+
+
 @query
 def import_preview(t: Inputs):
     return imports.import_preview(t.manifest, t.import_rows, t.boxes)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from hoardbook.operators.imports import Import, rule_rejects, without_rejects
+from hoardbook.operators.keysets import replace_rows
 from hoardbook.schemas import TABLES
 from hoardbook.sources.staging import staged
 
@@ -24,6 +25,25 @@ def append_rows(
     )
 
 
+def write_append(
+    result: Import, acquisitions: DataFrame, items: DataFrame, folder: str, version: str
+) -> None:
+    """Store both tables anew after additions to boxes, as one version of each.
+
+    The boxes touched and their items replace the stored rows; all other rows stay as they are.
+    """
+    boxes = staged(result.acquisitions.select(*acquisitions.columns), "append-acquisition")
+    cards = staged(result.items.select(*items.columns), "append-item")
+    append_rows(
+        replace_rows(acquisitions, boxes, "acquisition_id", ["acquisition_id"]), "acquisition",
+        f"{folder}/acquisition", version, ["acquisition_id"],
+    )
+    append_rows(
+        replace_rows(items, cards, "acquisition_id", ["item_id"]), "item", f"{folder}/item",
+        version, ["acquisition_id", "item_id"],
+    )
+
+
 def write_import(result: Import, folder: str, import_id: str) -> DataFrame:
     """Store the batches that satisfy every table rule; returns the rejected ones.
 

@@ -11,7 +11,7 @@ from hoardbook.operators import imports, intake
 from hoardbook.operators.allocate import allocate_cost, box_shares
 from hoardbook.operators.ledger import box_pl
 from hoardbook.sources.exports import export_rows, read_typed_rows, scan_exports
-from hoardbook.sources.sinks import write_import
+from hoardbook.sources.sinks import write_append, write_import
 from hoardbook.sources.tables import conform, read_numbered
 
 FIELDS = ("batch_id mode intake description purchase_date product_type game language price tax"
@@ -130,7 +130,7 @@ def test_singles_basis(table, typed):
         (0, D("3.00"), False), (1, D("5.00"), True), (2, D("0.00"), False)]
 
 
-def test_sealed_import_then_append_equals_one_import(manifest, typed):
+def test_sealed_import_then_append_equals_one_import(spark, manifest, typed, tmp_path):
     """Two days of opening end where one import of all cards with the same packs ends."""
     day1 = [dict(batch_id="b1", row_idx=i, name=f"c{i}", market_value=str(i)) for i in range(1, 5)]
     day2 = [dict(batch_id="b2", row_idx=i, name=f"d{i}", market_value=str(i), qty="2") for i in range(1, 4)]
@@ -148,9 +148,27 @@ def test_sealed_import_then_append_equals_one_import(manifest, typed):
     )
     assert rows(both.items, "name", "cost_basis") == rows(whole.items, "name", "cost_basis")
     assert both.items.count() == 10
+    held = first.items.drop("batch_id", "card_index")
+    write_append(both, first.acquisitions.drop("batch_id"), held, str(tmp_path), "2")
+    assert rows(spark.read.parquet(f"{tmp_path}/item"), "item_id", "cost_basis") == rows(
+        both.items, "item_id", "cost_basis")
+    assert rows(spark.read.parquet(f"{tmp_path}/acquisition"), "packs_opened") == [(8,)]
     assert sorted(r[0] for r in rows(both.items, "item_id")) == list(range(1, 11))
 
 
+def test_append_leaves_out_batches_that_break_a_rule(manifest, typed, tables):
+    boxes, items = tables
+    more = dict(mode="append", intake="manual", acquisition_id="1", packs_now="2")
+    got = imports.import_append(
+        manifest(dict(more, batch_id="good"), dict(more, batch_id="bad")),
+        typed(dict(batch_id="good", row_idx=1, name="d", market_value="5"),
+              dict(batch_id="bad", row_idx=1, name="e", condition="Mint")),
+        boxes, items,
+    )
+    assert rows(got.items, "name") == [("a",), ("b",), ("c",), ("d",)]
+    assert rows(got.acquisitions, "packs_opened") == [(6,)]
+
+
 def test_large_quantities_are_cut_and_spread(typed):
     cards = typed(
         dict(batch_id="b", row_idx=1, name="a", qty="25"), dict(batch_id="b", row_idx=2, name="b", qty="2"),
