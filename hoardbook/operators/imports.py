@@ -16,7 +16,7 @@ from hoardbook.operators.allocate import allocate_cost
 from hoardbook.operators.intake import (
     acquisition_rows, batches_with_summary, expand_quantity, with_first_index,
 )
-from hoardbook.operators.keysets import rows_with_keys, rows_without_keys
+from hoardbook.operators.keysets import replace_rows, rows_with_keys, rows_without_keys
 from hoardbook.operators.numbering import assign_keys, running_before
 from hoardbook.operators.quality import violations
 from hoardbook.operators.skew import join_one_to_many
@@ -152,10 +152,12 @@ def import_singles(
 
 def import_append(
     manifest: DataFrame, rows: DataFrame, acquisitions: DataFrame, items: DataFrame,
-    rows_per_task: int | None = None,
+    rows_per_task: int | None = None, cards: DataFrame | None = None,
 ) -> Import:
     """Add cards to existing boxes and settle the cost of those boxes again.
 
+    ``cards`` that come with a basis of their own keep it, and their boxes are not settled.
+
     Returns the boxes touched, with packs and status moved on, and all of their items. A batch
     with a row that breaks a table rule stays out as a whole, since it could not be told apart
     any more once its box has been settled.
@@ -176,12 +178,63 @@ def import_append(
         .when(opened >= F.col("packs_total"), "opened").otherwise("partial"),
     }).drop("_more")
     held = rows_with_keys(items, moves, "acquisition_id", ["item_id"], rows_per_task)
-    cards = cards_of(rows).withColumn("cost_basis", F.lit(0).cast(MONEY))
+    settle = cards is None
+    if settle:
+        cards = cards_of(rows).withColumn("cost_basis", F.lit(0).cast(MONEY))
     new = item_rows(cards, batches.drop("packs_now"), items, rows_per_task)
     together = staged(held.unionByName(new, allowMissingColumns=True), "import-items")
+    if not settle:
+        return Import(boxes, together)
     return Import(boxes, allocate_cost(boxes, together, rows_per_task).select(*together.columns))
 
 
+def import_legacy_append(
+    manifest: DataFrame, rows: DataFrame, acquisitions: DataFrame, items: DataFrame,
+    rows_per_task: int | None = None,
+) -> Import:
+    """Additions by the older loader's rules: as-paid cards first, at their own basis, then
+    the batches that settle their boxes."""
+    based = _with_basis(_of_mode(manifest, "append"))
+    paid, spread = based.where(F.col("basis") == "as_paid"), based.where(F.col("basis") == "allocate")
+    counts = batches_with_summary(paid, rows).select("batch_id", "basis", "n_cards")
+    first = import_append(
+        paid, rows, acquisitions, items, rows_per_task,
+        _legacy_cards(paid, counts, rows, rows_per_task).drop("basis"),
+    )
+    boxes = replace_rows(acquisitions, first.acquisitions, "acquisition_id", ["acquisition_id"])
+    held = replace_rows(
+        items, first.items, "acquisition_id", ["item_id"], rows_per_task,
+        among=first.acquisitions,
+    )
+    second = import_append(spread, rows, boxes, held, rows_per_task)
+    return Import(
+        replace_rows(first.acquisitions, second.acquisitions, "acquisition_id", ["acquisition_id"]),
+        replace_rows(
+            first.items, second.items, "acquisition_id", ["item_id"], rows_per_task,
+            among=second.acquisitions,
+        ),
+    )
+
+
+def _legacy_cards(
+    manifest: DataFrame, batches: DataFrame, rows: DataFrame, rows_per_task: int | None
+) -> DataFrame:
+    """Cards with the older loader's basis; ``batches`` has batch_id, basis and n_cards."""
+    prices = manifest.select("batch_id", money(F.col("price")).alias("_price")).join(
+        batches.select("batch_id", "basis", F.col("n_cards").alias("_cards")), "batch_id"
+    )
+    own_price = F.when(
+        (F.col("_cards") == 1) & F.col("_price").isNotNull(), F.col("_price")
+    ).otherwise(F.col("market_value"))
+    basis = F.when(
+        F.col("basis") == "as_paid",
+        F.when(F.col("paid_text") != "", F.col("paid")).otherwise(own_price),
+    ).otherwise(F.lit(0))
+    return join_one_to_many(
+        prices, cards_of(rows), ["batch_id"], ["card_index"], "inner", rows_per_task
+    ).withColumn("cost_basis", basis.cast(MONEY)).drop("_price", "_cards")
+
+
 def import_legacy(
     manifest: DataFrame, rows: DataFrame, acquisitions: DataFrame | None = None,
     items: DataFrame | None = None, rows_per_task: int | None = None,
@@ -194,7 +247,10 @@ def import_legacy(
     a text that is no number leaves it null.
     """
     rejects = legacy_rejects(manifest, rows)
-    manifest = _with_basis(manifest).join(rejects.select("batch_id"), "batch_id", "left_anti")
+    manifest = staged(
+        _with_basis(manifest).join(rejects.select("batch_id"), "batch_id", "left_anti"),
+        "import-manifest",
+    )
     # A row with an unreadable price adds nothing to either sum.
     unreadable = (F.col("price_text") != "") & F.col("market_value").isNull()
     price_given = money(F.col("price"))
@@ -216,20 +272,9 @@ def import_legacy(
     keyed = _numbered(
         acquisition_rows(batches, legacy=True, keep=("n_cards", "basis")), acquisitions
     )
-    prices = manifest.select("batch_id", price_given.alias("_price")).join(
-        keyed.select("batch_id", "basis", F.col("n_cards").alias("_cards")), "batch_id"
-    )
-    own_price = F.when(
-        (F.col("_cards") == 1) & F.col("_price").isNotNull(), F.col("_price")
-    ).otherwise(F.col("market_value"))
-    basis = F.when(
-        as_paid, F.when(F.col("paid_text") != "", F.col("paid")).otherwise(own_price)
-    ).otherwise(F.lit(0))
-    cards = join_one_to_many(
-        prices, cards_of(rows), ["batch_id"], ["card_index"], "inner", rows_per_task
-    ).withColumn("cost_basis", basis.cast(MONEY))
+    cards = _legacy_cards(manifest, keyed, rows, rows_per_task)
     new = staged(
-        item_rows(cards.drop("_price", "_cards"), keyed.drop("basis"), items, rows_per_task,
+        item_rows(cards, keyed.drop("basis"), items, rows_per_task,
                   keep=("basis",)),
         "import-items",
     )

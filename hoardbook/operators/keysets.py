@@ -17,10 +17,14 @@ def rows_with_keys(
 
 def replace_rows(
     stored: DataFrame, changed: DataFrame, key: str, spread_by: list[str],
-    rows_per_task: int | None = None,
+    rows_per_task: int | None = None, among: DataFrame | None = None,
 ) -> DataFrame:
-    """Stored rows, those with a key among the changed rows replaced by these."""
-    kept = rows_without_keys(stored, changed, key, spread_by, rows_per_task)
+    """Stored rows, those with a key among the changed rows replaced by these.
+
+    ``among`` names the changed keys where a shorter list of them is at hand.
+    """
+    keys = changed if among is None else among
+    kept = rows_without_keys(stored, keys, key, spread_by, rows_per_task)
     return kept.unionByName(changed.select(*stored.columns))
 
 

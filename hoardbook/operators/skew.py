@@ -20,6 +20,8 @@ SPREAD_FROM_BYTES = 512 * 1024 * 1024
 
 def input_bytes(df: DataFrame) -> int:
     """Size of everything ``df`` reads, as Spark knows it; sources of unknown size count as huge."""
+    if not hasattr(df, "_jdf"):  # a remote session does not tell
+        return SPREAD_FROM_BYTES
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 

@@ -288,14 +288,40 @@ def test_import_is_stored_whole_or_not_at_all_and_once(spark, manifest, typed, t
     assert spark.read.parquet(f"{tmp_path}/acquisition").count() == 1
 
 
-def test_legacy_basis(manifest, table):
-    def export(*cards):
+@pytest.fixture()
+def legacy(table):
+    def make(*cards):
         names = ["batch_id", "row_pos", "Product Name", "Number", "TCG Market Price", "Paid"]
         schema = "`batch_id` string, `row_pos` bigint, " + ", ".join(f"`{n}` string" for n in names[2:])
         from hoardbook.sources.exports import named_export_rows
         return intake.normalize_export(
             named_export_rows(table(list(cards), schema), "batch_id", "row_pos"), legacy=True)
 
+    return make
+
+
+def test_legacy_additions(manifest, legacy, tables):
+    boxes, items = tables
+    stored = boxes.unionByName(boxes.withColumn("acquisition_id", F.lit(2).cast("bigint")))
+    more = dict(mode="append", intake="csv", packs_now="1")
+    batches = manifest(
+        dict(more, batch_id="p", acquisition_id="1", product_type="single"),
+        dict(more, batch_id="q", acquisition_id="2", product_type="sealed_box"),
+        dict(more, batch_id="r", acquisition_id="2", product_type="sealed_box", basis="as_paid"),
+    )
+    cards = legacy(("p", 1, "d", "", "5", "2"), ("p", 2, "e", "", "7", ""),
+                   ("q", 1, "f", "", "1", "8"), ("r", 1, "g", "", "3", "9"))
+    got = imports.import_legacy_append(batches, cards, stored, items)
+    # Box 1 is not settled; box 2 (6 of 16 packs: 36.11) is, with the as-paid card among its items.
+    assert sorted(r["item_id"] for r in got.items.collect()) == list(range(1, 8))
+    assert rows(got.items, "name", "cost_basis") == [
+        ("a", D("0.00")), ("b", D("0.00")), ("c", D("0.00")), ("d", D("2.00")), ("e", D("7.00")),
+        ("f", D("9.03")), ("g", D("27.08"))]
+    assert rows(got.acquisitions, "acquisition_id", "packs_opened") == [(1, 5), (2, 6)]
+
+
+def test_legacy_basis(manifest, legacy):
+    export = legacy
     single = dict(mode="singles", intake="csv", description="d", purchase_date="2026-06-12", product_type="single")
     batches = manifest(
         dict(single, batch_id="paid", price="50"), dict(single, batch_id="given", price="7"),
