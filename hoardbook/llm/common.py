@@ -75,7 +75,7 @@ def hex_number(digest: Column, digits: int = 8) -> Column:
 
 def with_place(
     rows: DataFrame, group: list[str], digest: str, order: list[str], sums: dict[str, str],
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = 1_000,
 ) -> DataFrame:
     """Add, for each ``new: column`` of ``sums``, the sum of the column over the group's rows
     that come before this one in the order of (``digest``, ``order``).
@@ -202,12 +202,17 @@ def keep_marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
         F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"),
         F.sum(F.col("kept").cast("int")).alias("_stay"),
     ).where("_stay < _n").select(F.col("doc_id").alias("_d"), F.col("_sha").alias("_s"), "_any")
-    found = docs.withColumn("_sha", text_digest()).join(
-        lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_s")), "left"
-    )
+    found = docs.select(
+        whole_row(docs), F.col("doc_id").alias("_doc"), text_digest().alias("_sha")
+    ).join(lost, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_s")), "left")
     untouched = found.where("_any is null")
-    repeated = found.where("_any").dropDuplicates(["doc_id", "_sha"])
-    return untouched.unionByName(repeated).select(*docs.columns)
+    repeated = found.where("_any").dropDuplicates(["_doc", "_sha"])
+    return untouched.unionByName(repeated).select("_row.*")
+
+
+def whole_row(rows: DataFrame) -> Column:
+    """All columns as one, ``_row``: whatever their names, they clash with no helper column."""
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
 
 
 def text_digest(text: str = "text") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from hoardbook.llm.common import staged, with_place
+from hoardbook.llm.common import staged, whole_row, with_place
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -63,7 +63,7 @@ def source_targets(
 
 def mix(
     rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
-    most: int = MOST_REPEATS, seed: str = "mix", rows_per_bucket: int = 50_000,
+    most: int = MOST_REPEATS, seed: str = "mix", rows_per_bucket: int = 1_000,
 ) -> DataFrame:
     """Per row of ``rows`` (doc_id, source, size): source_size, target and ``taken``, the words
     the mix takes from it, repeats counted.
@@ -75,7 +75,7 @@ def mix(
 
     Null sources form a source of their own; null sizes count as 0; rows with equal id, source
     and size are interchangeable copies: they are counted once, placed side by side, and listed
-    again. An empty table gives no rows.
+    again (``copy`` numbers them from 0, ``alike`` is their number). An empty table gives no rows.
     """
     # Copies as one row: equal hashes never pile up in a bucket.
     distinct = staged(
@@ -106,7 +106,10 @@ def mix(
             (F.col("_full") * F.col("size")
              + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left")))).cast("bigint"),
         )
-        .select("doc_id", "source", "size", "source_size", "target", "taken", F.col("_copy").alias("copy"))
+        .select(
+            "doc_id", "source", "size", "source_size", "target", "taken",
+            F.col("_copy").alias("copy"), F.col("_copies").alias("alike"),
+        )
     )
 
 
@@ -123,59 +126,46 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     source's cut, its first words (joined by single spaces). Columns as in ``docs``; ``n_chars``
     follows the text where there is one.
 
-    A row is found again by id, source and size. Rows equal in all three take the average of
-    their copies' shares only if those differ, which happens for one group per source at most:
-    there the copies are numbered by their text's hash.
+    A row is found again by id, source and size; rows alike in all three are told apart by the
+    order of their texts' hashes. Rows without words are in no mix.
     """
-    columns = docs.columns
-    withsize = docs.withColumn(
-        "_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    rows = docs.select(
+        whole_row(docs), F.col("doc_id"), F.col("source"), F.col("text"), size.alias("size")
     )
-    shares = mix(
-        withsize.select("doc_id", "source", F.col("_size").alias("size")), **options
-    ).groupBy("doc_id", "source", "size").agg(
-        F.min("taken").alias("_low"), F.max("taken").alias("_high"), F.sum("taken").alias("_sum"),
-        F.count(F.lit(1)).alias("_n"),
-    ).select(
+    shares = mix(rows.select("doc_id", "source", "size"), **options).where("taken > 0").select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("size").alias("_sz"),
-        "_low", "_high", "_sum", "_n",
+        F.col("copy").alias("_nth"), "taken", "alike",
     )
-    joined = withsize.join(
-        shares.where("_high > 0"),
+    on = (
         F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_src"))
-        & (F.col("_size") == F.col("_sz")),
+        & (F.col("size") == F.col("_sz"))
+    )
+    single = rows.join(shares.where("alike = 1"), on)
+    # Rows alike in id, source and size are numbered by their text's hash.
+    nth = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))) - 1
+    several = (
+        rows.join(shares.where("alike > 1").select("_d", "_src", "_sz").distinct(), on, "left_semi")
+        .withColumn("_n", nth).join(shares.where("alike > 1"), on & (F.col("_n") == F.col("_nth")))
+        .drop("_n")
     )
-    same = joined.where("_low = _high").withColumn("_taken", F.col("_low"))
-    # Copies with different shares: the first take more (the budget ends among them).
-    copy = F.row_number().over(
-        W.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    ) - 1
-    ends = F.col("_sum") - F.col("_n") * (F.floor(F.col("_low") / F.col("_size")) * F.col("_size"))
-    uneven = joined.where("_low < _high").withColumn("_copy", copy).withColumn(
-        "_taken",
-        F.floor(F.col("_low") / F.col("_size")) * F.col("_size") + F.greatest(
-            F.lit(0), F.least(F.col("_size"), ends - F.col("_copy") * F.col("_size"))
-        ),
-    ).drop("_copy")
     times = (
-        same.unionByName(uneven)
-        .withColumn("_whole", F.floor(F.col("_taken") / F.col("_size")))
-        .withColumn("_part", F.col("_taken") - F.col("_whole") * F.col("_size"))
+        single.unionByName(several)
+        .withColumn("_whole", F.floor(F.col("taken") / F.col("size")))
+        .withColumn("_part", F.col("taken") - F.col("_whole") * F.col("size"))
         .withColumn(
             "_k", F.explode(F.sequence(
                 F.lit(1).cast("bigint"), F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0)
             )),
         )
     )
-    cut = F.array_join(
-        F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_part").cast("int")), " "
-    )
-    out = times.withColumn("text", F.when(F.col("_k") <= F.col("_whole"), F.col("text")).otherwise(cut))
-    if "n_chars" in columns:
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    cut = F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")
+    whole = F.col("_k") <= F.col("_whole")
+    changed = F.col("_row").withField("text", F.when(whole, F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn(
-            "n_chars",
-            F.when(F.col("_k") <= F.col("_whole"), F.col("n_chars"))
-            .otherwise(F.length("text").cast(kind)).cast(kind),
+        changed = changed.withField(
+            "n_chars", F.when(whole, F.col("_row.n_chars")).otherwise(F.length(cut).cast(kind))
         )
-    return out.select(*columns)
+    return times.select(changed.alias("_row")).select("_row.*")

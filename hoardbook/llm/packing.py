@@ -142,7 +142,7 @@ def cut_pieces(
     )
 
 
-def place(pieces: DataFrame, window: int = WINDOW, rows_per_bucket: int = 50_000) -> DataFrame:
+def place(pieces: DataFrame, window: int = WINDOW, rows_per_bucket: int = 1_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``pieces`` (``length`` from 1 to ``window``).
 
     Full windows come first, one sequence each; the others follow by ``best_fit``. Every piece

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hoardbook.llm.common import extended, staged
+from hoardbook.llm.common import extended, staged, whole_row
 
 ORDER = 4
 A = 40
@@ -176,10 +176,10 @@ def _score(table):
     return run
 
 
-def _scored(docs: DataFrame, table, columns: list[str]) -> DataFrame:
-    """(_row, a struct of ``columns``; _doc, _lang, _bits, n_symbols) of every row, without a shuffle."""
+def _scored(docs: DataFrame, table, row) -> DataFrame:
+    """(_row, a struct; _doc, _lang, _bits, n_symbols) of every row, without a shuffle."""
     rows = docs.select(
-        F.struct(*columns).alias("_row"), F.col("doc_id").alias("_doc"),
+        row, F.col("doc_id").alias("_doc"),
         F.col("lang").alias("_lang"), F.col("text").alias("_text"),
     )
     schema = extended(rows.drop("_text"), "_bits double, n_symbols bigint")
@@ -235,7 +235,7 @@ def judged(
     and stay. Without any trusted text nothing is rejected. Equal rows are judged alike.
     """
     ids, table = _fitted(docs, trusted)
-    scored = staged(_scored(docs, table, ["doc_id"]), "scores")
+    scored = staged(_scored(docs, table, F.struct("doc_id").alias("_row")), "scores")
     return _judge(scored, *_quartiles(scored, ids), fence, prior).select(
         "_row.*", F.col("_lang").alias("lang"), "n_symbols", "perplexity", "threshold", "kept"
     )
@@ -247,7 +247,7 @@ def keep_good(
     """The rows of ``docs`` that ``judged`` keeps, with all their columns. Rows are scored once for
     the quantiles and again as they are kept, which moves no text."""
     ids, table = _fitted(docs, trusted)
-    trusted_scores = staged(_scored(docs, table, ["doc_id"]), "scores")
+    trusted_scores = staged(_scored(docs, table, F.struct("doc_id").alias("_row")), "scores")
     each, overall = _quartiles(trusted_scores, ids)
-    rows = _scored(docs, table, docs.columns)
+    rows = _scored(docs, table, whole_row(docs))
     return _judge(rows, staged(each, "quartiles"), overall, fence, prior).where("kept").select("_row.*")
