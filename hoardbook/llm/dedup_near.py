@@ -9,6 +9,7 @@ no link in it is lost.
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -235,22 +236,27 @@ def near_groups(
         with_group_totals(narrow.where("n > 0"), ["same"], ["_id"], {"rep": ("min", "_id")}), "alike"
     )
     reps = alike.where("_id = rep")
-    buckets = reps.select("_id", "n", F.explode("bands").alias("bucket")).withColumn("_one", F.lit(1))
+    buckets = reps.select("_id", "n", F.posexplode("bands").alias("band", "bucket")).withColumn("_one", F.lit(1))
     shared = staged(
         with_group_totals(
             buckets, ["bucket"], ["_id"], {"leader": ("min", "_id"), "members": ("sum", "_one")}
-        ).where("members > 1").select("bucket", "_id", "n", "leader"),
+        ).where("members > 1").select("band", "bucket", "_id", "n", "leader"),
         "buckets",
     )
     with_leader = shared.where("_id <> leader").select(
         F.col("_id").alias("a"), F.col("leader").alias("b")
     ).distinct()
     needed = shared.select("_id").distinct()
-    sets = staged(sketched.select("_id", "n", "sketch", "shingles").join(needed, "_id", "left_semi"), "sets")
+    sets = staged(sketched.select("_id", "bands", "sketch", "shingles").join(needed, "_id", "left_semi"), "sets")
     near = staged(similarities(with_leader, sets), "near")
-    rest = staged(similarities(_left_over(shared, near, sets, least, bands * rows), sets), "rest")
-    links = near.unionByName(rest).where(F.col("similarity") >= least).select("a", "b")
-    classes = components(links, "near-components").select(F.col("node").alias("rep"), "component")
+    links = near.where(F.col("similarity") >= least).select("a", "b")
+    classes = staged(components(links, "near-components"), "classes")
+    rest = staged(_left_over(shared, near, sets, classes, least, bands * rows), "rest")
+    # Every class is a star around its smallest member; the links found last join stars.
+    stars = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    classes = components(stars.unionByName(rest), "near-components").select(
+        F.col("node").alias("rep"), "component"
+    )
 
     joined = alike.join(classes, "rep", "left").select(
         "_id", "_key", *[f"_c_{n}" for n in carry], F.coalesce("component", "rep").alias("component")
@@ -271,49 +277,114 @@ def near_groups(
     )
 
 
-def _left_over(shared: DataFrame, near: DataFrame, sets: DataFrame, least: float, size: int) -> DataFrame:
-    """(a, b): pairs that share a bucket, are not both linked to its leader, and may be similar.
-
-    Distances (one less similarity) obey the triangle inequality: similar texts are about equally
-    far from the leader, by 1 - ``least`` at most. Members meet by bucket and class of distance,
-    so those linked to the leader meet only the few others near it. A pair comes out if the sizes
-    allow it and the sketches agree about as often as they would have to (six standard deviations
-    below ``least``).
+def _left_over(
+    shared: DataFrame, near: DataFrame, sets: DataFrame, classes: DataFrame, least: float, size: int,
+    block: int = 400,
+) -> DataFrame:
+    """(a, b): links between texts that share a bucket and are in different ``classes`` so far; of
+    the links that would join the same classes again not all need come out.
+
+    Only buckets that hold several classes are looked at. In them at least one of such a pair is
+    not linked to the leader. Distances (one less similarity) obey the triangle inequality: similar
+    texts are about equally far from the leader, by 1 - ``least`` at most. So members meet by bucket
+    and ring of distance, and those linked to the leader meet only the few others near it. They
+    meet in blocks of about ``block`` on either side, whatever the bucket's size; a block emits no
+    pairs but those that are similar and join two classes.
     """
     step = 1 - least
     known = near.select(F.col("a").alias("_id"), F.col("b").alias("leader"), "similarity")
-    members = (
-        shared.where("_id <> leader").join(known, ["_id", "leader"])
-        .select("bucket", "_id", "n", "similarity", F.floor((1 - F.col("similarity")) / step).alias("ring"))
+    named = shared.join(classes.withColumnRenamed("node", "_id"), "_id", "left").withColumn(
+        "class", F.coalesce("component", "_id")
     )
-    members = staged(members, "members")
-    outside = members.where(F.col("similarity") < least)
-    rings = outside.select("bucket", F.explode(F.array("ring", F.col("ring") - 1, F.col("ring") + 1)).alias("ring")).distinct()
-    sketch = sets.select("_id", "sketch")
-    inside = members.join(rings, ["bucket", "ring"], "left_semi").join(sketch, "_id")
-    probes = outside.join(sketch, "_id").select(
-        "bucket", F.explode(F.array("ring", F.col("ring") - 1, F.col("ring") + 1)).alias("ring"),
-        F.col("_id").alias("a"), F.col("n").alias("_n"), F.col("similarity").alias("_s"),
-        F.col("sketch").alias("_sketch"),
-    )
-    agree = F.aggregate(
-        F.zip_with("sketch", "_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x
+    mixed = with_group_totals(
+        named, ["bucket"], ["_id"], {"_low": ("min", "class"), "_high": ("max", "class")}
+    ).where("_low <> _high and _id <> leader").select("band", "bucket", "_id", "n", "leader", "class")
+    members = staged(
+        mixed.join(known, ["_id", "leader"]).select(
+            "band", "bucket", "_id", "n", "class", "similarity",
+            F.floor((1 - F.col("similarity")) / step).alias("ring"),
+        ),
+        "members",
     )
-    enough = int(size * least - 6 * (size * least * (1 - least)) ** 0.5)
+    near_rings = F.explode(F.array("ring", F.col("ring") - 1, F.col("ring") + 1))
+    outside = members.where(F.col("similarity") < least)
+    both = members.withColumn("left", F.lit(0)).unionByName(
+        outside.withColumn("left", F.lit(1)).withColumn("ring", near_rings)
+    ).withColumn("right", 1 - F.col("left"))
+    counted = with_group_totals(
+        both, ["bucket", "ring"], ["_id", "left"], {"_l": ("sum", "left"), "_r": ("sum", "right")}
+    ).where("_l > 0 and _r > 0")
+    parts = lambda n: F.ceil(F.col(n) / block)
+    number = lambda n: F.pmod(F.xxhash64("_id"), parts(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), parts(n) - 1))
+    columns = ["band", "bucket", "ring", "_id", "n", "class", "similarity", "bands", "sketch", "shingles"]
+    full = staged(counted, "meetings").join(sets, "_id")
+    probes = full.where("left = 1").select(*columns, number("_l").alias("lb"), upto("_r").alias("rb"))
+    others = full.where("left = 0").select(*columns, number("_r").alias("rb"), upto("_l").alias("lb"))
+    others = others.toDF(*others.columns)
+    key = ["bucket", "ring", "lb", "rb"]
+    # Four standard deviations below: a link is overlooked with probability 3e-5.
+    enough = int(size * least - 4 * (size * least * (1 - least)) ** 0.5)
     return (
-        probes.join(inside, ["bucket", "ring"])
-        .where(
-            (F.col("a") != F.col("_id"))
-            # Of two outside members one order is enough.
-            & ((F.col("similarity") >= least) | (F.col("a") < F.col("_id")))
-            & (F.abs(F.col("similarity") - F.col("_s")) <= step + 1e-9)
-            & (F.least("n", "_n") >= least * F.greatest("n", "_n"))
-            & (agree >= enough)
-        )
-        .select("a", F.col("_id").alias("b")).distinct()
+        probes.groupBy(*key).cogroup(others.groupBy(*key))
+        .applyInPandas(_meet(least, enough), "a bigint, b bigint").distinct()
     )
 
 
+def _meet(least: float, enough: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        stack = lambda t, c, kind: np.stack([np.asarray(x, kind) for x in t[c]])
+        column = lambda t, c: t[c].to_numpy()
+        sketch, other = stack(left, "sketch", np.int8), stack(right, "sketch", np.int8)
+        bands, there = stack(left, "bands", np.int64), stack(right, "bands", np.int64)
+        a, b = column(left, "_id"), column(right, "_id")
+        n, m = column(left, "n"), column(right, "n")
+        s, r = column(left, "similarity"), column(right, "similarity")
+        c, d = column(left, "class"), column(right, "class")
+        band = int(left["band"].iloc[0])
+        found = []
+        for i in range(len(a)):
+            may = np.flatnonzero(
+                (c[i] != d) & ((r >= least) | (a[i] < b)) & (np.abs(s[i] - r) <= 1 - least + 1e-9)
+                & (np.minimum(n[i], m) >= least * np.maximum(n[i], m))
+            )
+            if len(may):
+                agree = (sketch[i] == other[may]).sum(1)
+                may, agree = may[agree >= enough], agree[agree >= enough]
+            if len(may):  # a pair is settled in the first band that it shares
+                first = (bands[i] == there[may]).argmax(1) == band
+                found += [(int(x), i, j) for x, j in zip(agree[first], may[first].tolist())]
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        sets: dict[tuple[int, int], np.ndarray] = {}
+
+        def numbered(side, at):
+            if (side, at) not in sets:
+                sets[side, at] = _numbered((left if side else right)["shingles"].iloc[at])
+            return sets[side, at]
+
+        links = []
+        for _, i, j in sorted(found, reverse=True):
+            x, y = root(int(c[i])), root(int(d[j]))
+            if x == y:
+                continue
+            p, q = numbered(1, i), numbered(0, j)
+            common = len(np.intersect1d(p, q, assume_unique=True))
+            if common / (len(p) + len(q) - common) >= least:
+                parent[x] = y
+                links.append((a[i], b[j]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) with one of each class of near duplicates."""
     return keep_marked(docs, staged(near_groups(docs, carry={"_sha": text_digest()}, **options), "marks"))
