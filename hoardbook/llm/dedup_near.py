@@ -21,6 +21,7 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair of similarity 0.8 shares no band with probability 6e-5
 CELLS_AT_ONCE = 1 << 19
 _U = np.uint64
+MEETING = ["bucket", "ring", "lb", "rb"]  # what a probe and another member must share to meet
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 15.0)])))
 _WORD: np.ndarray | None = None
 
@@ -318,23 +319,34 @@ def _left_over(
     number = lambda n: F.pmod(F.xxhash64("_id"), parts(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), parts(n) - 1))
     columns = ["band", "bucket", "ring", "_id", "n", "class", "similarity", "bands", "sketch", "shingles"]
-    full = staged(counted, "meetings").join(sets, "_id")
+    counted = staged(counted, "meetings")
+    full = counted.join(sets, "_id")
     probes = full.where("left = 1").select(*columns, number("_l").alias("lb"), upto("_r").alias("rb"))
     others = full.where("left = 0").select(*columns, number("_r").alias("rb"), upto("_l").alias("lb"))
+    # Most meetings are small: one call handles about a thousand rows of them.
+    slots = max(1, counted.count() // 1000)
+    slot = F.pmod(F.xxhash64(*MEETING), F.lit(slots)).alias("slot")
+    probes, others = probes.select(slot, "*"), others.select(slot, "*")
     others = others.toDF(*others.columns)
-    key = ["bucket", "ring", "lb", "rb"]
     # Four standard deviations below: a link is overlooked with probability 3e-5.
     enough = int(size * least - 4 * (size * least * (1 - least)) ** 0.5)
     return (
-        probes.groupBy(*key).cogroup(others.groupBy(*key))
+        probes.groupBy("slot").cogroup(others.groupBy("slot"))
         .applyInPandas(_meet(least, enough), "a bigint, b bigint").distinct()
     )
 
 
 def _meet(least: float, enough: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        links = []
+        if not left.empty and not right.empty:
+            there = right.groupby(MEETING, sort=False).indices
+            for key, rows in left.groupby(MEETING, sort=False).indices.items():
+                if key in there:
+                    links += meeting(left.iloc[rows], right.iloc[there[key]])
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    def meeting(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
         stack = lambda t, c, kind: np.stack([np.asarray(x, kind) for x in t[c]])
         column = lambda t, c: t[c].to_numpy()
         sketch, other = stack(left, "sketch", np.int8), stack(right, "sketch", np.int8)
@@ -380,7 +392,7 @@ def _meet(least: float, enough: int):
             if common / (len(p) + len(q) - common) >= least:
                 parent[x] = y
                 links.append((a[i], b[j]))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+        return links
 
     return run
 
