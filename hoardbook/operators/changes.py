@@ -1,7 +1,8 @@
 """Change events folded into new table snapshots.
 
 An event has event_id, seq, kind ('edit', 'sale', 'grade', 'location'), item_id or
-acquisition_id, and a map of the texts entered. Later events (higher seq) win column by column.
+acquisition_id, and a map of the texts entered. Later events (higher seq, then higher event_id) win
+column by column.
 """
 
 from dataclasses import dataclass
@@ -23,6 +24,13 @@ FEES = ["shipping_charged", "marketplace_fee", "processing_fee", "promo_fee", "s
 GRADING_FEES = ["grading_fee", "grading_ship", "grading_extra"]
 
 
+ORDER = ["seq", "event_id"]
+
+
+def _when(write: Column) -> Column:
+    return F.struct(*[write[c] for c in ORDER])
+
+
 @dataclass(frozen=True)
 class Snapshot:
     items: DataFrame
@@ -47,9 +55,15 @@ def _is(kind: str) -> Column:
     return F.col("kind") == kind
 
 
-def event_rejects(events: DataFrame) -> DataFrame:
-    """Events that would break a table rule, each with its reason. They change nothing."""
-    return events.withColumn("reason", _problem()).where(F.col("reason").isNotNull())
+def event_rejects(events: DataFrame, items: DataFrame) -> DataFrame:
+    """Events that would break a table rule, each with its reason, and sales of items that do not
+    exist. They change nothing."""
+    judged = events.withColumn("reason", _problem())
+    sales = judged.where(F.col("reason").isNull() & _is("sale"))
+    unknown = rows_without_keys(sales, items, "item_id", ["event_id"])
+    return judged.where(F.col("reason").isNotNull()).unionByName(
+        unknown.withColumn("reason", F.lit("item_id"))
+    )
 
 
 def _problem() -> Column:
@@ -125,18 +139,18 @@ def last_writes(events: DataFrame) -> DataFrame:
             value = F.when(when, what).otherwise(value)
             written = written | F.coalesce(when, F.lit(False))
         entry = F.when(written, F.struct(
-            F.col("seq"), value.cast(ITEM[name].dataType).alias("value")
+            *ORDER, value.cast(ITEM[name].dataType).alias("value")
         ))
-        columns.append(F.max_by(entry, F.when(written, F.col("seq"))).alias(f"_w_{name}"))
+        columns.append(F.max_by(entry, F.when(written, F.struct(*ORDER))).alias(f"_w_{name}"))
     return events.where(F.col("kind").isin("edit", "sale", "grade")).groupBy("item_id").agg(*columns)
 
 
 def last_locations(events: DataFrame) -> DataFrame:
     """Per purchase, the last place set for all of its items."""
-    place = F.struct("seq", _entered("storage_location").alias("value"))
+    place = F.struct(*ORDER, _entered("storage_location").alias("value"))
     return (
         events.where(_is("location")).groupBy("acquisition_id")
-        .agg(F.max_by(place, "seq").alias("_w_box"))
+        .agg(F.max_by(place, F.struct(*ORDER)).alias("_w_box"))
     )
 
 
@@ -166,7 +180,7 @@ def apply_changes(
     )
     own, box = F.col("_w_storage_location"), F.col("_w_box")
     place = F.when(
-        box.isNotNull() & (own.isNull() | (box["seq"] > own["seq"])), box
+        box.isNotNull() & (own.isNull() | (_when(box) > _when(own))), box
     ).otherwise(own)
     changed = changed.withColumn("_w_storage_location", place)
     result = changed.withColumns({
@@ -177,7 +191,7 @@ def apply_changes(
     return Snapshot(
         with_generated(result, "item"),
         sales.unionByName(new_sales(valid, items, sales), allowMissingColumns=True),
-        event_rejects(events),
+        event_rejects(events, items),
     )
 
 

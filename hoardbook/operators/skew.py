@@ -1,47 +1,25 @@
-"""Joins and grouped picks that stay balanced when one key holds a large part of the rows.
+"""Joins that stay balanced when one key holds a large part of the rows.
 
-A one-to-many join shuffles the many side by its key, so a key with a third of the rows would
-land in one task. ``join_one_to_many`` counts the rows per key first (map-side combined), takes
-the fullest keys and spreads each of them over several salts; the one side repeats its row once
-per salt. At most ``MAX_HOT_KEYS`` keys are taken, which bounds what is broadcast, and any key
-left out holds fewer than 1/MAX_HOT_KEYS of the rows. Results never depend on the salts.
+By default Spark's skew rule does the work: it splits the partitions of an inner join, and those of
+the kept side of an outer join, by the sizes found at run time, whatever the number of full keys.
+What it cannot split, an outer join whose optional side is the uneven one, is an inner join
+here, united with the rows that have no match.
 
-Spark's own skew-join rule covers plain joins of two shuffled scans. It leaves out the cases met
-here: outer joins whose skewed side is the optional one, and inputs already grouped by the key.
+A caller that knows its keys to be uneven beyond what the rule sees gives ``rows_per_task``: keys
+with more rows are spread over salts, however many such keys there are. Results never depend on
+the salts.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_HOT_KEYS = 1000
-ROWS_PER_TASK = 1_000_000
-# Below this size a whole input is a few tasks' worth of data, whatever its keys look like.
-SPREAD_FROM_BYTES = 512 * 1024 * 1024
 
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of everything ``df`` reads, as Spark knows it; sources of unknown size count as huge."""
-    if not hasattr(df, "_jdf"):  # a remote session does not tell
-        return SPREAD_FROM_BYTES
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def needs_spreading(df: DataFrame, rows_per_task: int | None) -> bool:
-    """Small inputs skip the counting pass; an explicit ``rows_per_task`` always counts."""
-    return rows_per_task is not None or input_bytes(df) >= SPREAD_FROM_BYTES
-
-
-def hot_keys(rows: DataFrame, keys: list[str], rows_per_task: int | None = None) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows, the fullest first, and how far to spread each."""
-    limit = rows_per_task or ROWS_PER_TASK
-    counts = (
-        rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    )
+def hot_keys(rows: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
+    """Keys with more than ``rows_per_task`` rows, and over how many salts to spread each. There are
+    at most rows / ``rows_per_task`` of them."""
     return (
-        counts.where(F.col("_rows") > limit)
-        .orderBy(F.col("_rows").desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_salts"))
+        rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > rows_per_task)
+        .select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts"))
     )
 
 
@@ -55,16 +33,20 @@ def join_one_to_many(
     ``many`` without a match). ``spread_by`` names columns of ``many`` that differ between rows
     of one key; they choose the salt.
     """
-    if not needs_spreading(many, rows_per_task):
-        return one.join(many, keys, how)
-    hot = F.broadcast(hot_keys(many, keys, rows_per_task))
+    if rows_per_task is None:
+        if how != "left":
+            return one.join(many, keys, how)
+        met = one.join(many, keys, "inner")
+        alone = one.join(many.select(*keys).distinct(), keys, "left_anti")
+        return met.unionByName(alone, allowMissingColumns=True)
+    hot = hot_keys(many, keys, rows_per_task)
     spread = F.xxhash64(*spread_by)
     no_key = ~_all_present(keys)
     many_salted = (
         many.join(hot, keys, "left")
         .withColumn(
             "_salt",
-            F.when(no_key, F.pmod(spread, F.lit(MAX_HOT_KEYS)))
+            F.when(no_key, F.pmod(spread, F.lit(_null_salts(many))))
             .otherwise(F.coalesce(F.pmod(spread, F.col("_salts")), F.lit(0))).cast("int"),
         )
         .drop("_salts")
@@ -85,3 +67,8 @@ def _all_present(keys: list[str]) -> Column:
     for key in keys:
         present = present & F.col(key).isNotNull()
     return present
+
+
+def _null_salts(rows: DataFrame) -> int:
+    """Rows without a key match nothing; they spread over all partitions."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hoardbook.operators.catalog import GAMES, MEDIA, Catalog
 from hoardbook.operators.intake import normalize_export, normalize_typed
-from hoardbook.operators.skew import input_bytes, join_one_to_many
+from hoardbook.operators.skew import join_one_to_many
 from hoardbook.plans import mapping as m
 from hoardbook.schemas import SUBGRADES
 from hoardbook.sources.exports import named_export_rows
 from hoardbook.sources.staging import staged
 from hoardbook.sources.tables import read_numbered
 
-SMALL_TABLE = 128 * 1024 * 1024
-
 
 def mapped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{sql} as `{name}`" for name, sql in columns.items()])
@@ -42,12 +40,8 @@ class Inputs:
 
     @cached_property
     def text_lines(self) -> DataFrame:
-        """Named lines for string-heavy work. A small table is a single Parquet row group, which
-        one core would have to work through; large tables come in many."""
-        lines = self.named_lines
-        if input_bytes(lines) >= SMALL_TABLE:
-            return lines
-        return lines.repartition(self.spark.sparkContext.defaultParallelism, "line_id")
+        """Named lines for string-heavy work."""
+        return self.named_lines
 
     @cached_property
     def media(self) -> Catalog:
@@ -113,9 +107,10 @@ class Inputs:
 
     @cached_property
     def overrides(self) -> DataFrame:
-        """Prices entered by hand for cards of every batch, by place in the batch."""
-        return self.table("supplier").selectExpr(
-            "s_suppkey as batch_id", "explode(sequence(0, 199)) as card_index"
+        """Prices entered by hand for every card of every batch, by place in the batch."""
+        cards = self.import_rows.groupBy("batch_id").agg(F.sum("quantity").alias("_cards"))
+        return cards.selectExpr(
+            "batch_id", "explode(sequence(0L, _cards - 1)) as card_index"
         ).withColumn("paid", F.expr(m.OVERRIDE_PRICE))
 
     @cached_property

@@ -249,8 +249,7 @@ RELATIONS = {
         from (select *, unnest(range(quantity)) as copy_no from import_row)""",
     "override": f"""
         select batch_id, card_index, {amount('paid')} as entered from
-            (select batch_id, card_index, {m.OVERRIDE_PRICE} as paid from
-                (select s_suppkey as batch_id, unnest(range(200)) as card_index from supplier))""",
+            (select batch_id, card_index, {m.OVERRIDE_PRICE} as paid from card)""",
     "single": """
         select c.*, cast(coalesce(o.entered, c.paid, c.market_value, 0) as decimal(12,2))
                 as cost_basis,
@@ -377,7 +376,9 @@ RELATIONS = {
             when kind = 'grade' and f_grader not in ('', 'PSA', 'BGS', 'CGC', 'TAG', 'SGC', 'other')
                 then 'grader'
             when kind = 'grade' and f_status not in
-                ('', 'inventory', 'listed', 'sold', 'keep', 'grading', 'lost') then 'status' end
+                ('', 'inventory', 'listed', 'sold', 'keep', 'grading', 'lost') then 'status'
+            when kind = 'sale' and (item_id is null or item_id > (select count(*) from lineitem))
+                then 'item_id' end
             as reason from event) where reason is not null""",
     "good_event":
         "select * from event where event_id not in (select event_id from bad_event)",

@@ -640,7 +640,7 @@ def apply_changes(t: Inputs):
 
 @query
 def change_rejects(t: Inputs):
-    return changes.event_rejects(t.events).select("event_id", "kind", "reason")
+    return changes.event_rejects(t.events, t.items).select("event_id", "kind", "reason")
 
 
 @query

@@ -21,40 +21,41 @@ HEADERS = {
     "image_url": ["Photo URL"],
     "quantity": ["Add to Quantity", "Total Quantity"],
 }
-# Exports have some sixteen columns; a wider line is an error, never cut off.
-MAX_COLUMNS = 40
+
+def widest_line(spark: SparkSession, path: str) -> int:
+    """A bound for the cells that the headers under ``path`` name: one more than the commas of the
+    line that has most. Headers take one line."""
+    commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
+    return 1 + (spark.read.text(path).agg(F.max(commas)).first()[0] or 0)
 
 
 def read_cells(
-    spark: SparkSession, path: str, max_columns: int = MAX_COLUMNS, multiline: bool = True
+    spark: SparkSession, path: str, multiline: bool = True
 ) -> DataFrame:
     """Every CSV line as an array of texts, with its file and its place in the file.
 
-    Files are read without a header, so files with different headers share one scan. With
+    Files are read without a header, so files with different headers share one scan; its width is
+    that of the widest line, so no header is cut. With
     ``multiline=False`` (no line breaks inside quotes) large files are split over tasks.
     """
-    names = [f"_c{i}" for i in range(max_columns + 1)]
+    names = [f"_c{i}" for i in range(widest_line(spark, path))]
     lines = (
         spark.read.schema(", ".join(f"{n} string" for n in names))
         .option("header", False).option("multiLine", multiline)
-        .option("quote", '"').option("escape", '"')
+        .option("quote", '"').option("escape", '"').option("maxColumns", len(names) + 1)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    too_wide = F.when(
-        F.col(names[-1]).isNotNull(),
-        F.raise_error(F.lit(f"an export line has more than {max_columns} columns")),
-    )
     return lines.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
-        F.array(*names[:-1], too_wide.cast("string")).alias("cells"),
+        F.array(*names).alias("cells"),
     )
 
 
 def scan_exports(
-    spark: SparkSession, path: str, max_columns: int = MAX_COLUMNS, multiline: bool = True,
+    spark: SparkSession, path: str, multiline: bool = True,
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Data rows of all export files under ``path``: file, position in it, cells, and the places
@@ -63,7 +64,7 @@ def scan_exports(
     The lines are staged once: CSV is parsed a single time, and line numbers are fixed before
     header and data lines are told apart.
     """
-    lines = staged(read_cells(spark, path, max_columns, multiline), "export-lines")
+    lines = staged(read_cells(spark, path, multiline), "export-lines")
     # One row per file part that was read; a part's lines carry rising numbers.
     parts = lines.groupBy("file_path", "block").agg(
         F.min("line").alias("_first"), F.count(F.lit(1)).alias("_lines")

@@ -9,9 +9,14 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session; a folder of its own only where none is named."""
+    """The folder named by the session. Only a session on one machine (master ``local``) may lack
+    it and gets a folder of its own; elsewhere executors could not read each other's files."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="hoardbook-")
+    if folder:
+        return folder
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return tempfile.mkdtemp(prefix="hoardbook-")
+    raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

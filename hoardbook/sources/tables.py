@@ -4,9 +4,6 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from hoardbook.schemas import DEFAULTS, TABLES
 
-# File lists up to this length are broadcast (a path and a number each).
-BROADCAST_FILES = 100_000
-
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """One of the nine tables, read with its declared schema."""
@@ -31,8 +28,6 @@ def read_numbered(spark: SparkSession, path: str, into: str) -> DataFrame:
         .agg((F.max("_metadata.row_index") + 1).alias("_rows"))
         .select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
     )
-    if len(files) <= BROADCAST_FILES:
-        starts = F.broadcast(starts)
     placed = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn(into, position)
     return (
         placed.join(starts, "_file").withColumn(into, F.col(into) + F.col("_start"))

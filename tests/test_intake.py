@@ -238,9 +238,12 @@ def test_export_files(spark, exports, limit):
     ]
 
 
-def test_too_wide_exports_fail(spark, exports):
-    with pytest.raises(Exception, match="more than 3 columns"):
-        scan_exports(spark, exports, max_columns=3)
+def test_wide_exports_keep_every_column(spark, tmp_path):
+    headers = ["Product Name"] + [f"h{i}" for i in range(39)] + ["", "Paid"]
+    cells = ["Wide"] + ["x"] * 39 + ["", "4.25"]
+    (tmp_path / "wide.csv").write_text(",".join(headers) + "\n" + ",".join(cells) + "\n")
+    got = export_rows(scan_exports(spark, str(tmp_path)))
+    assert rows(got, "name", "paid", "has_paid_column") == [("Wide", "4.25", True)]
 
 
 def test_split_export_files_keep_their_order(spark, tmp_path):

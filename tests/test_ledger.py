@@ -129,6 +129,9 @@ def test_changes(items, table):
         (7, 7, "location", None, 1, {"storage_location": "Bin"}),
         (8, 8, "edit", 4, None, {"storage_location": ""}),
         (9, 9, "sale", 99, None, {"sale_date": "2026-01-02", "gross_price": "1"}),
+        # Of equal seq the higher event_id wins.
+        (12, 10, "edit", 3, None, {"notes": "second"}),
+        (11, 10, "edit", 3, None, {"notes": "first"}),
     ], EVENT)
     after = changes.apply_changes(cards, sales, events)
     got = {r["item_id"]: r for r in after.items.collect()}
@@ -140,7 +143,8 @@ def test_changes(items, table):
     assert (four["grader"], four["grade"], four["grading_total"], four["status"]) == ("PSA", D("9.5"), D("20.00"), "inventory")
     assert [got[i]["storage_location"] for i in (1, 2, 3, 4)] == ["Bin", "Bin", "Bin", None]
     assert rows(after.sales, "sale_id", "item_id", "net_proceeds") == [(1, 3, D("32.50"))]
-    assert {r["event_id"] for r in after.rejected.collect()} == {3, 5}
+    assert got[3]["notes"] == "second"
+    assert rows(after.rejected, "event_id", "reason") == [(3, "status"), (5, "sale_date"), (9, "item_id")]
     again = changes.apply_changes(after.items, sales, events).items
     assert rows(again.drop("created_at", "subgrades")) == rows(after.items.drop("created_at", "subgrades"))
 
