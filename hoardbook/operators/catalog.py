@@ -200,17 +200,67 @@ def stats(
     return result.orderBy(*order) if order else result
 
 
-def row_count(catalog: Catalog) -> DataFrame:
-    return stats(base(catalog), {"count": F.count(F.lit(1))})
+def tallies(catalog: Catalog, columns: list[str] | None = None, location: str = "") -> DataFrame:
+    """How many base rows there are and what they cost, (``columns``, rows, cost): one row per title
+    and values of its copies. Base columns of titles and copies may be asked for.
+
+    Purchases are counted per copy, copies per title, before titles join, so no base row is ever
+    formed and a title with very many copies moves one row per task.
+    """
+    spec = catalog.spec
+    sources = {c: spec.base[c].split("_", 1) for c in columns or []}
+    of_copy = [F.col(name).alias(c) for c, (side, name) in sources.items() if side == "c"]
+    of_title = [F.col(name).alias(c) for c, (side, name) in sources.items() if side == "t"]
+    per_copy = catalog.purchases.groupBy(F.col(spec.purchase_copy).alias("_copy")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("cost").alias("_cost")
+    )
+    copies = catalog.copies
+    if location.strip():
+        copies = copies.where(contains_any([F.col("location_label")], location.strip()))
+    per_title = (
+        copies.select(F.col("id").alias("_id"), F.col(spec.copy_title).alias("_title"), *of_copy)
+        .join(per_copy, F.col("_id") == F.col("_copy"), "left")
+        .groupBy("_title", *[c for c, (side, _) in sources.items() if side == "c"])
+        .agg(F.sum(F.coalesce("_rows", F.lit(1))).alias("rows"), F.sum("_cost").alias("cost"))
+    )
+    titles = catalog.titles.select(F.col("id").alias("_key"), *of_title)
+    return per_title.join(titles, F.col("_title") == F.col("_key")).select(
+        *(columns or []), "rows", "cost"
+    )
+
+
+def _total(catalog: Catalog) -> Column:
+    """Sum of the costs of ``tallies``, of the type that a sum over the purchases has."""
+    return F.sum("cost").cast(catalog.purchases.select(F.sum("cost")).schema[0].dataType)
+
+
+def row_count(catalog: Catalog, location: str = "") -> DataFrame:
+    return stats(
+        tallies(catalog, location=location), {"count": F.coalesce(F.sum("rows"), F.lit(0))}
+    )
 
 
 def count_by(catalog: Catalog, column: str, order: list[Column] | None = None) -> DataFrame:
     """Rows per value; the rows without a value count as 0."""
-    return stats(base(catalog), {"count": F.count(column)}, [column], order)
+    filled = F.when(F.col(column).isNotNull(), F.col("rows")).otherwise(0)
+    return stats(tallies(catalog, [column]), {"count": F.sum(filled)}, [column], order)
 
 
 def cost_by(catalog: Catalog, column: str) -> DataFrame:
-    return stats(base(catalog), {"sum": F.sum("cost")}, [column])
+    return stats(tallies(catalog, [column]), {"sum": _total(catalog)}, [column])
+
+
+def dashboard(catalog: Catalog, columns: list[str]) -> DataFrame:
+    """All numbers of a dashboard in one pass, (metric, value, count, sum): rows and spend in all
+    (metric ``total``) and per value of each column, null being a value."""
+    metrics = [F.struct(F.lit("total").alias("metric"), F.lit(None).cast("string").alias("value"))] + [
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in columns
+    ]
+    rows = tallies(catalog, columns).select(F.explode(F.array(*metrics)).alias("m"), "rows", "cost")
+    return stats(
+        rows.select("m.*", "rows", "cost"), {"count": F.sum("rows"), "sum": _total(catalog)},
+        ["metric", "value"],
+    )
 
 
 def cost_by_store(catalog: Catalog) -> DataFrame:
@@ -220,14 +270,13 @@ def cost_by_store(catalog: Catalog) -> DataFrame:
 
 def location_count(catalog: Catalog, location: str = "") -> DataFrame:
     """Rows at a location; the whole catalogue when no location is given."""
-    return stats(search(catalog, location=location), {"count": F.count(F.lit(1))})
+    return row_count(catalog, location)
 
 
 def shelf(catalog: Catalog, location: str) -> DataFrame:
     """What lies at a location, each row with the total."""
     rows = search(catalog, location=location, sort=DEFAULT_SORT)
-    total = search(catalog, location=location).agg(F.count(F.lit(1))).scalar()
-    return rows.withColumn("shelf_count", total)
+    return rows.withColumn("shelf_count", location_count(catalog, location).scalar())
 
 
 def genres(catalog: Catalog) -> DataFrame:

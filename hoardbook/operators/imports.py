@@ -6,7 +6,9 @@ and cards are staged: later steps read them several times, and a lost executor c
 than the step it was in.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,8 +35,15 @@ REQUIRED_FIELDS = {
 
 @dataclass(frozen=True)
 class Import:
+    """Acquisition and item rows. Item rows given as a function are built when first asked for:
+    who wants the boxes alone does not expand or write any card."""
+
     acquisitions: DataFrame
-    items: DataFrame
+    item_source: DataFrame | Callable[[], DataFrame]
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return self.item_source() if callable(self.item_source) else self.item_source
 
 
 def cards_of(rows: DataFrame) -> DataFrame:
@@ -90,11 +99,17 @@ def import_sealed(
     items: DataFrame | None = None, rows_per_task: int | None = None,
 ) -> Import:
     """New sealed boxes: cards start without basis, then the box cost is allocated to them."""
-    batches = batches_with_summary(_of_mode(manifest, "sealed"), rows)
+    sealed = _of_mode(manifest, "sealed")
+    batches = batches_with_summary(sealed, rows)
     keyed = _numbered(acquisition_rows(batches, keep=("n_cards",)), acquisitions)
-    cards = cards_of(rows).withColumn("cost_basis", F.lit(0).cast(MONEY))
-    new = staged(item_rows(cards, keyed, items, rows_per_task), "import-items")
-    return Import(_boxes(keyed), _settled(_boxes(keyed), new, rows_per_task))
+
+    def cards() -> DataFrame:
+        mine = rows_with_keys(rows, sealed, "batch_id", ["row_pos"], rows_per_task)
+        fresh = cards_of(mine).withColumn("cost_basis", F.lit(0).cast(MONEY))
+        new = staged(item_rows(fresh, keyed, items, rows_per_task), "import-items")
+        return _settled(_boxes(keyed), new, rows_per_task)
+
+    return Import(_boxes(keyed), cards)
 
 
 def _settled(boxes: DataFrame, new: DataFrame, rows_per_task: int | None) -> DataFrame:
@@ -177,15 +192,20 @@ def import_append(
         "status": F.when(F.col("_more").isNull(), F.col("status"))
         .when(opened >= F.col("packs_total"), "opened").otherwise("partial"),
     }).drop("_more")
-    held = rows_with_keys(items, moves, "acquisition_id", ["item_id"], rows_per_task)
-    settle = cards is None
-    if settle:
-        cards = cards_of(rows).withColumn("cost_basis", F.lit(0).cast(MONEY))
-    new = item_rows(cards, batches.drop("packs_now"), items, rows_per_task)
-    together = staged(held.unionByName(new, allowMissingColumns=True), "import-items")
-    if not settle:
-        return Import(boxes, together)
-    return Import(boxes, allocate_cost(boxes, together, rows_per_task).select(*together.columns))
+
+    def all_items() -> DataFrame:
+        held = rows_with_keys(items, moves, "acquisition_id", ["item_id"], rows_per_task)
+        added = cards
+        if added is None:
+            mine = rows_with_keys(rows, batches, "batch_id", ["row_pos"], rows_per_task)
+            added = cards_of(mine).withColumn("cost_basis", F.lit(0).cast(MONEY))
+        new = item_rows(added, batches.drop("packs_now"), items, rows_per_task)
+        together = staged(held.unionByName(new, allowMissingColumns=True), "import-items")
+        if cards is not None:
+            return together
+        return allocate_cost(boxes, together, rows_per_task).select(*together.columns)
+
+    return Import(boxes, all_items)
 
 
 def import_legacy_append(
@@ -272,15 +292,19 @@ def import_legacy(
     keyed = _numbered(
         acquisition_rows(batches, legacy=True, keep=("n_cards", "basis")), acquisitions
     )
-    cards = _legacy_cards(manifest, keyed, rows, rows_per_task)
-    new = staged(
-        item_rows(cards, keyed.drop("basis"), items, rows_per_task,
-                  keep=("basis",)),
-        "import-items",
-    )
     boxes = _boxes(keyed)
-    spread = _settled(boxes, new.where(~as_paid), rows_per_task)
-    return Import(boxes, spread.unionByName(new.where(as_paid)).drop("basis"))
+
+    def all_items() -> DataFrame:
+        mine = rows_with_keys(rows, keyed, "batch_id", ["row_pos"], rows_per_task)
+        cards = _legacy_cards(manifest, keyed, mine, rows_per_task)
+        new = staged(
+            item_rows(cards, keyed.drop("basis"), items, rows_per_task, keep=("basis",)),
+            "import-items",
+        )
+        spread = _settled(boxes, new.where(~as_paid), rows_per_task)
+        return spread.unionByName(new.where(as_paid)).drop("basis")
+
+    return Import(boxes, all_items)
 
 
 def _with_basis(manifest: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hoardbook.functions import ordering as o
 from hoardbook.functions.text import contains_any
-from hoardbook.operators.catalog import Catalog, search
+from hoardbook.operators.catalog import Catalog, location_count, search
 
 KINDS = ("movies", "cards", "games")
 
@@ -58,9 +58,19 @@ def locate(
 def locate_counts(
     media: Catalog, items: DataFrame, games: Catalog, location: str, kind: str = "all"
 ) -> DataFrame:
-    """Entries per collection and in total."""
-    found = locate(media, items, games, location, kind)
-    return found.groupBy().agg(
-        *[F.count_if(F.col("collection") == k).alias(k) for k in KINDS],
-        F.count(F.lit(1)).alias("total"),
+    """Entries per collection and in total, counted without forming the entries."""
+    location = location.strip()
+    wanted = ([kind] if kind in KINDS else list(KINDS)) if location else []
+    counts = {
+        "movies": location_count(media, location),
+        "cards": _cards(items, location).agg(F.count(F.lit(1)).alias("count")),
+        "games": location_count(games, location),
+    }
+    each = reduce(
+        lambda a, b: a.unionByName(b),
+        [rows.select(F.lit(k).alias("collection"), "count") for k, rows in counts.items()],
+    ).where(F.col("collection").isin(wanted))
+    number = lambda k: F.coalesce(F.sum(F.when(F.col("collection") == k, F.col("count"))), F.lit(0))
+    return each.agg(
+        *[number(k).alias(k) for k in KINDS], F.coalesce(F.sum("count"), F.lit(0)).alias("total")
     )

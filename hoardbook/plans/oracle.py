@@ -426,6 +426,14 @@ def _box_pl(sale_source: str, net: str) -> str:
                 a.packs_total)"""
 
 
+def _dashboard(base: str, columns: list[str], kind: str) -> str:
+    numbers = f"count(*) as count, cast(sum(cost) as {kind}) as sum from {base}"
+    parts = [f"select 'total' as metric, cast(null as varchar) as value, {numbers}"] + [
+        f"select '{c}', {c}, {numbers} group by {c}" for c in columns
+    ]
+    return " union all ".join(parts)
+
+
 def _dup_check(probe: str, table: str, copies_table: str, title_key: str, columns: str, label: str):
     listed = ", ".join(f"t.{c}" for c in columns.split(", "))
     return f"""
@@ -587,6 +595,8 @@ QUERIES = {
         f"select type, cast(sum(cost) as {SUMS}) as sum from media_base group by type",
     "media_cost_by_disk":
         f"select disk_type, cast(sum(cost) as {SUMS}) as sum from media_base group by disk_type",
+    "media_dashboard": _dashboard("media_base", ["type", "genre", "disk_type"], SUMS),
+    "game_dashboard": _dashboard("game_base", ["genre", "platform"], "decimal(18,2)"),
     "media_cost_by_store":
         f"select store, cast(sum(cost) as {SUMS}) as sum from media_purchases group by store",
     "media_location_count":
@@ -733,6 +743,16 @@ QUERIES = {
             null from item where storage_location ilike '%shelf 1%'
         union all select 'games', game_copy_id, title, location_label, purchase_date, cost,
             platform, null, genre, pi_id from game_base where location_label ilike '%shelf 1%'""",
+    "locate_movies": """
+        select 'movies' as collection, dvd_id as entry_id, title, location_label as location,
+            genre, pi_id from media_base where location_label ilike '%shelf 1%'""",
+    "locate_cards": """
+        select 'cards' as collection, item_id as entry_id, name as title,
+            storage_location as location, status
+        from item where storage_location ilike '%shelf 1%'""",
+    "locate_games": """
+        select 'games' as collection, game_copy_id as entry_id, title, location_label as location,
+            platform, pi_id from game_base where location_label ilike '%shelf 1%'""",
     "locate_counts": """
         select movies, cards, games, movies + cards + games as total from (select
             (select count(*) from media_base where location_label ilike '%shelf 1%') as movies,

@@ -203,6 +203,16 @@ def game_cost_by_platform(t: Inputs):
     return catalog.cost_by(t.games, "platform")
 
 
+@query
+def media_dashboard(t: Inputs):
+    return catalog.dashboard(t.media, ["type", "genre", "disk_type"])
+
+
+@query
+def game_dashboard(t: Inputs):
+    return catalog.dashboard(t.games, ["genre", "platform"])
+
+
 @query
 def media_search_name(t: Inputs):
     return catalog.search(t.media, name=" CUSTOMER#00000012", sort="title")
@@ -382,6 +392,27 @@ def locate_all(t: Inputs):
 QUERIES["locate"] = QUERIES.pop("locate_all")
 
 
+@query
+def locate_movies(t: Inputs):
+    return locate.locate(t.media, t.items, t.games, LABEL, "movies").select(
+        "collection", "entry_id", "title", "location", "genre", "pi_id"
+    )
+
+
+@query
+def locate_cards(t: Inputs):
+    return locate.locate(t.media, t.items, t.games, LABEL, "cards").select(
+        "collection", "entry_id", "title", "location", "status"
+    )
+
+
+@query
+def locate_games(t: Inputs):
+    return locate.locate(t.media, t.items, t.games, LABEL, "games").select(
+        "collection", "entry_id", "title", "location", "platform", "pi_id"
+    )
+
+
 @query
 def locate_counts(t: Inputs):
     return locate.locate_counts(t.media, t.items, t.games, LABEL)
