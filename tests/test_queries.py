@@ -5,6 +5,7 @@ import pytest
 
 import check
 import __spark_entry__ as entry_points
+from hoardbook.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry_points.oracle_sql()
@@ -21,7 +22,8 @@ def db():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry_points.queries()) == set(SQL)
+    """All queries of the library itself; the training-data queries have one where SQL can say it."""
+    assert set(QUERIES) <= set(SQL) <= set(entry_points.queries())
 
 
 def test_entry(spark):
