@@ -216,8 +216,10 @@ def _judge(scored: DataFrame, each: DataFrame, overall: dict, fence: float, prio
 
 
 def _fitted(docs: DataFrame, trusted: DataFrame):
+    """The trusted ids, and the model of their texts. Ids grow with the corpus, so the join that finds
+    the texts is a sort-merge join at every size, never a broadcast that ceases to fit."""
     ids = trusted.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct()
-    text = docs.join(ids, F.col("doc_id") == F.col("_t"), "left_semi").select("text")
+    text = docs.join(ids.hint("merge"), F.col("doc_id") == F.col("_t"), "left_semi").select("text")
     return ids, docs.sparkSession.sparkContext.broadcast(train(text))
 
 
