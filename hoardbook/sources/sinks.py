@@ -1,9 +1,12 @@
 """Writers for acquisitions and items."""
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hoardbook.operators.imports import Import, rule_rejects, without_rejects
 from hoardbook.operators.keysets import replace_rows
+from hoardbook.operators.skew import join_one_to_many
 from hoardbook.schemas import TABLES
 from hoardbook.sources.staging import staged
 
@@ -31,6 +34,8 @@ def write_append(
     """Store both tables anew after additions to boxes, as one version of each.
 
     The boxes touched and their items replace the stored rows; all other rows stay as they are.
+    A version holds whole tables, so ``folder`` must not be one that ``write_import`` adds to;
+    ``publish`` stores imports and additions side by side.
     """
     boxes = staged(result.acquisitions.select(*acquisitions.columns), "append-acquisition")
     cards = staged(result.items.select(*items.columns), "append-item")
@@ -62,3 +67,40 @@ def write_import(result: Import, folder: str, import_id: str) -> DataFrame:
         f"{folder}/item", import_id, ["acquisition_id", "item_id"],
     )
     return rejects
+
+
+def publish(boxes: DataFrame, items: DataFrame, folder: str, version: int) -> None:
+    """Store purchases and all of their items as one version; nothing else is rewritten.
+
+    Each attempt writes under a name of its own, and the marker that makes it count comes last: a
+    failure before it shows nothing, and storing a version again replaces it as a whole.
+    """
+    spark = boxes.sparkSession
+    attempt = uuid.uuid4().hex
+    boxes, items = staged(boxes, "publish-acquisition"), staged(items, "publish-item")
+    append_rows(boxes, "acquisition", f"{folder}/acquisition", attempt, ["acquisition_id"])
+    append_rows(items, "item", f"{folder}/item", attempt, ["acquisition_id", "item_id"])
+    (
+        spark.range(1).select(F.lit(attempt).alias("import_id"), F.lit(version).alias("version"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("version").parquet(f"{folder}/published")
+    )
+
+
+def read_published(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Acquisitions and items as published: each purchase and its items in the highest version
+    that holds the purchase."""
+    published = spark.read.schema("import_id string, version bigint").parquet(f"{folder}/published")
+
+    def stored(table: str) -> DataFrame:
+        schema = TABLES[table]
+        rows = spark.read.schema(type(schema)(list(schema)).add("import_id", "string"))
+        return rows.parquet(f"{folder}/{table}").join(published, "import_id")
+
+    boxes, items = stored("acquisition"), stored("item")
+    latest = boxes.groupBy("acquisition_id").agg(F.max("version").alias("version"))
+    key = ["acquisition_id", "version"]
+    return (
+        boxes.join(latest, key).select(*TABLES["acquisition"].names),
+        join_one_to_many(latest, items, key, ["item_id"]).select(*TABLES["item"].names),
+    )

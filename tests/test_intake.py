@@ -11,7 +11,7 @@ from hoardbook.operators import imports, intake
 from hoardbook.operators.allocate import allocate_cost, box_shares
 from hoardbook.operators.ledger import box_pl
 from hoardbook.sources.exports import export_rows, read_typed_rows, scan_exports
-from hoardbook.sources.sinks import write_append, write_import
+from hoardbook.sources.sinks import append_rows, publish, read_published, write_append, write_import
 from hoardbook.sources.tables import conform, read_numbered
 
 FIELDS = ("batch_id mode intake description purchase_date product_type game language price tax"
@@ -156,6 +156,32 @@ def test_sealed_import_then_append_equals_one_import(spark, manifest, typed, tmp
     assert sorted(r[0] for r in rows(both.items, "item_id")) == list(range(1, 11))
 
 
+def test_published_versions(spark, manifest, typed, tmp_path):
+    """Import, import again, add to a box, fail before the marker, read back."""
+    folder = str(tmp_path)
+    two = [dict(SEALED, batch_id=b) for b in ("b1", "b9")]
+    cards = [dict(batch_id=b, row_idx=1, name=f"c-{b}", market_value="2") for b in ("b1", "b9")]
+    first = imports.import_sealed(manifest(*two), typed(*cards))
+    for _ in range(2):
+        publish(first.acquisitions, first.items, folder, 1)
+    boxes, items = read_published(spark, folder)
+    assert sorted(rows(items, "name")) == [("c-b1",), ("c-b9",)] and boxes.count() == 2
+    key = boxes.agg(F.min("acquisition_id")).first()[0]
+    more = dict(batch_id="b2", mode="append", intake="manual", acquisition_id=str(key), packs_now="4")
+    both = imports.import_append(
+        manifest(more), typed(dict(batch_id="b2", row_idx=1, name="d", market_value="5")), boxes, items
+    )
+    publish(both.acquisitions, both.items, folder, 2)
+    boxes, items = read_published(spark, folder)
+    other = first.items.where(F.col("acquisition_id") != key)
+    want = sorted(rows(both.items, "item_id", "cost_basis") + rows(other, "item_id", "cost_basis"))
+    assert sorted(rows(items, "item_id", "cost_basis")) == want and len(want) == 3
+    assert boxes.count() == 2
+    append_rows(first.acquisitions, "acquisition", f"{folder}/acquisition", "lost", ["acquisition_id"])
+    boxes, items = read_published(spark, folder)
+    assert boxes.count() == 2 and sorted(rows(items, "item_id", "cost_basis")) == want
+
+
 def test_append_leaves_out_batches_that_break_a_rule(manifest, typed, tables):
     boxes, items = tables
     more = dict(mode="append", intake="manual", acquisition_id="1", packs_now="2")
