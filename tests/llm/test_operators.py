@@ -307,6 +307,44 @@ def test_repeated_words_are_one_symbol():
     assert (quality.symbols("gogo go") != again).all()
 
 
+def test_quality_tells_scrambled_letters_of_any_script(spark):
+    r = random.Random(3)
+    scripts = {
+        "ru": ("бвгдклмнпрст", "аеиоуыя", " "), "el": ("βγδκλμνπρστ", "αεηιοω", " "),
+        "zh": ("天地人山水火木金土日月星", "上下大小中左右前后东西南", ""),
+    }
+    rows, trusted = [], []
+    for lang, (first, second, gap) in scripts.items():
+        words = ["".join(r.choice(first) + r.choice(second) for _ in range(r.randint(1, 4))) for _ in range(150)]
+        for i in range(120):
+            text = gap.join(r.choice(words) for _ in range(150))
+            doc = len(rows)
+            if i < 100:
+                trusted.append((doc,))
+            if i >= 110:
+                text = "".join(r.sample(text, len(text)))
+            rows.append((doc, text, lang, "s"))
+    got = {
+        x["doc_id"]: x["kept"] for x in
+        quality.judged(documents(spark, rows), spark.createDataFrame(trusted, "doc_id bigint")).collect()
+    }
+    assert got == {doc: doc % 120 < 110 for doc in range(360)}
+
+
+def test_character_probabilities_sum_to_one(spark):
+    text = prose(4, 300) + " был и есть"
+    _, context, symbol, _ = quality._coded([text])
+    counts = spark.createDataFrame(
+        [(int(c), int(s), n) for (c, s), n in Counter(zip(context, symbol)).items()],
+        "context bigint, symbol int, n bigint",
+    )
+    alphabet = [*sorted({int(s) for s in symbol}), ord("q") + 1]
+    contexts = [int(context[0]), int(context[50]), (5 << 42) | (6 << 21) | alphabet[2], 7]
+    wanted = spark.createDataFrame([(c, s) for c in contexts for s in alphabet], "context bigint, symbol int")
+    sums = quality._probabilities(wanted, counts).groupBy("context").agg(F.sum("p").alias("p")).collect()
+    assert len(sums) == len(contexts) and all(abs(x["p"] - 1) < 1e-9 for x in sums)
+
+
 # 6 secrets
 
 
