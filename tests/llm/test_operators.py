@@ -598,6 +598,45 @@ def test_license_scan(spark, odd, given):
     assert {r["doc_id"]: r["licenses"] for r in licenses.license_scan(given).collect()} == want
 
 
+def test_standard_license_files(spark):
+    import textwrap
+
+    texts = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    body = lambda name: re.search(r"(?s)(?:Permission|Redistribution|This software is).*", texts[name])[0]
+    wrap = lambda text, n: "\n\n".join(textwrap.fill(p, n) for p in re.split(r"\n\s*\n", text))
+    mit = lambda n: "MIT License\n\nCopyright (c) 2021 Some One\n\n" + wrap(body("MIT"), n)
+    bsd = body("BSD-3-Clause").replace("the copyright holder nor", "Some Company, Inc. nor")
+    header = (
+        "/*\n * Copyright 2020 Some One\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n"
+        " * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n"
+        " *\n *     https://www.apache.org/licenses/LICENSE-2.0\n *\n"
+        " * Unless required by applicable law or agreed to in writing, software\n"
+        " * distributed under the License is distributed on an \"AS IS\" BASIS,\n"
+        " * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n"
+        " * See the License for the specific language governing permissions and\n * limitations under the License.\n */\nx = 1\n"
+    )
+    rows, want = [], []
+    for n in (30, 41, 57, 78, 100, 10_000):
+        rows += [mit(n), "BSD 3-Clause License\n\nCopyright (c) 2019, Some Company\nAll rights reserved.\n\n" + wrap(bsd, n)]
+        want += [("MIT", ["MIT"], 1), ("BSD-3-Clause", ["BSD-3-Clause"], 1)]
+        rows.append("# Notes\n\n" + mit(n) + "\n\nEnd of notes.\n")
+        want.append((None, ["MIT"], 1))
+    for name, text in texts.items():
+        rows.append(text.replace("\n", "\r\n"))
+        want.append((name, [name], None))
+    rows += [header, wrap(body("MIT"), 70).replace("THE SOFTWARE IS", "THE SOFTWARE WAS"), body("MIT").split("\n\n", 1)[1]]
+    want += [(None, ["Apache-2.0"], 1), (None, [], 0), (None, [], 0)]
+    # Body text that a wrap puts behind "copyright" stays.
+    rows += ["MIT License\n\n" + body("MIT").replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS MUST PAY")]
+    want += [(None, [], 0)]
+    got = {
+        r["doc_id"]: (r["whole"], r["licenses"], r["n_units"])
+        for r in licenses.license_scan(documents(spark, list(enumerate(rows)))).collect()
+    }
+    for i, (whole, names, n) in enumerate(want):
+        assert got[i][0] == whole and (set(got[i][1]) >= set(names) if n is None else got[i][1:] == (names, n)), (i, got[i])
+
+
 # Registered queries and the pipeline
 
 
