@@ -19,7 +19,10 @@ HEX = r"[0-9a-f]{24,}"
 LEAST_ASSIGNED = 6
 KINDS = ("assign", "access", "hex")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_LENGTH = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}"
+# What parts the names, path segments and keys of a candidate.
+SEPARATORS = "/=_-"
 SYMBOLS = 64 + 4  # lower and upper case count alike; unseen symbols share the rest
 SAMPLE_DOCS = 2_000
 # Odds of 1 to 160,000 against a candidate being random, in natural units, and a least gain per symbol.
@@ -61,11 +64,11 @@ def located(rows: DataFrame, column: str, kind: int, extra: list[str] | None = N
 
 
 def symbol_pairs(tokens: DataFrame, token: str, keep: list[str]) -> DataFrame:
-    """``keep`` and each pair (a, b) of neighbouring symbols of the lower-cased token; the first
-    symbol follows an empty one."""
+    """``keep`` and each pair (a, b) of neighbouring symbols of the lower-cased token, the place of b
+    in ``_p``; the first symbol follows an empty one."""
     at = F.explode(F.sequence(F.lit(1), F.length(token)))
     return tokens.select(*keep, F.lower(token).alias("_t"), at.alias("_p")).select(
-        *keep, F.when(F.col("_p") > 1, F.substring("_t", F.col("_p") - 1, F.lit(1))).otherwise("").alias("a"),
+        *keep, "_p", F.when(F.col("_p") > 1, F.substring("_t", F.col("_p") - 1, F.lit(1))).otherwise("").alias("a"),
         F.substring("_t", F.col("_p"), F.lit(1)).alias("b"),
     )
 
@@ -101,6 +104,56 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
     )
 
 
+def stretches(symbols: Column) -> Column:
+    """Array of (first, last): the stretches of ``symbols``, an array of (p, llr, cut, parts) in order of
+    p, that score highest. A stretch starts where the running sum of llr leaves zero and ends at its
+    peak, once the sum has fallen to zero or ``LEAST_LLR`` below the peak; none crosses a cut. Kept
+    are those with ``LEAST_LLR`` in all and ``LEAST_LLR_PER_SYMBOL`` on average."""
+    spans = "array<struct<first:int,last:int>>"
+    state = lambda total, first, peak, last, done: F.struct(
+        total.alias("total"), first.alias("first"), peak.alias("peak"), last.alias("last"), done.alias("done")
+    )
+    none = F.array().cast(spans)
+
+    def closed(s):
+        good = (s["peak"] >= LEAST_LLR) & (s["peak"] >= LEAST_LLR_PER_SYMBOL * (s["last"] - s["first"] + 1))
+        here = F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"))).cast(spans)
+        return F.when(good, F.concat(s["done"], here)).otherwise(s["done"])
+
+    def step(s, x):
+        total = s["total"] + x["llr"]
+        stop = x["cut"] | (total <= 0) | (total < s["peak"] - LEAST_LLR)
+        zero, after = F.lit(0.0), x["p"] + F.lit(1)
+        return F.when(stop, state(zero, after, zero, x["p"], closed(s))).otherwise(state(
+            total, s["first"], F.greatest(total, s["peak"]),
+            F.when(total > s["peak"], x["p"]).otherwise(s["last"]), s["done"],
+        ))
+
+    start = state(F.lit(0.0), F.lit(1), F.lit(0.0), F.lit(0), none)
+    return F.aggregate(symbols, start, step, closed)
+
+
+def widened(symbols: Column, found: Column) -> Column:
+    """Array of (first, last): the stretches ``found``, grown to the separators or cuts around them and
+    over the "=" that fill a key up; those of less than ``LEAST_LENGTH`` symbols or without a letter
+    drop out. Stretches that grow to the same symbols count once."""
+    bars = F.transform(F.filter(symbols, lambda x: x["parts"] | x["cut"]), lambda x: x["p"])
+    size = F.size(symbols)
+
+    def grown(s):
+        first = F.coalesce(F.array_max(F.filter(bars, lambda b: b < s["first"])), F.lit(0)) + 1
+        last = F.coalesce(F.array_min(F.filter(bars, lambda b: b > s["last"])), size + 1) - 1
+        rest = F.slice(symbols, last + 1, size)
+        other = F.array_position(F.transform(rest, lambda x: x["fill"] & ~x["cut"]), F.lit(False))
+        more = F.when(other > 0, other - 1).otherwise(F.size(rest)).cast("int")
+        return F.struct(first.alias("first"), (last + more).alias("last"))
+
+    return F.array_distinct(F.filter(F.transform(found, grown), lambda s: (
+        (s["last"] - s["first"] + 1 >= LEAST_LENGTH)
+        & F.exists(F.slice(symbols, s["first"], s["last"] - s["first"] + 1), lambda x: x["letter"])
+    )))
+
+
 def secret_spans(
     docs: DataFrame, keys: list[str] | None = None, model: DataFrame | None = None,
     sample_docs: int = SAMPLE_DOCS,
@@ -108,9 +161,10 @@ def secret_spans(
     """Per row of ``docs`` (``keys``, text): ``base`` and ``extra``, arrays of (start, kind, end).
 
     ``base`` holds the rules' matches, kind 0 assign, 1 access, 2 hex, sorted by start, then kind.
-    ``extra`` (kind 3, markov) holds strings of 20 and more symbols with letters and digits that
-    touch no base span and that the random model explains better by ``LEAST_LLR`` in all and
-    ``LEAST_LLR_PER_SYMBOL`` on average. Positions are code points, ends exclusive. Null and
+    ``extra`` (kind 3, markov) holds strings of ``LEAST_LENGTH`` and more symbols with a letter, outside
+    the base spans, of which the random model explains some stretch better by ``LEAST_LLR`` in all and
+    ``LEAST_LLR_PER_SYMBOL`` on average: names and path segments beside a key neither hide it nor belong
+    to it. Positions are code points, ends exclusive. Null and
     empty texts have none; equal rows have equal spans; an empty table stays empty.
     """
     keys = keys or ["doc_id"]
@@ -139,23 +193,32 @@ def secret_spans(
     tokens = located(found, "_candidate", 3).join(
         found.where("_tokens is not null").select("_id", F.posexplode("_tokens").alias("_at", "token")),
         ["_id", "_at"],
-    ).where(F.col("token").rlike("[A-Za-z]") & F.col("token").rlike("[0-9]"))
-    pairs = symbol_pairs(tokens, "token", ["_id", "start", "end"])
+    ).where(F.col("token").rlike("[A-Za-z]")).join(base, "_id", "left").withColumn(
+        "_base", F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+    )
+    at = F.col("start") + F.col("_p") - 1
+    pairs = symbol_pairs(tokens, "token", ["_id", "start", "_base"]).withColumn(
+        "cut", F.coalesce(F.exists("_base", lambda b: (b["start"] <= at) & (b["end"] > at)), F.lit(False))
+    )
+    # Separators and what follows one count for neither side: words joined by them stay words.
     scored = (
-        pairs.join(model, ["a", "b"], "left").groupBy("_id", "start", "end")
-        .agg(F.sum(F.coalesce("llr", F.lit(0.0))).alias("llr"), F.count(F.lit(1)).alias("n"))
-        .where(
-            (F.col("llr") >= LEAST_LLR) & (F.col("llr") >= LEAST_LLR_PER_SYMBOL * F.col("n"))
+        pairs.join(
+            model.where(~F.col("a").isin("", *SEPARATORS) & ~F.col("b").isin(*SEPARATORS)), ["a", "b"], "left"
+        ).groupBy("_id", "start").agg(
+            F.sort_array(F.collect_list(F.struct(
+                F.col("_p").alias("p"), F.coalesce("llr", F.lit(0.0)).alias("llr"), "cut",
+                F.col("b").isin(*SEPARATORS).alias("parts"), (F.col("b") == "=").alias("fill"),
+                F.col("b").between("a", "z").alias("letter"),
+            ))).alias("_symbols")
         )
+        .withColumn("_found", stretches(F.col("_symbols"))).where(F.size("_found") > 0)
+        .select("_id", "start", F.explode(widened(F.col("_symbols"), F.col("_found"))).alias("_s"))
     )
     extra = (
-        scored.join(base, "_id", "left")
-        .where(~F.coalesce(
-            F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))),
-            F.lit(False),
-        ))
-        .groupBy("_id")
-        .agg(F.sort_array(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))).alias("extra"))
+        scored.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct(
+            (F.col("start") + F.col("_s.first") - 1).alias("start"), F.lit(3).alias("kind"),
+            (F.col("start") + F.col("_s.last")).alias("end"),
+        ))).alias("extra"))
     )
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return (
