@@ -27,6 +27,9 @@ def source_targets(
     With sources in the order of their cap per weight, the level if just those before a source were
     capped is what is left over the weight left; it rises as long as the caps hold and falls beyond,
     so the highest is the level sought.
+
+    Ranks and sums run over all sources in one task: meant for up to some hundred thousand sources,
+    not for millions (such as one for each web host).
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     by_cap = W.orderBy("_cap_per_weight", "_i")
