@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hoardbook.llm import (
-    dedup_exact, dedup_near, licenses, mixing, packing, pii, quality, secrets, token_counts, vector_join,
+    dedup_exact, dedup_near, licenses, main_text, mixing, packing, periodic, pii, quality, secrets,
+    token_counts, vector_join, whitening,
 )
 from hoardbook.llm.common import text_digest
 
@@ -95,3 +96,19 @@ def op9_mixing(spark, folder):
 def op10_licenses(spark, folder):
     found = licenses.license_scan(_table(spark, folder, "documents"))
     return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+@query
+def op11_periodic(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return periodic.digests(periodic.periodic_runs(docs, text=periodic.with_planted_repeats(docs)))
+
+
+@query
+def op12_whitening(spark, folder):
+    return whitening.whitened_components(_table(spark, folder, "embeddings"))
+
+
+@query
+def op13_main_text(spark, folder):
+    return main_text.extracted(_table(spark, folder, "pages"))

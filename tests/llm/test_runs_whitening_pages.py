@@ -1,0 +1,327 @@
+"""Periodic runs, whitening and main text against brute force, exact figures and pages with known content."""
+
+import hashlib
+import html
+import itertools
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from hoardbook.llm import main_text, page_blocks, periodic, queries, whitening
+
+SF = "/root/testdata/sf0.001"
+CLASHES = "_id bigint, _text string, n bigint, component int, runs string, text2 string"
+
+
+# 11 periodic runs
+
+
+def brute_runs(words):
+    """(start, length, period) of every run, by comparing words at every distance."""
+    found, n = {}, len(words)
+    for p in range(1, n // 2 + 1):
+        i = 0
+        while i < n - p:
+            j = i
+            while j < n - p and words[j] == words[j + p]:
+                j += 1
+            if j > i and j - i + p >= max(12, 2 * p):
+                found.setdefault((i, j - i + p), p)
+            i = max(i + 1, j)
+    return sorted(((s, n, p) for (s, n), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def contract_words(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if doc_id is None or not words:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def contract_row(doc_id, text):
+    words = contract_words(doc_id, text)
+    runs = brute_runs(words)
+    gone = {i for s, n, p in runs for i in range(s + p, s + n)}
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (
+        doc_id, len(runs), *(best or (None,) * 3), best and 1000 * best[1] // best[2],
+        sha("".join(f"{s},{n},{p}\n" for s, n, p in runs)),
+        sha(" ".join(w for i, w in enumerate(words) if i not in gone)),
+    )
+
+
+def test_cover_reaches_every_pair():
+    assert (periodic._STEP >= 0).all()
+    for i, j in itertools.product(range(periodic.MODULUS), repeat=2):
+        step = periodic._STEP[i, j]
+        assert {(i + step) % periodic.MODULUS, (j + step) % periodic.MODULUS} <= set(periodic.COVER)
+
+
+def test_extensions_against_comparing():
+    r = random.Random(2)
+    words = np.array([r.randrange(2) for _ in range(300)] + [7] * 150 + list(range(40)) * 8 + [-1])
+    ask = periodic.Extensions(words)
+    i, j = np.array([(r.randrange(len(words)), r.randrange(len(words))) for _ in range(4000)]).T
+    i, j = i[i != j], j[i != j]
+    for x, y, got in zip(i, j, ask.common(i, j)):
+        n = 0
+        while max(x, y) + n < len(words) and words[x + n] == words[y + n]:
+            n += 1
+        assert got == n
+
+
+def test_runs_against_every_distance():
+    r = random.Random(1)
+    for _ in range(150):
+        documents = []
+        for _ in range(r.randint(1, 10)):
+            n, letters = r.choice([0, 1, 11, 12, 13, 40, 120, 260]), r.choice([1, 2, 3, 60])
+            d = [r.randrange(letters) for _ in range(n)]
+            if n > 20 and r.random() < 0.5:
+                p, s = r.randint(1, n // 3), r.randrange(n // 2)
+                for i in range(s + p, n):
+                    d[i] = d[i - p]
+            documents.append(d)
+        documents += [documents[0]] * 3  # copies side by side share no run
+        found = periodic.runs_of([np.array(d, np.int64) for d in documents])
+        for d, rows in zip(documents, found):
+            assert [tuple(x) for x in rows.tolist()] == brute_runs(d)
+
+
+def test_runs_in_small_lots(monkeypatch):
+    r = random.Random(4)
+    d = [r.randrange(2) for _ in range(400)] + [5, 6] * 100
+    want = brute_runs(d)
+    monkeypatch.setattr(periodic, "PAIRS_AT_ONCE", 64)
+    assert [tuple(x) for x in periodic.runs_of([np.array(d)])[0].tolist()] == want
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark):
+    r = random.Random(9)
+    line = " ".join(r.choice("abc") for _ in range(200))
+    rows = [
+        (1, None), (2, ""), (3, " \n\t "), (4, "same " * 3000), (5, "a b " * 6), (5, "a b " * 6),
+        (None, "x y z " * 9), (None, None), (6, line), (7, "nb sp\x1cone " * 20), (10, line + " " + line),
+        (8, " ".join(r.choice("ab") for _ in range(2500)) + " " + "p q r s t " * 300), (9, "中 文 " * 30),
+    ]
+    # Keys whose texts get repeats.
+    rows += [(k, line) for k in range(100, 160)] + [(k, None if k % 2 else "") for k in range(300, 330)]
+    rows = [(*row, 1, "u", 2, 3, "v", "w") for row in rows]
+    return spark.createDataFrame(rows, f"doc_id bigint, text string, {CLASHES}")
+
+
+def test_periodic_odd_rows(odd_texts):
+    found = periodic.digests(periodic.periodic_runs(odd_texts, text=periodic.with_planted_repeats(odd_texts)))
+    want = [contract_row(r["doc_id"], r["text"]) for r in odd_texts.collect()]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_periodic_given_rows(spark):
+    given = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 9000")
+    found = periodic.digests(periodic.periodic_runs(given, text=periodic.with_planted_repeats(given)))
+    want = [contract_row(r["doc_id"], r["text"]) for r in given.collect()]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert sum(r[1] > 0 for r in want) > 10
+
+
+def test_collapsed_text(spark):
+    docs = spark.createDataFrame([(1, "x " + "one two three " * 5 + "y")], "doc_id bigint, text string")
+    row = periodic.periodic_runs(docs).first()
+    assert row["collapsed"] == "x one two three y" and row["n_words"] == 17
+    assert [tuple(r) for r in row["runs"]] == [(1, 15, 3)]
+
+
+# 12 whitening
+
+
+def brute_whitening(rows):
+    """Exact covariance as fractions, and what follows from it."""
+    x = [[int(np.floor(64 * np.float64(c))) + 1_000_000 for c in v] for v in rows]
+    n, d = len(x), len(x[0])
+    s = [sum(v[i] for v in x) for i in range(d)]
+    c = [[v[i] - Fraction(s[i], n) for i in range(d)] for v in x]
+    cov = np.array([[float(sum(v[i] * v[j] for v in c) / n) for j in range(d)] for i in range(d)])
+    deviation = [sum((n * v[i] - s[i]) ** 2 for i in range(d)) for v in x]
+    return n, np.array([[float(a) for a in v] for v in c]), cov, deviation
+
+
+def check_whitening(rows, vectors, top=32):
+    ids = [k for k, _ in vectors]
+    n, centred, cov, deviation = brute_whitening([v for _, v in vectors])
+    d = len(cov)
+    assert len(rows) == n * min(top, d)
+    by = {}
+    for r in rows:
+        by.setdefault(r["vec_id"], {})[r["component"]] = r
+    values = np.linalg.eigvalsh(cov)[::-1]
+    whitened = np.array([[by[k][c + 1]["whitened"] for c in range(min(top, d))] for k in ids])
+    assert np.allclose(whitened.T @ whitened / n, np.eye(min(top, d)), atol=1e-9)
+    # Directions: the covariance of entries with whitened values is the eigenvector times its root.
+    lead = centred.T @ whitened / n
+    assert np.allclose(cov @ lead, lead * values[: min(top, d)], atol=1e-6 * values[0])
+    for k, want in zip(ids, deviation):
+        assert all(r["deviation"] == want and r["n"] == n for r in by[k].values())
+        for c in range(min(top, d)):
+            assert by[k][c + 1]["explained"] == pytest.approx(values[c] / np.trace(cov), rel=1e-9)
+            assert by[k][c + 1]["identity_error"] < 1e-9
+
+
+def test_whitening_given_rows(spark):
+    rows = queries.op12_whitening(spark, SF).collect()
+    vectors = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    check_whitening(rows, vectors)
+
+
+def test_covariances_are_exact(spark):
+    r = random.Random(3)
+    vectors = [(i, [r.uniform(-9, 9) for _ in range(5)]) for i in range(300)]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    model = whitening.fit(frame)[5]
+    _, _, cov, _ = brute_whitening([v for _, v in vectors])
+    back = model.vectors @ np.diag(model.values) @ model.vectors.T
+    assert np.abs(back - cov).max() < 1e-12 * np.abs(cov).max()
+    assert (np.diff(model.values) <= 0).all() and np.allclose(model.vectors.T @ model.vectors, np.eye(5))
+    check_whitening(whitening.whitened_components(frame).collect(), vectors)
+
+
+def test_whitening_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    r = random.Random(8)
+    good = [(i, [r.uniform(-1, 1), r.uniform(-1, 1), r.uniform(-3, 3)]) for i in range(60)]
+    good += [(7, good[7][1]), (7, good[3][1])]
+    bad = [(100, None), (101, []), (102, [1.0, None, 2.0]), (103, [nan, 0.0, 0.0]), (104, [0.0, -inf, 1.0]), (None, None)]
+    frame = spark.createDataFrame(
+        [(*row, 1, "u", 2, 3, "v", "w") for row in good + bad], f"vec_id bigint, embedding array<double>, {CLASHES}"
+    )
+    rows = whitening.whitened_components(frame, top=2).collect()
+    assert len(rows) == 2 * len(good) and {row["vec_id"] for row in rows} == set(range(60))
+    assert sum(row["vec_id"] == 7 for row in rows) == 6
+    assert all(row["n"] == 62 and row["identity_error"] < 1e-9 for row in rows)
+
+    null_key = spark.createDataFrame([(None, [1.0, 2.0]), (None, [2.0, 1.0]), (1, [0.5, 9.0])], "vec_id bigint, embedding array<double>")
+    assert whitening.whitened_components(null_key).where("vec_id is null").count() == 4
+
+
+def test_whitening_without_variance(spark):
+    rows = [(1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [0.1, 0.2, 0.3]), (4, [0.4, 0.2, 0.3])]
+    found = whitening.whitened_components(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    by = {(r["vec_id"], r["component"]): r for r in found}
+    assert by[1, 1]["whitened"] is None and by[1, 1]["explained"] is None and by[1, 1]["identity_error"] is None
+    assert by[3, 1]["explained"] == pytest.approx(1) and abs(by[3, 1]["whitened"]) == pytest.approx(1)
+    assert by[3, 2]["whitened"] is None and by[3, 2]["explained"] == 0 and by[3, 1]["identity_error"] < 1e-12
+
+
+def test_whitening_of_huge_entries(spark):
+    rows = [(1, [1e300, 1.0]), (2, [-1e300, 2.0]), (3, [1e15, 3.0]), (4, [0.0, -5.0])]
+    found = whitening.whitened_components(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert len(found) == 8 and all(r["deviation"] is None for r in found if r["vec_id"] < 3)
+
+
+# 13 main text
+
+
+@pytest.fixture(scope="module")
+def weights():
+    return main_text.train()
+
+
+def test_cut_is_minimal():
+    r = random.Random(5)
+    for _ in range(400):
+        n = r.randint(1, 9)
+        costs = [r.randint(-6, 6) for _ in range(n)]
+        edges = {(r.randrange(n), r.randrange(n)): r.randint(0, 4) for _ in range(r.randint(0, 16))}
+
+        def cost(side):
+            own = sum(c if not s else 0 for c, s in zip(costs, side) if c > 0) - sum(c for c, s in zip(costs, side) if c < 0 and s)
+            return own + sum(c for (a, b), c in edges.items() if side[a] != side[b])
+
+        best = min(map(cost, itertools.product([False, True], repeat=n)))
+        assert cost(main_text.minimum_cut(costs, edges)) == best
+
+
+def test_lessons_held_out(weights):
+    r = random.Random(99)
+    wrong = blocks = 0
+    for _ in range(150):
+        markup, truth = main_text.lesson(r)
+        got = main_text.content_blocks(page_blocks.read_page(markup), weights)
+        assert len(got) == len(truth)
+        wrong += sum(a != b for a, b in zip(got, truth))
+        blocks += len(truth)
+    assert wrong <= 0.005 * blocks
+
+
+def article_of(markup):
+    inside = re.search(r"<article>(.*)</article>", markup, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?p>|<br>|</?h1>", " ", inside))).split())
+
+
+def test_main_text_given_pages(spark):
+    given = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = queries.op13_main_text(spark, SF).collect()
+    assert len(rows) == len(given)
+    for r in rows:
+        assert r["text"] == article_of(given[r["page_id"]]["html"])
+        assert r["url"] == given[r["page_id"]]["url"] and r["n_chars"] == len(r["text"])
+
+
+WORDS = "The river rose for nine days, and nobody in the town could say when it would stop."
+
+
+@pytest.mark.parametrize("page, want", [
+    (None, ""), ("", ""), ("   ", ""), ("<nav><a href=x>Home</a></nav>", ""),
+    (f"<header><p>Daily News</p></header><main><h1>Flood</h1><p>{WORDS}</p><p>Short.</p><p>{WORDS}</p></main>"
+     "<aside><h3>Most read</h3><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></aside>"
+     "<form><label>Mail</label><button>Send</button></form><footer>© 2020</footer>",
+     f"Flood {WORDS} Short. {WORDS}"),
+    (f"<body class='has-sidebar post'><div class='cookie-banner'>We use cookies, and you can accept them.</div>"
+     f"<div class=entry-content><p>{WORDS}<p>A &amp; B &lt;c&gt; &#233;&nbsp;x<p>{WORDS}</div>"
+     f"<section id=comments><p>{WORDS}</p><p>First!</p></section>",
+     f"{WORDS} A & B <c> é x {WORDS}"),
+    (f"<article><header><h1>Title</h1></header><p>{WORDS}</p><script>if (a < b) document.write('<p>no</p>')</script>"
+     f"<style>p > b {{}}</style><!-- <p>no</p> --><div class=\"ad\">Buy two, get one.</div><p>in<b>li</b>ne {WORDS}</p>"
+     f"<table><tr><td>1<td>2</table><div class='comments'><p>{WORDS}</p></div></article>",
+     f"Title {WORDS} inline {WORDS} 1 2"),
+])
+def test_pages_with_known_content(weights, page, want):
+    assert main_text.main_text(page, weights) == want
+
+
+def test_page_reading():
+    texts = lambda m: [b.text for b in page_blocks.read_page(m).blocks]
+    assert texts("<p title='a > b'>x<br>y</p>z < 3 <a href=u>l</a>") == ["x y", "z < 3 l"]
+    assert texts("<ul><li>a<ul><li>b</ul><li>c</ul>") == ["a", "b", "c"]
+    assert texts("<TITLE>t</title><Script>x</sCRIPT >b</p>c") == ["bc"]
+    assert texts("a<!-- open") == ["a"] and texts("</>x<!d>y</3>z<") == ["xyz<"]
+    assert texts("<head><meta a=b><p>visible") == ["visible"]
+
+
+def test_main_text_odd_rows(spark):
+    long = "<article>" + f"<p>{WORDS}</p>" * 3000 + "<div>" * 3000
+    rows = [(1, "u", None), (None, None, None), (2, "u", ""), (3, "v", long), (3, "v", long), (4, None, "<nav>" * 50_000 + "<" * 50_000)]
+    frame = spark.createDataFrame([(*row, 1, "x", 2, 3, "y", "z") for row in rows], f"page_id bigint, url string, html string, {CLASHES}")
+    found = main_text.extracted(frame).collect()
+    assert len(found) == 6 and found[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
+    assert [r["text"] == " ".join([WORDS] * 3000) for r in found if r["page_id"] == 3] == [True, True]
+    assert {r["text"] for r in found if r["page_id"] in (None, 1, 2)} == {""}
+
+
+def test_new_queries_on_empty_tables(spark, tmp_path):
+    for name in ("documents", "embeddings", "pages"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("op11_periodic", "op12_whitening", "op13_main_text"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
