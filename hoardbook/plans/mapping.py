@@ -206,6 +206,10 @@ LINE_EXPORT = {
     "Add to Quantity": "case l_linenumber%5 when 0 then '' when 1 then '2' when 2 then '2.9'"
                        " when 3 then 'x' else '0' end",
 }
+# Names with commas, quotes and line breaks, and four kinds of export, each with its own header.
+BROKEN_NAME = ("p_name||case line_id%7 when 0 then chr(10)||'second, \"line\"'"
+               " when 1 then ', first' when 2 then chr(10)||chr(10)||'\"\"third' else '' end")
+DIALECT = "l_suppkey%4"
 LINE_TYPED = {
     "batch_id": "l_suppkey",
     "row_idx": "line_id",

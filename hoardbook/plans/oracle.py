@@ -247,15 +247,12 @@ RELATIONS = {
         select * exclude (copy_no), row_number() over (partition by batch_id
             order by row_pos, copy_no) - 1 as card_index
         from (select *, unnest(range(quantity)) as copy_no from import_row)""",
-    "override": f"""
-        select batch_id, card_index, {amount('paid')} as entered from
-            (select batch_id, card_index, {m.OVERRIDE_PRICE} as paid from card)""",
-    "single": """
-        select c.*, cast(coalesce(o.entered, c.paid, c.market_value, 0) as decimal(12,2))
-                as cost_basis,
-            o.entered is null and c.paid is null and c.market_value is not null as used_fallback
-        from card c left join override o
-            on o.batch_id = c.batch_id and o.card_index = c.card_index""",
+    "single": f"""
+        select * exclude (entered),
+            cast(coalesce(entered, paid, market_value, 0) as decimal(12,2)) as cost_basis,
+            entered is null and paid is null and market_value is not null as used_fallback
+        from (select * exclude (entered_text), {amount('entered_text')} as entered
+            from (select *, {m.OVERRIDE_PRICE} as entered_text from card))""",
     "sealed_box": """
         select *, (select max(o_orderkey) from orders) + row_number() over (
                 order by md5(cast(batch_id as varchar)), batch_id) as acquisition_id,
@@ -543,6 +540,23 @@ QUERIES = {
             name, product_line, {strip('set_name')} as set_name, number, rarity, printing,
             condition, price, product_id, image_url, quantity, paid, true as has_paid_column
         from export_text""",
+    "intake_export_split": f"""
+        select row_pos // 1000000 as file,
+            row_number() over (partition by row_pos // 1000000 order by row_pos) as row_pos,
+            {m.BROKEN_NAME} as name, number, price, paid, quantity, true as has_paid_column
+        from (select *, row_pos as line_id, p_name from export_text join (select line_id as id,
+            p_name from named_line) on id = row_pos)""",
+    "intake_export_dialects": f"""
+        select dialect, file, row_number() over (partition by dialect, file order by line_id)
+                as row_pos,
+            case when dialect = 3 then '' else {m.BROKEN_NAME} end as name,
+            case when dialect in (2, 3) then number else '' end as number,
+            case when dialect in (0, 1) then price else '' end as price,
+            case when dialect in (0, 2) then paid else '' end as paid,
+            quantity, dialect in (0, 2) as has_paid_column
+        from (select *, {m.DIALECT} as dialect, line_id // 1000000 as file from (
+            select e.*, l.line_id, l.p_name, l.l_suppkey from export_text e
+            join named_line l on l.line_id = e.row_pos))""",
     "intake_manual_rows": "select * exclude (l_suppkey) from typed",
     "intake_media_rows": """
         select l_orderkey as media_title_id,

@@ -8,6 +8,7 @@ from hoardbook.operators import (
     allocate, catalog, changes, grading, imports, intake, ledger, locate, metadata, quality,
 )
 from hoardbook.operators.numbering import assign_keys
+from hoardbook.plans import mapping as m
 from hoardbook.plans.inputs import Inputs
 from hoardbook.schemas import ACQUISITION, ITEM
 from hoardbook.sources.exports import HEADERS, export_rows, scan_exports
@@ -51,6 +52,76 @@ def intake_csv_scan(t: Inputs):
     return rows.select(file.alias("file"), "row_pos", *HEADERS, "paid", "has_paid_column")
 
 
+def _write_exports(rows: DataFrame, headers: DataFrame, files: list[str], path: str) -> None:
+    """Text files, a header line each and their rows by ``line_id`` (columns ``value`` and ``files``);
+    a file holds a million lines at most, and its lines may hold line breaks."""
+    first = rows.select(*files).distinct().join(F.broadcast(headers), files[:1]).select(
+        *files, F.lit(0).cast("bigint").alias("line_id"), "value"
+    )
+    (
+        rows.select(*files, "line_id", "value").unionByName(first).repartition(*files)
+        .sortWithinPartitions(*files, "line_id").drop("line_id")
+        .write.partitionBy(*files).text(path)
+    )
+
+
+def _quoted(value: str) -> F.Column:
+    return F.concat(F.lit('"'), F.replace(F.col(value), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def _broken_export(t: Inputs) -> DataFrame:
+    """Export rows with names that hold commas, quotes and line breaks."""
+    return t.text_lines.withColumn("broken", F.expr(m.BROKEN_NAME)).selectExpr(
+        "line_id", "broken", f"{m.DIALECT} as dialect", "cast(line_id div 1000000 as bigint) as file",
+        *[f"{m.LINE_EXPORT[c]} as `{c}`" for c in ("Number", "TCG Market Price", "Paid", "Add to Quantity")],
+    )
+
+
+@query
+def intake_export_split(t: Inputs):
+    """Large export files with line breaks inside quoted cells, read by several tasks each."""
+    path = staging_path(t.spark, "split-exports")
+    kind = F.lit(0).alias("kind")
+    rows = _broken_export(t).select(
+        kind, "file", "line_id",
+        F.concat_ws(",", _quoted("broken"), "Number", "TCG Market Price", _quoted("Paid"), "Add to Quantity").alias("value"),
+    )
+    header = "\ufeffProduct Name,Number,TCG Market Price,\"Paid\",Add to Quantity"
+    headers = t.spark.range(1).select(kind, F.lit(header).alias("value"))
+    _write_exports(rows, headers, ["kind", "file"], path)
+    found = export_rows(scan_exports(t.spark, path))
+    file = F.regexp_extract("batch_id", r"/file=([0-9]+)/", 1).cast("bigint")
+    return found.select(
+        file.alias("file"), "row_pos", "name", "number", "price", "paid", "quantity", "has_paid_column"
+    )
+
+
+@query
+def intake_export_dialects(t: Inputs):
+    """Export files with four kinds of header, read in one scan: other names for the same field, a
+    repeated header, no paid column, no name, and cells beyond the header."""
+    path = staging_path(t.spark, "export-dialects")
+    name, paid = _quoted("broken"), _quoted("Paid")
+    price, number, copies = (F.col(c) for c in ("TCG Market Price", "Number", "Add to Quantity"))
+    beyond = F.when(F.col("line_id") % 50_000 == 1, F.lit("," * 5_000)).otherwise("")
+    kinds = [
+        ("Product Name,Add to Quantity,Paid,TCG Market Price", F.concat_ws(",", name, copies, paid, price)),
+        ("Total Quantity,Title,TCG Market Price", F.concat_ws(",", copies, name, price, beyond)),
+        ('Title,"Title",Number,Paid Price,Total Quantity', F.concat_ws(",", F.lit("old"), name, number, paid, copies)),
+        ("Something,Number,Add to Quantity", F.concat_ws(",", name, number, copies)),
+    ]
+    value = F.lit(None)
+    for k, (_, line) in enumerate(kinds):
+        value = F.when(F.col("dialect") == k, line).otherwise(value)
+    headers = t.spark.createDataFrame([(k, h) for k, (h, _) in enumerate(kinds)], "dialect int, value string")
+    _write_exports(_broken_export(t).withColumn("value", value), headers, ["dialect", "file"], path)
+    found = export_rows(scan_exports(t.spark, path))
+    part = lambda n: F.regexp_extract("batch_id", rf"/{n}=([0-9]+)/", 1).cast("bigint").alias(n)
+    return found.select(
+        part("dialect"), part("file"), "row_pos", "name", "number", "price", "paid", "quantity", "has_paid_column"
+    )
+
+
 @query
 def intake_manual_rows(t: Inputs):
     return intake.normalize_typed(t.typed_rows)

@@ -1,10 +1,10 @@
 """Card exports: CSV files whose columns differ from file to file."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hoardbook.functions.cards import PAID_HEADERS
 from hoardbook.functions.text import first_filled, strip
-from hoardbook.operators.skew import join_one_to_many
+from hoardbook.sources.records import cells, part_starts, records, scan_lines
 from hoardbook.sources.staging import staged
 
 # Export headers by field, first match wins.
@@ -22,35 +22,12 @@ HEADERS = {
     "quantity": ["Add to Quantity", "Total Quantity"],
 }
 
-def widest_line(spark: SparkSession, path: str) -> int:
-    """A bound for the cells that the headers under ``path`` name: one more than the commas of the
-    line that has most. Headers take one line."""
-    commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
-    return 1 + (spark.read.text(path).agg(F.max(commas)).first()[0] or 0)
 
-
-def read_cells(
-    spark: SparkSession, path: str, multiline: bool = True
-) -> DataFrame:
-    """Every CSV line as an array of texts, with its file and its place in the file.
-
-    Files are read without a header, so files with different headers share one scan; its width is
-    that of the widest line, so no header is cut. With
-    ``multiline=False`` (no line breaks inside quotes) large files are split over tasks.
-    """
-    names = [f"_c{i}" for i in range(widest_line(spark, path))]
-    lines = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .option("header", False).option("multiLine", multiline)
-        .option("quote", '"').option("escape", '"').option("maxColumns", len(names) + 1)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    return lines.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        F.array(*names).alias("cells"),
+def header_dictionary(headers: DataFrame) -> DataFrame:
+    """Distinct headers (column ``header``, the cells of a file's first record) with the places of
+    the export fields in each: files may number millions, their headers are few."""
+    return headers.select("header").distinct().select(
+        "header", F.size("header").alias("width"), _places().alias("places")
     )
 
 
@@ -61,32 +38,24 @@ def scan_exports(
     """Data rows of all export files under ``path``: file, position in it, cells, and the places
     of the export fields among them.
 
-    The lines are staged once: CSV is parsed a single time, and line numbers are fixed before
-    header and data lines are told apart.
+    Files of any size are read by as many tasks as they have parts, whether or not their quoted
+    cells hold line breaks; ``multiline=False`` says that none do. Each file's first record is its
+    header; cells are formed as far as the header goes. Lines are staged once.
     """
-    lines = staged(read_cells(spark, path, multiline), "export-lines")
-    # One row per file part that was read; a part's lines carry rising numbers.
-    parts = lines.groupBy("file_path", "block").agg(
-        F.min("line").alias("_first"), F.count(F.lit(1)).alias("_lines")
-    )
-    earlier = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select(
-        "file_path", "block", "_first",
-        F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"),
-    )
-    headers = (
-        lines.where(F.col("block") == 0).groupBy("file_path")
-        .agg(F.min_by("cells", "line").alias("header"))
-        .select("file_path", _places().alias("places"))
-    )
-    known = parts.join(headers, "file_path")
-    rows = join_one_to_many(
-        known, lines, ["file_path", "block"], ["line"], "inner", rows_per_task
-    )
+    lines = scan_lines(spark, path, multiline)
+    starts = staged(part_starts(lines), "file-parts")
+    # Records of a part are numbered from its first one on, so only its first lines are read.
+    early = F.when(F.col("inside"), F.col("in_records")).otherwise(F.col("out_records")) <= 1
+    first = lines.join(starts.where("earlier <= 1"), ["file_path", "part"], "inner").where(
+        (F.least("in_records", "out_records") <= 1) & early
+    ).select(*lines.columns)
+    headers = records(first, starts).where("record = 1").select("file_path", cells(F.col("text")).alias("header"))
+    known = headers.join(header_dictionary(headers), "header").drop("header")
+    rows = records(lines, starts.join(known, "file_path"), rows_per_task).where("record > 1")
     return rows.select(
-        "file_path", (F.col("_before") + F.col("line") - F.col("_first")).alias("row_pos"),
-        "places", "cells",
-    ).where(F.col("row_pos") > 0)
+        "file_path", (F.col("record") - 1).alias("row_pos"), "places",
+        cells(F.col("text"), F.col("width")).alias("cells"),
+    )
 
 
 def _place(header: str | Column) -> Column:
