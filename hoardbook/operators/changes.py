@@ -154,8 +154,16 @@ def last_locations(events: DataFrame) -> DataFrame:
     )
 
 
-def new_sales(events: DataFrame, items: DataFrame, sales: DataFrame) -> DataFrame:
-    """Sale rows of sale events; fees default to 0. Items that do not exist cannot be sold."""
+def valid_events(events: DataFrame) -> DataFrame:
+    """Events that break no rule of their own."""
+    return events.where(_problem().isNull())
+
+
+def new_sales(
+    events: DataFrame, items: DataFrame, sales: DataFrame, first: int | None = None
+) -> DataFrame:
+    """Sale rows of sale events; fees default to 0. Items that do not exist cannot be sold. Keys run
+    from ``first`` on, else from those of ``sales``."""
     sold = events.where(_is("sale"))
     rows = join_one_to_many(items.select("item_id"), sold, ["item_id"], ["event_id"]).select(
         "event_id", "item_id", _date("sale_date").alias("sale_date"),
@@ -164,14 +172,16 @@ def new_sales(events: DataFrame, items: DataFrame, sales: DataFrame) -> DataFram
         *[money(_entered(f), F.lit(0)).alias(f) for f in FEES],
         _entered("notes").alias("notes"),
     )
-    return conform(assign_keys(rows, ["event_id"], "sale_id", sales), "sale")
+    return conform(assign_keys(rows, ["event_id"], "sale_id", sales, first=first), "sale")
 
 
 def apply_changes(
-    items: DataFrame, sales: DataFrame, events: DataFrame, rows_per_task: int | None = None
+    items: DataFrame, sales: DataFrame, events: DataFrame, rows_per_task: int | None = None,
+    first_sale: int | None = None,
 ) -> Snapshot:
-    """Items and sales after all events; events that break a rule are set aside."""
-    valid = events.where(_problem().isNull())
+    """Items and sales after all events; events that break a rule are set aside. New sales are
+    numbered from ``first_sale`` on, if it is given."""
+    valid = valid_events(events)
     written = list(_writes())
     # Edits, sales and gradings meet items one to one; box-wide places one to many.
     changed = items.join(last_writes(valid), "item_id", "left")
@@ -190,7 +200,7 @@ def apply_changes(
     }).select(*items.columns)
     return Snapshot(
         with_generated(result, "item"),
-        sales.unionByName(new_sales(valid, items, sales), allowMissingColumns=True),
+        sales.unionByName(new_sales(valid, items, sales, first_sale), allowMissingColumns=True),
         event_rejects(events, items),
     )
 

@@ -126,8 +126,8 @@ def box_items(
     )
 
 
-def _sales_per_item(sales: DataFrame) -> DataFrame:
-    return sales.groupBy("item_id").agg(
+def _sales_per_item(sales: DataFrame, keys: list[str] = ["item_id"]) -> DataFrame:
+    return sales.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_sales"), F.sum("net_proceeds").alias("sale_net")
     )
 
@@ -139,8 +139,11 @@ def box_pl(
 
     An item sold twice counts twice in its box's item sums, once per sale; ``dedupe_sales``
     counts it once. Sums go up in steps (sales to items, items to boxes), so each join is
-    between inputs that are unique on the key and no fan-out is ever shuffled.
+    between inputs that are unique on the key and no fan-out is ever shuffled. Sales that come with
+    the purchase of their item (``acquisition_id``) are joined by both, which needs no exchange
+    where all tables are bucketed by purchase.
     """
+    keys = [c for c in ("acquisition_id", "item_id") if c in sales.columns]
     times = F.lit(1) if dedupe_sales else F.coalesce("n_sales", F.lit(1)).cast("decimal(10,0)")
     owned = F.col("status").isin(OWNED_STATUSES)
 
@@ -152,7 +155,7 @@ def box_pl(
             "item_id", "acquisition_id", "grading_total", "market_value_at_open", "market_value",
             "status",
         )
-        .join(_sales_per_item(sales), "item_id", "left")
+        .join(_sales_per_item(sales, keys), keys, "left")
         .groupBy("acquisition_id")
         .agg(
             total(F.col("grading_total")).alias("_grading"),

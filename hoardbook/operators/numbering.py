@@ -37,9 +37,9 @@ def running_before(
 
 def assign_keys(
     rows: DataFrame, unique: list[str], into: str, existing: DataFrame | None = None,
-    digits: int = BUCKET_DIGITS,
+    digits: int = BUCKET_DIGITS, first: int | None = None,
 ) -> DataFrame:
-    """Add ``into``: consecutive keys, continuing after the largest key of ``existing``.
+    """Add ``into``: consecutive keys from ``first`` on, else after the largest key of ``existing``.
 
     ``unique`` identifies a row. Rows are numbered in the order of a digest of it: the digest's
     first ``digits`` hex digits form evenly filled buckets, whose sizes (at most 16**digits
@@ -56,15 +56,15 @@ def assign_keys(
             "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
         )
     )
-    first = F.lit(0)
-    if existing is not None:
-        first = existing.agg(F.coalesce(F.max(into), F.lit(0))).scalar()
+    before = F.lit(0 if first is None else first - 1)
+    if first is None and existing is not None:
+        before = existing.agg(F.coalesce(F.max(into), F.lit(0))).scalar()
     within = W.partitionBy("_bucket").orderBy("_digest", *unique)
     if digits <= BUCKET_DIGITS:
         starts = F.broadcast(starts)
     return (
         hashed.withColumn("_rank", F.row_number().over(within))
         .join(starts, "_bucket")
-        .withColumn(into, (first + F.col("_start") + F.col("_rank")).cast("bigint"))
+        .withColumn(into, (before + F.col("_start") + F.col("_rank")).cast("bigint"))
         .drop("_digest", "_bucket", "_rank", "_start")
     )

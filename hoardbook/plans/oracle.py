@@ -981,6 +981,20 @@ RELATIONS["media_hit"] = f"""
 RELATIONS["genre"] = f"select {_columns(m.NATION_GENRES)} from nation"
 
 
+# Stored tables give what the tables they were made from give; cards added after others come behind them.
+QUERIES["box_pl_stored"] = QUERIES["box_pl"]
+QUERIES["merge_changes"] = QUERIES["apply_changes"]
+QUERIES["merge_sales"] = QUERIES["apply_sales"]
+QUERIES["sink_roundtrip"] = f"""
+    select item_id, acquisition_id, name, cost_basis, status from item
+        where acquisition_id not in (select acquisition_id from append_batch)
+    union all select item_id, acquisition_id, name, cost_basis, status
+        from ({QUERIES["import_sealed"]}) x
+    union all select case when item_id <= (select count(*) from lineitem) then item_id
+            else item_id + (select count(*) from ({QUERIES["import_sealed"]}) y) end as item_id,
+        acquisition_id, name, cost_basis, status from ({QUERIES["import_append"]}) z"""
+
+
 def oracle(key: str) -> str:
     """One statement: the relations a query needs, then the query."""
     needed, texts = set(), [QUERIES[key]]

@@ -13,6 +13,7 @@ from hoardbook.plans.inputs import Inputs
 from hoardbook.schemas import ACQUISITION, ITEM
 from hoardbook.sources.exports import HEADERS, export_rows, scan_exports
 from hoardbook.sources.staging import staging_path
+from hoardbook.sources.store import Store
 from hoardbook.sources.tables import evolve, with_defaults, with_generated
 
 LABEL = "shelf 1"
@@ -704,6 +705,39 @@ def assign_new_keys(t: Inputs):
 QUERIES["assign_keys"] = QUERIES.pop("assign_new_keys")
 
 
+# Stored tables
+
+
+def _store(t: Inputs) -> Store:
+    """The collection's tables as an import of a new store."""
+    store = Store(t.spark, staging_path(t.spark, "store"))
+    store.add_import("base", t.boxes, t.items, t.sales)
+    return store
+
+
+@query
+def sink_roundtrip(t: Inputs):
+    """Import, import again, add to boxes, fold, clean up, read back."""
+    store = _store(t)
+    sealed = store.keyed(imports.import_sealed(_accepted(t), t.import_rows))
+    for _ in range(2):
+        store.add_import("sealed", sealed.acquisitions, sealed.items)
+    more = imports.import_append(
+        _accepted(t), t.import_rows, store.table("acquisition"), store.table("item")
+    )
+    store.replace_boxes(more.acquisitions, more.items)
+    store.compact()
+    store.clean()
+    return store.table("item").select("item_id", "acquisition_id", "name", "cost_basis", "status")
+
+
+@query
+def box_pl_stored(t: Inputs):
+    """Profit and loss over stored tables, where what belongs to a purchase lies together."""
+    store = _store(t)
+    return ledger.box_pl(store.table("acquisition"), store.table("item"), store.table("sale"))
+
+
 # Changes and quality
 
 CHANGED = ["item_id", "status", "condition", "storage_location", "market_value",
@@ -740,6 +774,21 @@ def apply_changes(t: Inputs):
     return _changed(t, "edit", "sale", "grade", "location").items.select(*CHANGED)
 
 
+@query
+def merge_changes(t: Inputs):
+    """All changes folded into the stored buckets they touch."""
+    store = _store(t)
+    store.merge(t.events)
+    return store.table("item").select(*CHANGED)
+
+
+@query
+def merge_sales(t: Inputs):
+    store = _store(t)
+    store.merge(t.events.where("kind = 'sale'"))
+    return store.table("sale").drop("created_at", "notes", "acquisition_id")
+
+
 @query
 def change_rejects(t: Inputs):
     return changes.event_rejects(t.events, t.items).select("event_id", "kind", "reason")

@@ -11,7 +11,7 @@ from hoardbook.operators import imports, intake
 from hoardbook.operators.allocate import allocate_cost, box_shares
 from hoardbook.operators.ledger import box_pl
 from hoardbook.sources.exports import export_rows, read_typed_rows, scan_exports
-from hoardbook.sources.sinks import append_rows, publish, read_published, write_append, write_import
+from hoardbook.sources.store import Store
 from hoardbook.sources.tables import conform, read_numbered
 
 FIELDS = ("batch_id mode intake description purchase_date product_type game language price tax"
@@ -148,37 +148,37 @@ def test_sealed_import_then_append_equals_one_import(spark, manifest, typed, tmp
     )
     assert rows(both.items, "name", "cost_basis") == rows(whole.items, "name", "cost_basis")
     assert both.items.count() == 10
-    held = first.items.drop("batch_id", "card_index")
-    write_append(both, first.acquisitions.drop("batch_id"), held, str(tmp_path), "2")
-    assert rows(spark.read.parquet(f"{tmp_path}/item"), "item_id", "cost_basis") == rows(
-        both.items, "item_id", "cost_basis")
-    assert rows(spark.read.parquet(f"{tmp_path}/acquisition"), "packs_opened") == [(8,)]
+    store = Store(spark, str(tmp_path), buckets=2)
+    store.add_import("1", first.acquisitions, first.items)
+    store.replace_boxes(both.acquisitions, both.items)
+    assert rows(store.table("item"), "item_id", "cost_basis") == rows(both.items, "item_id", "cost_basis")
+    assert rows(store.table("acquisition"), "packs_opened") == [(8,)]
     assert sorted(r[0] for r in rows(both.items, "item_id")) == list(range(1, 11))
 
 
 def test_published_versions(spark, manifest, typed, tmp_path):
     """Import, import again, add to a box, fail before the marker, read back."""
-    folder = str(tmp_path)
+    store = Store(spark, str(tmp_path), buckets=4)
     two = [dict(SEALED, batch_id=b) for b in ("b1", "b9")]
     cards = [dict(batch_id=b, row_idx=1, name=f"c-{b}", market_value="2") for b in ("b1", "b9")]
     first = imports.import_sealed(manifest(*two), typed(*cards))
     for _ in range(2):
-        publish(first.acquisitions, first.items, folder, 1)
-    boxes, items = read_published(spark, folder)
+        store.add_import("1", first.acquisitions, first.items)
+    boxes, items = store.table("acquisition"), store.table("item")
     assert sorted(rows(items, "name")) == [("c-b1",), ("c-b9",)] and boxes.count() == 2
     key = boxes.agg(F.min("acquisition_id")).first()[0]
     more = dict(batch_id="b2", mode="append", intake="manual", acquisition_id=str(key), packs_now="4")
     both = imports.import_append(
         manifest(more), typed(dict(batch_id="b2", row_idx=1, name="d", market_value="5")), boxes, items
     )
-    publish(both.acquisitions, both.items, folder, 2)
-    boxes, items = read_published(spark, folder)
+    store.replace_boxes(both.acquisitions, both.items)
+    boxes, items = store.table("acquisition"), store.table("item")
     other = first.items.where(F.col("acquisition_id") != key)
     want = sorted(rows(both.items, "item_id", "cost_basis") + rows(other, "item_id", "cost_basis"))
     assert sorted(rows(items, "item_id", "cost_basis")) == want and len(want) == 3
     assert boxes.count() == 2
-    append_rows(first.acquisitions, "acquisition", f"{folder}/acquisition", "lost", ["acquisition_id"])
-    boxes, items = read_published(spark, folder)
+    store._write("acquisition", first.acquisitions, 4)
+    boxes, items = store.table("acquisition"), store.table("item")
     assert boxes.count() == 2 and sorted(rows(items, "item_id", "cost_basis")) == want
 
 
@@ -309,12 +309,12 @@ def test_import_is_stored_whole_or_not_at_all_and_once(spark, manifest, typed, t
         dict(batch_id="cost", row_idx=1, name="d"),
     )
     result = imports.import_sealed(batches, cards)
+    store = Store(spark, str(tmp_path), buckets=2)
     for _ in range(2):
-        rejects = write_import(result, str(tmp_path), "run-1")
+        rejects = store.add_result("run-1", result)
     assert {r["batch_id"] for r in rejects.collect()} == {"bad", "cost"}
-    stored = spark.read.parquet(f"{tmp_path}/item")
-    assert rows(stored, "name", "cost_basis") == [("a", D("24.07"))]
-    assert spark.read.parquet(f"{tmp_path}/acquisition").count() == 1
+    assert rows(store.table("item"), "name", "cost_basis") == [("a", D("24.07"))]
+    assert store.table("acquisition").count() == 1
 
 
 @pytest.fixture()
