@@ -28,7 +28,17 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    found = spark.read.schema(rows.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Remove tables that ``staged`` wrote and that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def extended(rows: DataFrame, columns: str) -> T.StructType:
@@ -197,17 +207,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def keep_marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) that ``marks`` (doc_id, _sha, kept; one row per row of
     ``docs``) keeps, found by id and the text's digest. Of rows that agree in both and of which only
-    some are kept, one stays."""
-    lost = marks.groupBy("doc_id", "_sha").agg(
-        F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("kept").cast("int")).alias("_stay"),
-    ).where("_stay < _n").select(F.col("doc_id").alias("_d"), F.col("_sha").alias("_s"), "_any")
-    found = docs.select(
-        whole_row(docs), F.col("doc_id").alias("_doc"), text_digest().alias("_sha")
-    ).join(lost, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_s")), "left")
-    untouched = found.where("_any is null")
-    repeated = found.where("_any").dropDuplicates(["_doc", "_sha"])
-    return untouched.unionByName(repeated).select("_row.*")
+    some are kept, one stays. Whole rows move once, and once more only those of the last kind."""
+    name = lambda doc, sha: F.concat_ws(":", sha, F.coalesce(doc.cast("string"), F.lit("none")))
+    lost = staged(
+        marks.groupBy("doc_id", "_sha").agg(
+            F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"),
+            F.sum(F.col("kept").cast("int")).alias("_stay"),
+        ).where("_stay < _n").select(name(F.col("doc_id"), F.col("_sha")).alias("_name"), "_any"),
+        "lost",
+    )
+    named = docs.select(whole_row(docs), name(F.col("doc_id"), text_digest()).alias("_name"))
+    kept = named.join(lost, "_name", "left_anti")
+    repeated = lost.where("_any").select("_name")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(named.join(repeated, "_name", "left_semi").dropDuplicates(["_name"]))
+    return kept.select("_row.*")
 
 
 def whole_row(rows: DataFrame) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hoardbook.llm.common import (
-    components, extended, keep_marked, staged, text_digest, with_group_totals,
+    components, extended, keep_marked, staged, text_digest, unstaged, with_group_totals,
 )
 
 WORDS, LEAST = 5, 0.8
@@ -234,12 +234,16 @@ def near_groups(
         "n bigint, same binary, bands array<bigint>, sketch array<tinyint>, shingles binary",
     )
     sketched = staged(first.mapInArrow(_sketch(bands, rows, words), schema), "sketches")
-    narrow = sketched.select("_id", "_key", "n", "same", "bands", *[f"_c_{n}" for n in carry])
+    plain = ["_id", "_key", *[f"_c_{n}" for n in carry]]
+    narrow = sketched.select(*plain, "n", "same")
     alike = staged(
         with_group_totals(narrow.where("n > 0"), ["same"], ["_id"], {"rep": ("min", "_id")}), "alike"
     )
-    reps = alike.where("_id = rep")
-    buckets = reps.select("_id", "n", F.posexplode("bands").alias("band", "bucket")).withColumn("_one", F.lit(1))
+    without = staged(narrow.where("n = 0").select(*plain), "without-words")
+    reps = alike.where("_id = rep").select("_id")
+    buckets = sketched.select("_id", "n", "bands").where("n > 0").join(reps, "_id").select(
+        "_id", "n", F.posexplode("bands").alias("band", "bucket")
+    ).withColumn("_one", F.lit(1))
     shared = staged(
         with_group_totals(
             buckets, ["bucket"], ["_id"], {"leader": ("min", "_id"), "members": ("sum", "_one")}
@@ -251,10 +255,12 @@ def near_groups(
     ).distinct()
     needed = shared.select("_id").distinct()
     sets = staged(sketched.select("_id", "bands", "sketch", "shingles").join(needed, "_id", "left_semi"), "sets")
+    unstaged(sketched)
     near = staged(similarities(with_leader, sets), "near")
     links = near.where(F.col("similarity") >= least).select("a", "b")
     classes = staged(components(links, "near-components"), "classes")
     rest = staged(_left_over(shared, near, sets, classes, least, bands * rows), "rest")
+    unstaged(shared, near, sets)
     # Every class is a star around its smallest member; the links found last join stars.
     stars = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
     classes = components(stars.unionByName(rest), "near-components").select(
@@ -262,12 +268,8 @@ def near_groups(
     )
 
     joined = alike.join(classes, "rep", "left").select(
-        "_id", "_key", *[f"_c_{n}" for n in carry], F.coalesce("component", "rep").alias("component")
-    ).unionByName(
-        sketched.where("n = 0").select(
-            "_id", "_key", *[f"_c_{n}" for n in carry], F.col("_id").alias("component")
-        )
-    ).withColumn(
+        *plain, F.coalesce("component", "rep").alias("component")
+    ).unionByName(without.withColumn("component", F.col("_id"))).withColumn(
         "_order", F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_id").alias("id"))
     ).withColumn("_one", F.lit(1).cast("bigint"))
     best = with_group_totals(
@@ -325,8 +327,10 @@ def _left_over(
     full = counted.join(sets, "_id")
     probes = full.where("left = 1").select(*columns, number("_l").alias("lb"), upto("_r").alias("rb"))
     others = full.where("left = 0").select(*columns, number("_r").alias("rb"), upto("_l").alias("lb"))
-    # Most meetings are small: one call handles about a thousand rows of them.
-    slots = max(1, counted.count() // 1000)
+    # A row stands in as many meetings as the other side has blocks. Most meetings are small: one call
+    # handles about a thousand rows of them, and none more than a few blocks.
+    met = F.when(F.col("left") == 1, parts("_r")).otherwise(parts("_l"))
+    slots = max(1, (counted.agg(F.sum(met)).first()[0] or 0) // 1000)
     slot = F.pmod(F.xxhash64(*MEETING), F.lit(slots)).alias("slot")
     probes, others = probes.select(slot, "*"), others.select(slot, "*")
     others = others.toDF(*others.columns)
