@@ -666,7 +666,7 @@ def test_standard_license_files(spark):
 
 
 def test_queries_on_empty_tables(spark, tmp_path):
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "pages"):
         spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).isEmpty(), name
