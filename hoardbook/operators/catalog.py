@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from hoardbook.functions import ordering as o
 from hoardbook.functions.text import contains_any, is_filled, strip
 from hoardbook.operators.keysets import rows_with_keys
-from hoardbook.operators.patterns import match_patterns
+from hoardbook.operators.patterns import leading_matches
 from hoardbook.operators.skew import join_one_to_many
 
 NO_DATE = "9999-12-31"
@@ -344,9 +344,9 @@ def duplicate_check(
         probes.select(strip(F.col("probe")).alias("probe")).where(F.col("probe") != "").distinct()
         .withColumn("_pattern", F.concat(F.lit("%"), "probe", F.lit("%")))
     )
-    # Many titles may share one name: patterns meet each name once.
+    # Many titles may share one name: patterns meet each name once, in the order of names.
     named = catalog.titles.select("title").where(F.col("title").isNotNull()).distinct()
-    hits = match_patterns(named, "title", "title", texts, "_pattern", rows_per_task)
+    hits = leading_matches(named, "title", [F.col("title").asc()], texts, "_pattern", limit)
     # Only the first ``limit`` titles of a name can be among the first of a probe.
     same_name = W.partitionBy("title").orderBy("id")
     leading = (

@@ -9,9 +9,13 @@ A pattern without literal text (wildcards only) asks for a length, so it meets t
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hoardbook.functions.text import like_pattern_column
+from hoardbook.operators.ranking import positioned
 from hoardbook.operators.skew import join_one_to_many
+from hoardbook.sources.staging import staged
 
 PIECE = 3
+# How many texts of its piece a pattern looks at first, and how many times more each time it goes on.
+FIRST_LOOK, LONGER = 64, 8
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -39,21 +43,8 @@ def match_patterns(
     ``texts`` is unique on ``text_key``, ``patterns`` on ``pattern``. The pattern column holds
     patterns as users type them.
     """
-    tidy = patterns.select(pattern, like_pattern_column(F.col(pattern)).alias("_like"))
-    runs = tidy.withColumn("_runs", _literal_runs(F.col("_like")))
-    longest = F.array_max(F.transform(F.col("_runs"), F.length))
-    size = F.least(F.lit(PIECE), F.coalesce(longest, F.lit(0)))
-    sized = runs.withColumn("_size", size)
-
-    # Pieces a pattern could be filed under.
-    offers = sized.where(F.col("_size") > 0).select(
-        pattern, "_like",
-        F.explode(
-            F.array_distinct(
-                F.flatten(F.transform("_runs", lambda run: _sized_pieces(run, F.col("_size"))))
-            )
-        ).alias("_piece"),
-    )
+    sized = _sized(patterns, pattern)
+    offers = _offers(sized, pattern)
     wanted = offers.select("_piece").distinct()
     # Without any such pattern no text needs to be taken apart.
     some = offers.agg(F.count(F.lit(1))).scalar()
@@ -88,6 +79,102 @@ def match_patterns(
     return by_piece.unionByName(by_length)
 
 
+def _sized(patterns: DataFrame, pattern: str) -> DataFrame:
+    """Patterns as ``ilike`` takes them, with their literal runs and the size of their pieces."""
+    tidy = patterns.select(pattern, like_pattern_column(F.col(pattern)).alias("_like"))
+    runs = tidy.withColumn("_runs", _literal_runs(F.col("_like")))
+    longest = F.array_max(F.transform(F.col("_runs"), F.length))
+    return runs.withColumn("_size", F.least(F.lit(PIECE), F.coalesce(longest, F.lit(0))))
+
+
+def _offers(sized: DataFrame, pattern: str) -> DataFrame:
+    """Pieces a pattern could be filed under."""
+    return sized.where(F.col("_size") > 0).select(
+        pattern, "_like",
+        F.explode(
+            F.array_distinct(
+                F.flatten(F.transform("_runs", lambda run: _sized_pieces(run, F.col("_size"))))
+            )
+        ).alias("_piece"),
+    )
+
+
+def leading_matches(
+    texts: DataFrame, text: str, order: list[Column], patterns: DataFrame, pattern: str, limit: int
+) -> DataFrame:
+    """Pairs (``pattern``, ``text``) that hold, for each pattern, the first ``limit`` texts in the order of
+    ``order`` that it matches, and perhaps more of them; all if there are fewer.
+
+    ``texts`` is unique on ``text``, ``patterns`` on ``pattern``. Texts get their positions, and postings
+    (piece, position) are stored in the order of positions. A pattern looks at the postings of its
+    rarest piece from the first position on, as far as about ``FIRST_LOOK`` of them reach, and goes
+    on to ``LONGER`` times as many until ``limit`` texts have been verified before the place it has
+    come to. So a pattern that very many texts match reads few of them, and one that few texts
+    match has few postings to read.
+    """
+    numbered = staged(positioned(texts, order).select("position", F.col(text).alias("_text")), "numbered-texts")
+    total = numbered.count()
+    sized = staged(_sized(patterns, pattern), "patterns")
+    offers = _offers(sized, pattern).unionByName(_blank_offers(sized, pattern))
+    wanted = offers.select("_piece").distinct()
+    every = _all_pieces(F.lower("_text"))
+    if not sized.where(F.col("_size") == 0).isEmpty():
+        every = F.concat(every, F.array(F.lit(""), _length_piece(F.length("_text"))))
+    postings = numbered.select("position", F.explode(every).alias("_piece")).join(wanted, "_piece", "left_semi")
+    postings = staged(
+        postings.repartitionByRange("position", "_piece").sortWithinPartitions("position", "_piece"), "postings"
+    )
+    shared = postings.groupBy("_piece").agg(F.count(F.lit(1)).alias("_texts"))
+    chosen = offers.join(shared, "_piece").groupBy(pattern, "_like").agg(
+        F.min(F.struct("_texts", "_piece")).alias("_best")
+    )
+    # A piece that no text has rules its pattern out.
+    missing = offers.join(shared, "_piece", "left_anti").select(pattern).distinct()
+    chosen = chosen.join(missing, pattern, "left_anti")
+    open_ = staged(chosen.select(
+        pattern, "_like", "_best._piece", "_best._texts", F.lit(0).cast("bigint").alias("_from")
+    ), "open-patterns")
+    found, look = [], FIRST_LOOK
+    while True:
+        reach = F.ceil(F.lit(float(total)) * look / F.col("_texts")).cast("bigint")
+        asked = open_.withColumn("_to", F.least(F.lit(total), reach))
+        span = asked.agg(F.min("_from").alias("low"), F.max("_to").alias("high")).first()
+        if span["low"] is None:
+            break
+        within = postings.where((F.col("position") > span["low"]) & (F.col("position") <= span["high"]))
+        near = within.join(asked, "_piece").where("position > _from and position <= _to")
+        hits = staged(
+            near.select(pattern, "_like", "position").join(numbered, "position")
+            .where("_text ilike _like").select(pattern, F.col("_text").alias(text)), "leading-matches",
+        )
+        found.append(hits)
+        seen = found[0]
+        for more in found[1:]:
+            seen = seen.unionByName(more)
+        enough = seen.groupBy(pattern).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= limit)
+        open_ = staged(
+            asked.where(F.col("_to") < total).join(enough, pattern, "left_anti")
+            .select(pattern, "_like", "_piece", "_texts", F.col("_to").alias("_from")), "open-patterns",
+        )
+        look *= LONGER
+    if not found:
+        return patterns.select(pattern).where(F.lit(False)).withColumn(text, F.lit(None).cast("string"))
+    return seen
+
+
+def _length_piece(length: Column) -> Column:
+    """What texts of one length are filed under; no text holds it."""
+    return F.concat(F.lit("\u0000"), length.cast("string"))
+
+
+def _blank_offers(sized: DataFrame, pattern: str) -> DataFrame:
+    """Pieces of patterns made of wildcards only: those that name a length ask for texts of that length,
+    the others for any text."""
+    least = F.length("_like") - F.length(F.replace("_like", F.lit("_"), F.lit("")))
+    piece = F.when(F.contains("_like", F.lit("%")), F.lit("")).otherwise(_length_piece(least))
+    return sized.where(F.col("_size") == 0).select(pattern, "_like", piece.alias("_piece"))
+
+
 def _sized_pieces(run: Column, size: Column) -> Column:
     return (
         F.when(size == 3, _pieces(run, 3)).when(size == 2, _pieces(run, 2)).otherwise(_pieces(run, 1))

@@ -981,6 +981,43 @@ RELATIONS["media_hit"] = f"""
 RELATIONS["genre"] = f"select {_columns(m.NATION_GENRES)} from nation"
 
 
+def _positions(source: str, keys: str, sorts: dict[str, str]) -> str:
+    """Every row's place under each order; equal rows in the order of their keys."""
+    last = ", ".join(f"{key} nulls last" for key in keys.split(", "))
+    return " union all ".join(
+        f"select '{name}' as sort, row_number() over (order by {order}, {last}) as position, {keys}"
+        f" from {source}" for name, order in sorts.items()
+    )
+
+
+CATALOGUE_SORTS = {
+    "title": "title nulls last", "acquired_desc": "purchase_date desc nulls last, title nulls last",
+    "acquired_asc": "purchase_date nulls last, title nulls last", "cost_desc": "cost desc nulls last",
+    "cost_asc": "cost nulls last",
+}
+QUERIES["media_sorted_all"] = _positions(
+    "media_base", "dvd_id, pi_id", {**CATALOGUE_SORTS, "genre": "genre nulls last, title nulls last"}
+)
+QUERIES["game_sorted_all"] = _positions("game_base", "game_copy_id, pi_id", {
+    **CATALOGUE_SORTS, "platform": "platform nulls last, title nulls last",
+    "year_desc": "release_year desc nulls last, title nulls last",
+})
+QUERIES["ledger_sorted_all"] = _positions("""(
+    select i.item_id, s.sale_id, i.name, i.market_value, a.purchase_date, i.status,
+        i.cost_basis + i.grading_total as total_basis
+    from item i join acquisition a on a.acquisition_id = i.acquisition_id
+    left join sale s on s.item_id = i.item_id) x""", "item_id, sale_id", {
+    "name": "name nulls last", "value_desc": "market_value desc nulls last",
+    "value_asc": "market_value nulls last",
+    "acquired_desc": "purchase_date desc nulls last, name nulls last",
+    "acquired_asc": "purchase_date nulls last, name nulls last",
+    "basis_desc": "total_basis desc nulls last", "status": "status nulls last, name nulls last",
+})
+QUERIES["boxes_sorted_all"] = " union all ".join(
+    f"""select '{name}' as list, row_number() over (order by purchase_date desc nulls first,
+        acquisition_id desc) as position, acquisition_id from acquisition where {keep}"""
+    for name, keep in (("all", "true"), ("appendable", "status in ('sealed', 'partial')"))
+)
 # Stored tables give what the tables they were made from give; cards added after others come behind them.
 QUERIES["box_pl_stored"] = QUERIES["box_pl"]
 QUERIES["merge_changes"] = QUERIES["apply_changes"]

@@ -8,9 +8,10 @@ from hoardbook.operators import (
     allocate, catalog, changes, grading, imports, intake, ledger, locate, metadata, quality,
 )
 from hoardbook.operators.numbering import assign_keys
+from hoardbook.operators.ranking import positioned, positions_by
 from hoardbook.plans import mapping as m
 from hoardbook.plans.inputs import Inputs
-from hoardbook.schemas import ACQUISITION, ITEM
+from hoardbook.schemas import ACQUISITION, APPENDABLE_STATUSES, ITEM
 from hoardbook.sources.exports import HEADERS, export_rows, scan_exports
 from hoardbook.sources.staging import staging_path
 from hoardbook.sources.store import Store
@@ -356,9 +357,38 @@ def poster_urls(t: Inputs):
     return rows.select("id", title_url(F.col("type"), F.col("tmdb_id")).alias("url"))
 
 
+@query
+def media_sorted_all(t: Inputs):
+    """Places of all rows under every named order."""
+    return positions_by(catalog.search(t.media), t.media.spec.sorts, ["dvd_id", "pi_id"])
+
+
+@query
+def game_sorted_all(t: Inputs):
+    return positions_by(catalog.search(t.games), t.games.spec.sorts, ["game_copy_id", "pi_id"])
+
+
 # Ledger
 
 
+@query
+def ledger_sorted_all(t: Inputs):
+    rows = ledger.ledger_rows(t.boxes, t.items, t.sales)
+    return positions_by(rows, ledger.COLLECTION_SORTS, ["item_id", "sale_id"])
+
+
+@query
+def boxes_sorted_all(t: Inputs):
+    """Purchases newest first, all and those that more can be added to, with their places."""
+    order = [o.desc("purchase_date"), F.col("acquisition_id").desc()]
+    rows = t.boxes.select("acquisition_id", "purchase_date", "status")
+    frames = [
+        positioned(frame, order).select(F.lit(name).alias("list"), "position", "acquisition_id")
+        for name, frame in (("all", rows), ("appendable", rows.where(F.col("status").isin(APPENDABLE_STATUSES))))
+    ]
+    return frames[0].unionByName(frames[1])
+
+
 @query
 def item_ledger(t: Inputs):
     return ledger.item_ledger(t.boxes, t.items, t.sales)
