@@ -5,6 +5,8 @@ Built from DataFrame functions only. A rule's matches are located natively: the
 sum of their lengths gives every position in code points.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hoardbook.llm.common import staged
@@ -23,7 +25,13 @@ LEAST_LENGTH = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}"
 # What parts the names, path segments and keys of a candidate.
 SEPARATORS = "/=_-"
-SYMBOLS = 64 + 4  # lower and upper case count alike; unseen symbols share the rest
+# The symbols of candidates; a symbol's code is its place, from 1.
+ALPHABET = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(48, 58)])) + "+" + SEPARATORS
+_LETTERS, _FIRST_SEPARATOR, _FILL = 52, ALPHABET.index("/") + 1, ALPHABET.index("=") + 1
+SYMBOLS = len(ALPHABET) + 1
+PLAIN = ALPHABET[: _FIRST_SEPARATOR - 1]
+BACK_OFF = 8
+WINDOW = 1 << 18  # symbols of a candidate that are taken apart at a time
 SAMPLE_DOCS = 2_000
 # Odds of 1 to 160,000 against a candidate being random, in natural units, and a least gain per symbol.
 LEAST_LLR, LEAST_LLR_PER_SYMBOL = 12.0, 0.4
@@ -64,37 +72,47 @@ def located(rows: DataFrame, column: str, kind: int, extra: list[str] | None = N
 
 
 def symbol_pairs(tokens: DataFrame, token: str, keep: list[str]) -> DataFrame:
-    """``keep`` and each pair (a, b) of neighbouring symbols of the lower-cased token, the place of b
-    in ``_p``; the first symbol follows an empty one."""
-    at = F.explode(F.sequence(F.lit(1), F.length(token)))
-    return tokens.select(*keep, F.lower(token).alias("_t"), at.alias("_p")).select(
-        *keep, "_p", F.when(F.col("_p") > 1, F.substring("_t", F.col("_p") - 1, F.lit(1))).otherwise("").alias("a"),
-        F.substring("_t", F.col("_p"), F.lit(1)).alias("b"),
+    """``keep`` and each pair (a, b) of neighbouring symbols of the tokens."""
+    cut = tokens.select(*keep, F.split(token, "").alias("_s"))
+    pair = F.zip_with(
+        F.slice("_s", F.lit(1), F.greatest(F.size("_s") - 1, F.lit(0))), F.slice("_s", F.lit(2), F.size("_s")),
+        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
     )
+    return cut.select(*keep, F.explode(pair).alias("_p")).select(*keep, "_p.a", "_p.b")
 
 
 def train(samples: DataFrame) -> DataFrame:
-    """(a, b, llr) from labelled samples (token, random): the log of how much likelier ``b`` follows
-    ``a`` in random strings than in ordinary ones, with add-one smoothing. At most one row per
-    pair of the symbols that occur in candidates."""
+    """(a, b, llr) for all pairs of plain symbols, from labelled samples (token, random): the log of how
+    much likelier ``b`` follows ``a`` in random strings than in ordinary ones. What follows a symbol is
+    estimated from its own counts and, as if seen ``BACK_OFF`` times more, from how often each
+    symbol occurs at all, so that a pair seen in neither still tells capitals from common letters."""
+    n = len(PLAIN)
     pairs = symbol_pairs(samples, "token", ["random"]).groupBy("a", "b").agg(
         F.sum(F.col("random").cast("int")).alias("r"),
         F.sum(1 - F.col("random").cast("int")).alias("w"),
     )
-    total = W.partitionBy("a")
-    smoothed = lambda n: (F.col(n) + 1) / (F.sum(n).over(total) + SYMBOLS)
-    return pairs.select("a", "b", F.log(smoothed("r") / smoothed("w")).alias("llr"))
+    symbol = lambda place: F.substring(F.lit(PLAIN), place + 1, F.lit(1))
+    grid = samples.sparkSession.range(n * n, numPartitions=1).select(
+        symbol((F.col("id") / n).cast("int")).alias("a"), symbol((F.col("id") % n).cast("int")).alias("b")
+    )
+    counted = grid.join(pairs, ["a", "b"], "left").fillna(0, ["r", "w"])
+
+    def likely(c: str) -> Column:
+        alone = (F.sum(c).over(W.partitionBy("b")) + 1) / (F.sum(c).over(W.partitionBy()) + n)
+        return (F.col(c) + BACK_OFF * alone) / (F.sum(c).over(W.partitionBy("a")) + BACK_OFF)
+
+    return counted.select("a", "b", F.log(likely("r") / likely("w")).alias("llr"))
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(token, random) from ``docs`` (doc_id, text): of the ``sample_docs`` documents whose ids hash
-    lowest (the bound of the training sample), the words and identifiers of six letters and more
+    lowest (the bound of the training sample), the words and identifiers of 6 to 64 letters
     are ordinary; digests of as many ids, in hexadecimal and base 64, are random."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(
         F.xxhash64("doc_id"), "doc_id"
     ).limit(sample_docs)
     words = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(
-        F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z_-]{5,})"), F.lit(1)))
+        F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z_-]{5,63})"), F.lit(1)))
         .alias("token")
     )
     digest = F.sha2(F.col("doc_id").cast("string"), 256)
@@ -104,54 +122,160 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
     )
 
 
-def stretches(symbols: Column) -> Column:
-    """Array of (first, last): the stretches of ``symbols``, an array of (p, llr, cut, parts) in order of
-    p, that score highest. A stretch starts where the running sum of llr leaves zero and ends at its
-    peak, once the sum has fallen to zero or ``LEAST_LLR`` below the peak; none crosses a cut. Kept
-    are those with ``LEAST_LLR`` in all and ``LEAST_LLR_PER_SYMBOL`` on average."""
-    spans = "array<struct<first:int,last:int>>"
-    state = lambda total, first, peak, last, done: F.struct(
-        total.alias("total"), first.alias("first"), peak.alias("peak"), last.alias("last"), done.alias("done")
-    )
-    none = F.array().cast(spans)
-
-    def closed(s):
-        good = (s["peak"] >= LEAST_LLR) & (s["peak"] >= LEAST_LLR_PER_SYMBOL * (s["last"] - s["first"] + 1))
-        here = F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"))).cast(spans)
-        return F.when(good, F.concat(s["done"], here)).otherwise(s["done"])
-
-    def step(s, x):
-        total = s["total"] + x["llr"]
-        stop = x["cut"] | (total <= 0) | (total < s["peak"] - LEAST_LLR)
-        zero, after = F.lit(0.0), x["p"] + F.lit(1)
-        return F.when(stop, state(zero, after, zero, x["p"], closed(s))).otherwise(state(
-            total, s["first"], F.greatest(total, s["peak"]),
-            F.when(total > s["peak"], x["p"]).otherwise(s["last"]), s["done"],
+def matrix(model: DataFrame) -> Column:
+    """The model of ``train`` as one array of ``SYMBOLS`` squared numbers, at code of a times ``SYMBOLS``
+    plus code of b: gains of pairs, 0 for pairs with a separator, which count for neither side: words
+    joined by them stay words. The driver gets at most that many rows."""
+    gains = [0.0] * SYMBOLS**2
+    for r in model.collect():
+        a, b = ALPHABET.find(r["a"]) + 1, ALPHABET.find(r["b"]) + 1
+        if 0 < a < _FIRST_SEPARATOR and 0 < b < _FIRST_SEPARATOR:
+            gains[a * SYMBOLS + b] = r["llr"]
+    return F.from_json(F.lit(json.dumps(gains)), "array<double>")
+
+
+_CODES = [0] * 128
+for _code, _symbol in enumerate(ALPHABET, 1):
+    _CODES[ord(_symbol)] = _code
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _set(state: Column, names: tuple[str, ...], **changes: Column) -> Column:
+    return F.struct(*[(changes[n] if n in changes else state[n]).alias(n) for n in names])
+
+
+# Where the reading of a candidate stands: symbols read, code of the last one, start of the part it is
+# in, last letter; the stretch under way (sum, first symbol, where its first part starts, peak, place
+# of the peak, where the part of the peak ends, 0 if not yet known, and the last letter up to there);
+# the stretch found last, grown to its parts (start, 0 if none, end, 0 if not yet known, and the last
+# letter up to there); the spans found.
+_STATE = (
+    "at", "code", "part", "letter", "total", "first", "open", "peak", "last", "close", "close_letter",
+    "from", "to", "to_letter", "done",
+)
+
+
+def _pushed(s: Column) -> Column:
+    end = F.when(s["to"] > 0, s["to"]).otherwise(s["at"])
+    letter = F.when(s["to"] > 0, s["to_letter"]).otherwise(s["letter"])
+    good = (s["from"] > 0) & (end - s["from"] + 1 >= LEAST_LENGTH) & (letter >= s["from"])
+    span = F.array(F.struct(s["from"].alias("first"), end.alias("last")))
+    return F.when(good, F.concat(s["done"], span)).otherwise(s["done"])
+
+
+def _closed(s: Column) -> Column:
+    """The stretch under way becomes the one found last if it is good; one that shares a part with the
+    one before joins it."""
+    good = (s["peak"] >= LEAST_LLR) & (s["peak"] >= LEAST_LLR_PER_SYMBOL * (s["last"] - s["first"] + 1))
+    joins = (s["from"] > 0) & ((s["to"] == 0) | (s["to"] >= s["open"]))
+    return F.when(good, _set(s, _STATE, **{
+        "done": F.when(joins, s["done"]).otherwise(_pushed(s)),
+        "from": F.when(joins, F.least(s["from"], s["open"])).otherwise(s["open"]),
+        "to": s["close"], "to_letter": s["close_letter"],
+    })).otherwise(s)
+
+
+def _step(gains: Column):
+    def ended(end: Column, last: Column, at: Column, code: Column) -> Column:
+        """Where a part ends: before the next separator, after the "=" that fill a key up."""
+        here = F.when(code == _FILL, at).otherwise(at - 1)
+        return (
+            F.when((end == 0) & (last > 0) & (code >= _FIRST_SEPARATOR), here)
+            .when((end > 0) & (end == at - 1) & (code == _FILL), at).otherwise(end)
+        )
+
+    def step(s: Column, symbol: Column) -> Column:
+        code = F.element_at(F.lit(_CODES), F.ascii(symbol) + 1)
+
+        def with_code(c: Column) -> Column:
+            at = s["at"] + 1
+            # Neither a "=" nor the stretch under way can lengthen what was found.
+            over = (s["to"] > 0) & ~((s["to"] == at - 1) & (c == _FILL)) & (s["open"] > s["to"])
+            close, to = ended(s["close"], s["last"], at, c), ended(s["to"], s["from"], at, c)
+            known = lambda old, new, letter: F.when((old == 0) & (new > 0), s["letter"]).otherwise(letter)
+            return _let(_set(
+                s, _STATE, **{
+                    "at": at, "part": F.when(c >= _FIRST_SEPARATOR, at + 1).otherwise(s["part"]),
+                    "code": c, "letter": F.when(c <= _LETTERS, at).otherwise(s["letter"]),
+                    "total": s["total"] + F.element_at(gains, s["code"] * SYMBOLS + c + 1),
+                    "close": close, "close_letter": known(s["close"], close, s["close_letter"]),
+                    "from": F.when(over, 0).otherwise(s["from"]), "to": F.when(over, 0).otherwise(to),
+                    "to_letter": known(s["to"], to, s["to_letter"]),
+                    "done": F.when(over, _pushed(s)).otherwise(s["done"]),
+                }), moved)
+
+        return _let(code, with_code)
+
+    def moved(s: Column) -> Column:
+        zero = F.lit(0.0)
+        stop = (s["total"] <= 0) | (s["total"] < s["peak"] - LEAST_LLR)
+        higher = s["total"] > s["peak"]
+        return (
+            F.when(stop, _let(_closed(s), lambda c: _set(
+                c, _STATE, total=zero, peak=zero, last=F.lit(0), close=F.lit(0), first=c["at"] + 1, open=c["part"]
+            )))
+            .when(higher, _set(s, _STATE, peak=s["total"], last=s["at"], close=F.lit(0)))
+            .otherwise(s)
+        )
+
+    return step
+
+
+def stretches(token: Column, gains: Column) -> Column:
+    """Array of (first, last): the parts of a candidate, from 1, that hold its best-scoring stretches.
+
+    A stretch starts where the running sum of gains leaves zero and ends at its peak, once the sum has
+    fallen to zero or ``LEAST_LLR`` below the peak. Kept are those with ``LEAST_LLR`` in all and
+    ``LEAST_LLR_PER_SYMBOL`` on average, grown to the separators around them and over the "=" that fill
+    a key up; those that grow into the same part are one. Spans of less than ``LEAST_LENGTH`` symbols or
+    without a letter drop out. Symbols are read once, ``WINDOW`` of them at a time.
+    """
+    start = F.struct(*[
+        {"total": F.lit(0.0), "peak": F.lit(0.0), "done": F.array().cast("array<struct<first:int,last:int>>")}
+        .get(n, F.lit(1 if n in ("part", "first", "open") else 0)).alias(n) for n in _STATE
+    ])
+    step = _step(gains)
+    empty = F.array().cast("array<struct<first:int,last:int>>")
+
+    def window(outer: Column, begin: Column) -> Column:
+        symbols = F.split(F.substring(token, begin, F.lit(WINDOW)), "")
+        inner = F.aggregate(symbols, outer["s"], step)
+        return _let(inner, lambda s: F.struct(
+            _set(s, _STATE, done=empty).alias("s"), F.concat(outer["all"], F.array(s["done"])).alias("all")
         ))
 
-    start = state(F.lit(0.0), F.lit(1), F.lit(0.0), F.lit(0), none)
-    return F.aggregate(symbols, start, step, closed)
+    def finish(outer: Column) -> Column:
+        last = _let(_closed(outer["s"]), _pushed)
+        return F.concat(F.flatten(outer["all"]), last)
 
+    begins = F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1)), F.lit(WINDOW))
+    return F.aggregate(begins, F.struct(start.alias("s"), F.array().cast(
+        "array<array<struct<first:int,last:int>>>").alias("all")), window, finish)
 
-def widened(symbols: Column, found: Column) -> Column:
-    """Array of (first, last): the stretches ``found``, grown to the separators or cuts around them and
-    over the "=" that fill a key up; those of less than ``LEAST_LENGTH`` symbols or without a letter
-    drop out. Stretches that grow to the same symbols count once."""
-    bars = F.transform(F.filter(symbols, lambda x: x["parts"] | x["cut"]), lambda x: x["p"])
-    size = F.size(symbols)
 
-    def grown(s):
-        first = F.coalesce(F.array_max(F.filter(bars, lambda b: b < s["first"])), F.lit(0)) + 1
-        last = F.coalesce(F.array_min(F.filter(bars, lambda b: b > s["last"])), size + 1) - 1
-        rest = F.slice(symbols, last + 1, size)
-        other = F.array_position(F.transform(rest, lambda x: x["fill"] & ~x["cut"]), F.lit(False))
-        more = F.when(other > 0, other - 1).otherwise(F.size(rest)).cast("int")
-        return F.struct(first.alias("first"), (last + more).alias("last"))
+def outside(start: Column, length: Column, base: Column) -> Column:
+    """Array of (at, length): what is left of a candidate outside the ``base`` spans, which are sorted by
+    start; ``at`` counts from 1 within the candidate."""
+    pieces = "array<struct<at:int,length:int>>"
 
-    return F.array_distinct(F.filter(F.transform(found, grown), lambda s: (
-        (s["last"] - s["first"] + 1 >= LEAST_LENGTH)
-        & F.exists(F.slice(symbols, s["first"], s["last"] - s["first"] + 1), lambda x: x["letter"])
-    )))
+    def piece(a: Column, until: Column) -> Column:
+        n = (until - a["next"]).cast("int")
+        here = F.array(F.struct((a["next"] - start + 1).cast("int").alias("at"), n.alias("length"))).cast(pieces)
+        return F.when(n >= LEAST_LENGTH, F.concat(a["done"], here)).otherwise(a["done"])
+
+    end = start + length
+    return F.aggregate(
+        F.coalesce(base, F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")),
+        F.struct(start.alias("next"), F.array().cast(pieces).alias("done")),
+        lambda a, b: F.struct(
+            F.greatest(a["next"], b["end"]).alias("next"), piece(a, F.least(b["start"], end)).alias("done")
+        ),
+        lambda a: piece(a, end),
+    )
 
 
 def secret_spans(
@@ -165,13 +289,15 @@ def secret_spans(
     the base spans, of which the random model explains some stretch better by ``LEAST_LLR`` in all and
     ``LEAST_LLR_PER_SYMBOL`` on average: names and path segments beside a key neither hide it nor belong
     to it. Positions are code points, ends exclusive. Null and
-    empty texts have none; equal rows have equal spans; an empty table stays empty.
+    empty texts have none; equal rows have equal spans, null keys are keys like any other; an empty table
+    stays empty; columns other than ``keys`` and text may bear any name. A text is searched whole, in one
+    task; a candidate of any length is read ``WINDOW`` symbols at a time.
     """
     keys = keys or ["doc_id"]
     if model is None:
         model = train(labelled_samples(docs.select("doc_id", "text"), sample_docs))
-    # Everything later reads this narrow table; texts are scanned once. At most 69 x 69 pairs.
-    model = F.broadcast(staged(model, "secret-model"))
+    gains = matrix(model)
+    # Everything later reads this narrow table; texts are scanned once.
     found = staged(
         docs.select(
             F.monotonically_increasing_id().alias("_id"),
@@ -196,24 +322,10 @@ def secret_spans(
     ).where(F.col("token").rlike("[A-Za-z]")).join(base, "_id", "left").withColumn(
         "_base", F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     )
-    at = F.col("start") + F.col("_p") - 1
-    pairs = symbol_pairs(tokens, "token", ["_id", "start", "_base"]).withColumn(
-        "cut", F.coalesce(F.exists("_base", lambda b: (b["start"] <= at) & (b["end"] > at)), F.lit(False))
-    )
-    # Separators and what follows one count for neither side: words joined by them stay words.
-    scored = (
-        pairs.join(
-            model.where(~F.col("a").isin("", *SEPARATORS) & ~F.col("b").isin(*SEPARATORS)), ["a", "b"], "left"
-        ).groupBy("_id", "start").agg(
-            F.sort_array(F.collect_list(F.struct(
-                F.col("_p").alias("p"), F.coalesce("llr", F.lit(0.0)).alias("llr"), "cut",
-                F.col("b").isin(*SEPARATORS).alias("parts"), (F.col("b") == "=").alias("fill"),
-                F.col("b").between("a", "z").alias("letter"),
-            ))).alias("_symbols")
-        )
-        .withColumn("_found", stretches(F.col("_symbols"))).where(F.size("_found") > 0)
-        .select("_id", "start", F.explode(widened(F.col("_symbols"), F.col("_found"))).alias("_s"))
-    )
+    pieces = tokens.select(
+        "_id", "start", "token", F.explode(outside(F.col("start"), F.length("token").cast("bigint"), F.col("_base"))).alias("_p")
+    ).select("_id", (F.col("start") + F.col("_p.at") - 1).alias("start"), F.expr("substring(token, _p.at, _p.length)").alias("token"))
+    scored = pieces.select("_id", "start", F.explode(stretches(F.col("token"), gains)).alias("_s"))
     extra = (
         scored.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct(
             (F.col("start") + F.col("_s.first") - 1).alias("start"), F.lit(3).alias("kind"),
