@@ -143,29 +143,62 @@ def box_pl(
     the purchase of their item (``acquisition_id``) are joined by both, which needs no exchange
     where all tables are bucketed by purchase.
     """
+    return box_report(acquisitions, box_sums(items, sales, dedupe_sales))
+
+
+# Sums per purchase that its report is made of; they add up over any division of its items.
+STATE = ("_grading", "_items", "_at_open", "_realized", "_unsold")
+
+
+def item_sums(items: DataFrame, sales: DataFrame, dedupe_sales: bool = False) -> DataFrame:
+    """What each item adds to the sums of its purchase: (acquisition_id, item_id, ``STATE``)."""
     keys = [c for c in ("acquisition_id", "item_id") if c in sales.columns]
     times = F.lit(1) if dedupe_sales else F.coalesce("n_sales", F.lit(1)).cast("decimal(10,0)")
     owned = F.col("status").isin(OWNED_STATUSES)
 
     def total(value: Column) -> Column:
-        return F.sum((value * times).cast(SUM))
+        return (value * times).cast(SUM)
+
+    return items.select(
+        "item_id", "acquisition_id", "grading_total", "market_value_at_open", "market_value",
+        "status",
+    ).join(_sales_per_item(sales, keys), keys, "left").select(
+        "acquisition_id", "item_id", total(F.col("grading_total")).alias("_grading"),
+        times.cast("bigint").alias("_items"), total(F.col("market_value_at_open")).alias("_at_open"),
+        F.col("sale_net").alias("_realized"),
+        total(F.when(owned, F.col("market_value"))).alias("_unsold"),
+    )
 
-    per_box = (
-        items.select(
-            "item_id", "acquisition_id", "grading_total", "market_value_at_open", "market_value",
-            "status",
-        )
-        .join(_sales_per_item(sales, keys), keys, "left")
-        .groupBy("acquisition_id")
-        .agg(
-            total(F.col("grading_total")).alias("_grading"),
-            F.sum(times.cast("bigint")).alias("_items"),
-            total(F.col("market_value_at_open")).alias("_at_open"),
-            F.sum("sale_net").alias("_realized"),
-            total(F.when(owned, F.col("market_value"))).alias("_unsold"),
-        )
+
+def box_sums(items: DataFrame, sales: DataFrame, dedupe_sales: bool = False) -> DataFrame:
+    """(acquisition_id, ``STATE``) of every purchase that has items."""
+    return item_sums(items, sales, dedupe_sales).groupBy("acquisition_id").agg(
+        *[F.sum(c).alias(c) for c in STATE]
     )
 
+
+def corrections(
+    before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]
+) -> DataFrame:
+    """By how much the sums of purchases change between two states of some (items, sales); purchases
+    whose sums stay are left out. Rows that are the same in both may be left out of both."""
+    left = box_sums(*before).select("acquisition_id", *[(-F.col(c)).alias(c) for c in STATE])
+    moved = box_sums(*after).unionByName(left).groupBy("acquisition_id").agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in STATE]
+    )
+    return moved.where(" or ".join(f"{c} <> 0" for c in STATE))
+
+
+def corrected(state: DataFrame, moved: DataFrame) -> DataFrame:
+    """``box_sums`` after ``corrections``."""
+    kinds = {f.name: f.dataType for f in state.schema}
+    both = state.unionByName(moved.select("acquisition_id", *[F.col(c).cast(kinds[c]).alias(c) for c in STATE]))
+    return both.groupBy("acquisition_id").agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in STATE])
+
+
+def box_report(acquisitions: DataFrame, per_box: DataFrame) -> DataFrame:
+    """Profit and loss of purchases from their sums (``box_sums``)."""
+
     def known(column: str) -> Column:
         return F.coalesce(column, F.lit(0)).cast(SUM)
 

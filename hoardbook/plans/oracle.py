@@ -1032,6 +1032,13 @@ QUERIES["sink_roundtrip"] = f"""
         acquisition_id, name, cost_basis, status from ({QUERIES["import_append"]}) z"""
 
 
+QUERIES["box_pl_incremental"] = _box_pl(
+    f"(select item_id, net_proceeds from ({QUERIES['apply_sales']}) y)", "s.net_proceeds"
+).replace("left join item i on", f"""left join (
+    select c.item_id, o.acquisition_id, c.grading_total, o.market_value_at_open, c.market_value, c.status
+    from ({QUERIES['apply_changes']}) c join item o on o.item_id = c.item_id) i on""")
+
+
 def oracle(key: str) -> str:
     """One statement: the relations a query needs, then the query."""
     needed, texts = set(), [QUERIES[key]]

@@ -13,7 +13,7 @@ from hoardbook.plans import mapping as m
 from hoardbook.plans.inputs import Inputs
 from hoardbook.schemas import ACQUISITION, APPENDABLE_STATUSES, ITEM
 from hoardbook.sources.exports import HEADERS, export_rows, scan_exports
-from hoardbook.sources.staging import staging_path
+from hoardbook.sources.staging import staged, staging_path
 from hoardbook.sources.store import Store
 from hoardbook.sources.tables import evolve, with_defaults, with_generated
 
@@ -768,6 +768,20 @@ def box_pl_stored(t: Inputs):
     return ledger.box_pl(store.table("acquisition"), store.table("item"), store.table("sale"))
 
 
+@query
+def box_pl_incremental(t: Inputs):
+    """Profit and loss after changes: the sums of purchases from before, corrected by the buckets that
+    the changes touched."""
+    store = _store(t)
+    before = store.version()
+    sums = staged(ledger.box_sums(store.table("item", before), store.table("sale", before)), "box-sums")
+    after, _ = store.merge(t.events)
+    touched = store.changed(before, after)
+    rows = [[store.table(name, v, touched) for name in ("item", "sale")] for v in (before, after)]
+    moved = staged(ledger.corrections(*map(tuple, rows)), "box-corrections")
+    return ledger.box_report(store.table("acquisition"), ledger.corrected(sums, moved))
+
+
 # Changes and quality
 
 CHANGED = ["item_id", "status", "condition", "storage_location", "market_value",
