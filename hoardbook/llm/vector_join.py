@@ -1,20 +1,20 @@
 """Near duplicates among vectors by an exact metric range join.
 
-Pivots partition the unit vectors into cells. Two vectors within the radius may lie in different
-cells, so a vector is also sent to each cell whose border it is close enough to, by the triangle
-inequality; then every cell is joined on its own, in blocks.
+Pivots partition the unit vectors into cells, and crowded cells again. Two vectors within the radius may
+lie in different cells, so a vector is also sent to each cell whose border it is close enough to, by
+the triangle inequality; then every cell is joined on its own, in blocks.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hoardbook.llm.common import components, extended, staged
 
-PIVOTS = 64
+FAN, PER_PIVOT = 4_096, 16  # most pivots of one cut, and vectors for each
+FIRST = 8  # pivots where no cut is worth making
+CELL = 512  # vectors of a cell that is not cut again
+TRIAL, WORTH, COPIES = 2_000, 0.6, 16
 BLOCK = 4_000
 _SLACK = 1e-9
 
@@ -25,8 +25,9 @@ def _units(rows) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
-def _cells(pivots: dict[int, np.ndarray], least: float):
-    """Adds to each vector its cell (the nearest pivot) and the cells it must be sent to.
+def _assign(least: float):
+    """Adds to the vectors of a cell, given its pivots, the nearest pivot and the pivots whose cells they
+    must be sent to.
 
     With ``r`` the distance at cosine ``least``: if ``w`` is nearest to pivot q, the border between
     q and p lies between w and any v nearer to p; v's distance from that border's plane is
@@ -34,34 +35,111 @@ def _cells(pivots: dict[int, np.ndarray], least: float):
     """
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            vectors = batch.column("embedding").to_pylist()
-            own = np.zeros(len(vectors), np.int64)
-            probes: list[list[int]] = [[0]] * len(vectors)
-            sizes = np.array([len(v) for v in vectors], np.int64)
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                p = pivots.get(int(size))
-                if p is None:
-                    continue
-                apart = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(2))
-                for some in np.array_split(at, max(1, len(at) // 2048)):
-                    near = _units([vectors[i] for i in some]) @ p.T
-                    best = near.argmax(1)
-                    gap = near.max(1)[:, None] - near
-                    send = gap <= radius * apart[best] + _SLACK
-                    for i, b, s in zip(some, best, send):
-                        own[i] = b
-                        probes[i] = np.flatnonzero(s).tolist()
-            yield pa.RecordBatch.from_arrays(
-                batch.columns + [pa.array(sizes), pa.array(own), pa.array(probes, pa.list_(pa.int64()))],
-                batch.schema.names + ["dims", "cell", "cells"],
-            )
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        best, sent = np.zeros(len(left), np.int64), []
+        if len(left):
+            p = _units(right["pivot"])
+            for at in range(0, len(left), 512):
+                near = _units(left["embedding"].iloc[at:at + 512]) @ p.T
+                top = near.argmax(1)
+                best[at:at + 512] = top
+                apart = np.sqrt(np.maximum(0, 2 - 2 * (p[top] @ p.T)))
+                sent += [np.flatnonzero(row) for row in near.max(1)[:, None] - near <= radius * apart + _SLACK]
+        return left.drop(columns=["part"]).assign(nearest=best, subs=sent)
 
     return run
 
 
+KEY = ["dims", "cell"]
+
+
+def _ranked(rows: DataFrame, most: int) -> DataFrame:
+    """Of each cell the ``most`` vectors whose hashes are lowest."""
+    rank = F.row_number().over(W.partitionBy(*KEY).orderBy(F.xxhash64("id"), "id"))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= most)
+
+
+def _cut(rows: DataFrame, full: DataFrame, most: int, per: int, least: float, block: int) -> DataFrame:
+    """``rows`` of cells with their nearest pivots and the pivots whose cells they are sent to. A cell has
+    one pivot for ``per`` of its own vectors in ``full``, ``most`` at most."""
+    pivots = _ranked(full.where("own"), most).where(F.col("_rank") <= F.ceil(F.col("n") / per)).select(
+        *KEY, "s", F.col("embedding").alias("pivot")
+    )
+    parts = F.ceil(F.col("s") / block)
+    rows = rows.select(*KEY, F.pmod(F.xxhash64("id"), parts).alias("part"), "id", "embedding", "copies", "own")
+    pivots = pivots.select(*KEY, "pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    pivots = pivots.toDF(*pivots.columns)
+    schema = extended(rows.drop("part"), "nearest bigint, subs array<bigint>")
+    return rows.groupBy(*KEY, "part").cogroup(pivots.groupBy(*KEY, "part")).applyInPandas(_assign(least), schema)
+
+
+def _parts_of(cut: DataFrame) -> DataFrame:
+    """The rows of the new cells."""
+    return cut.select("*", F.explode("subs").alias("sub")).select(
+        "dims", F.concat_ws(".", "cell", F.col("sub").cast("string")).alias("cell"), "id", "embedding", "copies",
+        (F.col("own") & (F.col("nearest") == F.col("sub"))).alias("own"),
+    )
+
+
+def _worth(trial: DataFrame) -> DataFrame:
+    """Cells that a cut, tried on some of their rows, leaves with few enough comparisons and copies."""
+    sizes = trial.groupBy(*KEY).agg(
+        F.sum(F.col("own").cast("double")).alias("n"), F.count(F.lit(1)).cast("double").alias("s"),
+        F.sum(F.size("subs")).alias("copies"),
+    )
+    subs = trial.select(*KEY, F.explode("subs").alias("sub"), (F.col("own") & (F.col("nearest") == F.col("sub"))).alias("mine"))
+    after = subs.groupBy(*KEY, "sub").agg(
+        F.sum(F.col("mine").cast("double")).alias("o"), F.count(F.lit(1)).cast("double").alias("t")
+    ).groupBy(*KEY).agg(F.sum(F.col("o") * F.col("t")).alias("after"))
+    return sizes.join(after, KEY).where(
+        (F.col("after") <= WORTH * F.col("n") * F.col("s")) & (F.col("copies") <= COPIES * F.col("s"))
+    ).select(*KEY)
+
+
+def cells(
+    distinct: DataFrame, least: float, first: int = FIRST, fan: int = FAN, per: int = PER_PIVOT, cell: int = CELL,
+    block: int = BLOCK,
+) -> DataFrame:
+    """(dims, cell, id, embedding, copies, own): each vector of ``distinct`` (id, embedding, copies) once
+    in its own cell and once in each other cell that holds vectors it may be similar to.
+
+    Pivots grow with the data: one for ``per`` vectors, those whose hashes are lowest, ``fan`` at most for
+    one cut; cells of more than ``cell`` vectors are cut again, by pivots of their own. A cut is first tried
+    on ``TRIAL`` rows of a cell and made where it leaves at most ``WORTH`` of the comparisons and ``COPIES``
+    copies of a row. Where the very first one is not worth making (vectors without clusters), ``first``
+    pivots cut all vectors, and that is all. Vectors of different lengths have cells apart.
+    """
+    level = distinct.select(
+        F.size("embedding").alias("dims"), F.lit("").alias("cell"), "id", "embedding", "copies", F.lit(True).alias("own")
+    )
+    done, rounds = [], 0
+    while True:
+        level = staged(level, "cells")
+        counts = staged(level.groupBy(*KEY).agg(
+            F.sum(F.col("own").cast("bigint")).alias("n"), F.count(F.lit(1)).alias("s")
+        ).where(F.col("n") > (cell if rounds else cell // 4)), "crowded-cells")
+        if counts.isEmpty():
+            done.append(level)
+            break
+        full = level.join(counts, KEY)
+        worth = staged(_worth(_cut(_ranked(full, TRIAL), full, fan, per, least, block)), "cells-worth")
+        some = full.join(worth, KEY, "left_semi")
+        rest = full.join(worth, KEY, "left_anti")
+        done.append(level.join(counts, KEY, "left_anti"))
+        if rounds:
+            done.append(rest.select(*level.columns))
+        else:
+            done.append(staged(_parts_of(_cut(rest, rest, first, cell // 4, least, block)), "first-cells"))
+        if worth.isEmpty():
+            break
+        level = _parts_of(_cut(some, some, fan, per, least, block))
+        rounds += 1
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found
+
+
 def _lowest(near: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Per row of ``near`` the lowest label of its true columns."""
     none = np.iinfo(np.int64).max
@@ -105,7 +183,7 @@ def _join_block(least: float):
 
 def linked_vectors(
     vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9,
-    pivots: int = PIVOTS, block: int = BLOCK,
+    first: int = FIRST, fan: int = FAN, per: int = PER_PIVOT, cell: int = CELL, block: int = BLOCK,
 ) -> DataFrame:
     """One row per row of ``vectors``: its key, n_links, component_id and kept.
 
@@ -115,11 +193,9 @@ def linked_vectors(
     once. ``component_id`` is the smallest key reachable by links, ``kept`` marks the rows that
     bear it. An empty table stays empty.
 
-    One pivot is drawn per ``block`` distinct vectors, up to ``pivots``, those whose hashes are
-    lowest (vector lengths that this misses have one cell). Cells are cut into blocks of about
-    ``block`` members and ``block`` sent vectors, so neither a crowded cell nor a crowd of equal
-    vectors gathers in a task; links are counted and components formed per block, pairs never
-    leave it.
+    Distinct vectors are dealt to ``cells``. Cells are joined in blocks of about ``block`` members and
+    ``block`` sent vectors, so neither a crowded cell nor a crowd of equal vectors gathers in a task;
+    links are counted and components formed per block, pairs never leave it.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -128,31 +204,19 @@ def linked_vectors(
         rows.where(usable & F.col("id").isNotNull()).groupBy("embedding")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "vectors",
     )
-    pivots = min(pivots, -(-distinct.count() // block))
-    drawn = distinct.orderBy(F.xxhash64("id"), "id").limit(pivots).select("embedding").collect()
-    by_size: dict[int, list] = {}
-    for r in drawn:
-        by_size.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    table = {size: _units(v) for size, v in by_size.items()}
-    schema = extended(distinct, "dims bigint, cell bigint, cells array<bigint>")
-    placed = staged(distinct.mapInArrow(_cells(table, least), schema), "cells")
+    placed = staged(cells(distinct, least, first, fan, per, cell, block), "placed")
 
     # How many blocks each cell needs; one row per cell.
-    members = placed.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("n"))
-    sent = placed.select("dims", F.explode("cells").alias("cell")).groupBy("dims", "cell").agg(
-        F.count(F.lit(1)).alias("s")
-    )
-    blocks = members.join(sent, ["dims", "cell"]).select(
-        "dims", "cell", F.ceil(F.col("n") / block).alias("m"), F.ceil(F.col("s") / block).alias("p")
-    )
+    blocks = placed.groupBy("dims", "cell").agg(
+        F.ceil(F.sum(F.col("own").cast("bigint")) / block).alias("m"), F.ceil(F.count(F.lit(1)) / block).alias("p")
+    ).where("m > 0")
     number = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    members = placed.join(blocks, ["dims", "cell"]).select(
+    members = placed.where("own").join(blocks, ["dims", "cell"]).select(
         "dims", "cell", number("m", "m").alias("mb"), upto("p").alias("pb"), "id", "embedding"
     )
     sent = (
-        placed.select("dims", F.explode("cells").alias("cell"), "id", "embedding", "copies")
-        .join(blocks, ["dims", "cell"])
+        placed.join(blocks, ["dims", "cell"])
         .select("dims", "cell", number("p", "p").alias("pb"), upto("m").alias("mb"), "id", "embedding", "copies")
     )
     sent = sent.toDF(*sent.columns)

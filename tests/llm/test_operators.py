@@ -212,7 +212,7 @@ def test_vector_links(spark):
                 todo += links[x] if x is not None else []
         low = min(seen, key=lambda x: (x is not None, x)) if i is not None else None
         want.append((i, len(links[i]) if i is not None else 0, low, i == low))
-    for options in ({}, {"block": 9, "pivots": 5}, {"block": 40}):
+    for options in ({}, {"block": 9, "first": 5, "cell": 8, "fan": 9, "per": 4}, {"block": 40, "cell": 20}):
         got = collected(vector_join.linked_vectors(df, **options))
         assert Counter(map(tuple, got)) == Counter(want)
 

@@ -13,7 +13,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from hoardbook.llm import main_text, page_blocks, periodic, queries, secrets, whitening
+from hoardbook.llm import (
+    main_text, page_blocks, periodic, queries, secrets, vector_join, whitening,
+)
 
 SF = "/root/testdata/sf0.001"
 CLASHES = "_id bigint, _text string, n bigint, component int, runs string, text2 string"
@@ -413,3 +415,38 @@ def test_secrets_in_very_long_and_odd_texts(spark, model):
     assert [e for k, e in extra if k == 5] == [[(2, 22)], [(2, 22)]] and by[9] == [(3, 23)]
     assert [e for k, e in extra if k is None and e] == [[(0, 20)]]
     assert by[7] == [(0, 20), (42, 62)]
+
+
+# 3 vectors: cells
+
+
+def test_cells_follow_clusters(spark):
+    """20,000 vectors in 200 clusters: few comparisons, few copies, and no near pair without a common cell."""
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(200, 32))
+    rows = centres[np.arange(20_000) % 200] + 0.05 * r.normal(size=(20_000, 32))
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "id bigint, embedding array<double>, copies bigint")
+    placed = vector_join.cells(frame, 0.9).drop("embedding").collect()
+    own, sent = {}, {}
+    for x in placed:
+        sent.setdefault(x["cell"], []).append(x["id"])
+        if x["own"]:
+            assert x["id"] not in own
+            own[x["id"]] = x["cell"]
+    assert len(own) == 20_000 and len(sent) > 20
+    compared = sum(len(sent[c]) for c in own.values())
+    assert compared < 0.05 * 20_000**2 and len(placed) < 10 * 20_000
+    held = {c: set(ids) for c, ids in sent.items()}
+    units = rows / np.linalg.norm(rows, axis=1)[:, None]
+    for i in range(0, 20_000, 997):
+        near = np.flatnonzero(units @ units[i] >= 0.9)
+        assert len(near) >= 100 and all(int(j) in held[own[i]] for j in near)
+
+
+def test_cells_without_clusters_are_not_copied_in_vain(spark):
+    r = np.random.default_rng(3)
+    frame = spark.createDataFrame(
+        [(i, v.tolist(), 1) for i, v in enumerate(r.normal(size=(3000, 64)))], "id bigint, embedding array<double>, copies bigint")
+    placed = vector_join.cells(frame, 0.9)
+    assert placed.select("cell").distinct().count() == 8 and placed.count() <= 8 * 3000
+    assert placed.where("own").count() == 3000
