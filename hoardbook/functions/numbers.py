@@ -1,6 +1,7 @@
 """Number expressions for text typed by people or written by other programs."""
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DataType
 
 from hoardbook.functions.text import WHITE_SPACE, strip
 from hoardbook.schemas import MONEY
@@ -8,6 +9,8 @@ from hoardbook.schemas import MONEY
 _DIGITS = r"[0-9]+(_[0-9]+)*"
 _SPACE = f"[{WHITE_SPACE}]*"
 _NUMBER = rf"^{_SPACE}[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?{_SPACE}$"
+# Most texts are plain; they need no further reading.
+_PLAIN = r"^[0-9]+\.?[0-9]*$"
 _SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
 
 
@@ -16,6 +19,13 @@ def _digits(value: Column) -> Column:
     return F.when(value.rlike(_NUMBER), F.replace(strip(value), F.lit("_"), F.lit("")))
 
 
+def _read(value: Column, kind: str | DataType) -> Column:
+    """The text of a finite number as a type, null if it is none or does not fit."""
+    return F.when(value.rlike(_PLAIN), value.try_cast(kind)).otherwise(
+        F.when(value != "", _digits(value)).try_cast(kind)
+    )
+
+
 def clean_number(value: Column) -> Column:
     """Number or null; blanks and other texts are null."""
     text = strip(value)
@@ -24,12 +34,12 @@ def clean_number(value: Column) -> Column:
 
 
 def finite_number(value: Column) -> Column:
-    return _digits(value).try_cast("double")
+    return _read(value, "double")
 
 
 def money(value: Column, default: Column | None = None) -> Column:
     """Amount with two decimals; ``default`` (null unless given) when blank or unreadable."""
-    amount = _digits(value).try_cast(MONEY)
+    amount = _read(value, MONEY)
     return amount if default is None else F.coalesce(amount, default.cast(MONEY))
 
 
@@ -43,13 +53,19 @@ def whole_number(value: Column) -> Column:
     return finite_number(value).try_cast("int")
 
 
+def does_not_fit(value: Column, read: Column) -> Column:
+    """Whether a text is a number, though one that ``read``, its reading, could not hold."""
+    return read.isNull() & finite_number(value).isNotNull()
+
+
 def positive_whole_number(value: Column) -> Column:
     number = whole_number(value)
     return F.when(number > 0, number)
 
 
 def quantity(value: Column) -> Column:
-    """How many copies a row stands for: at least one, and one when unreadable."""
+    """How many copies a row stands for: at least one, and one when unreadable. Rows whose number does not
+    fit are told by ``does_not_fit`` and kept from being imported."""
     return F.greatest(F.lit(1), F.coalesce(whole_number(value), F.lit(1)))
 
 

@@ -12,6 +12,7 @@ from hoardbook.functions.text import contains_any, is_filled, strip
 from hoardbook.operators.keysets import rows_with_keys
 from hoardbook.operators.patterns import leading_matches
 from hoardbook.operators.skew import join_one_to_many
+from hoardbook.sources.staging import staged
 
 NO_DATE = "9999-12-31"
 RECENT = 10
@@ -166,10 +167,19 @@ def library(catalog: Catalog, rows_per_task: int | None = None) -> DataFrame:
 def recent(catalog: Catalog, limit: int = RECENT, rows_per_task: int | None = None) -> DataFrame:
     """Newest purchases; the far-future placeholder date of the movie catalogue does not count."""
     spec = catalog.spec
+    order = [F.col("purchase_date").desc(), F.col("pi_id").asc()]
     rows = base(catalog, rows_per_task).where(F.col("purchase_date").isNotNull())
     if spec.drop_no_date:
         rows = rows.where(F.col("purchase_date") != F.lit(NO_DATE).cast("date"))
-    return rows.orderBy(F.col("purchase_date").desc(), "pi_id").limit(limit)
+    # Keys of the ``limit`` rows first, from four columns; then their copies and purchases in full.
+    keys = rows.select(spec.copy_id, "pi_id", "purchase_date").orderBy(*order).limit(limit)
+    keys = F.broadcast(staged(keys, "recent-keys"))
+    few = Catalog(
+        spec, catalog.titles,
+        catalog.copies.join(keys.select(F.col(spec.copy_id).alias("id")), "id", "left_semi"),
+        catalog.purchases.join(keys.select(F.col("pi_id").alias("id")), "id", "left_semi"),
+    )
+    return base(few, rows_per_task).where(F.col("pi_id").isNotNull()).orderBy(*order).limit(limit)
 
 
 def search(

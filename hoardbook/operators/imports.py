@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hoardbook.functions.numbers import money, whole_number
+from hoardbook.functions.numbers import does_not_fit, money, whole_number
 from hoardbook.functions.text import blank_to_null
 from hoardbook.operators.allocate import allocate_cost
 from hoardbook.operators.intake import (
@@ -27,6 +27,7 @@ from hoardbook.sources.staging import staged
 from hoardbook.sources.tables import conform
 
 MODES = ["sealed", "singles", "append"]
+AMOUNTS = ["price", "tax", "shipping", "other_fees"]
 REQUIRED_FIELDS = {
     "sealed": ["description", "purchase_date", "price"],
     "singles": ["description", "purchase_date"],
@@ -90,8 +91,12 @@ def _boxes(keyed: DataFrame) -> DataFrame:
     return conform(keyed, "acquisition", ("batch_id",))
 
 
-def _of_mode(manifest: DataFrame, mode: str) -> DataFrame:
-    return manifest.where(F.col("mode") == mode)
+def _of_mode(manifest: DataFrame, mode: str, rows: DataFrame | None = None) -> DataFrame:
+    """Batches of a mode; with their ``rows``, those of which every number could be held."""
+    wanted = manifest.where(F.col("mode") == mode)
+    if rows is None or "misfit" not in rows.columns:
+        return wanted
+    return wanted.join(rows.where("misfit <> ''").select("batch_id").distinct(), "batch_id", "left_anti")
 
 
 def import_sealed(
@@ -99,7 +104,7 @@ def import_sealed(
     items: DataFrame | None = None, rows_per_task: int | None = None,
 ) -> Import:
     """New sealed boxes: cards start without basis, then the box cost is allocated to them."""
-    sealed = _of_mode(manifest, "sealed")
+    sealed = _of_mode(manifest, "sealed", rows)
     batches = batches_with_summary(sealed, rows)
     keyed = _numbered(acquisition_rows(batches, keep=("n_cards",)), acquisitions)
 
@@ -147,7 +152,7 @@ def import_singles(
     rows_per_task: int | None = None,
 ) -> Import:
     """Single cards at the price paid: the purchase price is the sum of the bases."""
-    singles = _of_mode(manifest, "singles")
+    singles = _of_mode(manifest, "singles", rows)
     mine = rows_with_keys(rows, singles, "batch_id", ["row_pos"], rows_per_task)
     cards = staged(singles_basis(mine, overrides), "import-cards")
     paid = cards.groupBy("batch_id").agg(F.sum("cost_basis").alias("_paid"))
@@ -210,10 +215,11 @@ def import_append(
 
 def import_legacy_append(
     manifest: DataFrame, rows: DataFrame, acquisitions: DataFrame, items: DataFrame,
-    rows_per_task: int | None = None,
+    rows_per_task: int | None = None, status: str = "inventory",
 ) -> Import:
     """Additions by the older loader's rules: as-paid cards first, at their own basis, then
-    the batches that settle their boxes."""
+    the batches that settle their boxes. New items get ``status``."""
+    rows = rows.withColumn("status", F.lit(status))
     based = _with_basis(_of_mode(manifest, "append"))
     paid, spread = based.where(F.col("basis") == "as_paid"), based.where(F.col("basis") == "allocate")
     counts = batches_with_summary(paid, rows).select("batch_id", "basis", "n_cards")
@@ -257,9 +263,10 @@ def _legacy_cards(
 
 def import_legacy(
     manifest: DataFrame, rows: DataFrame, acquisitions: DataFrame | None = None,
-    items: DataFrame | None = None, rows_per_task: int | None = None,
+    items: DataFrame | None = None, rows_per_task: int | None = None, status: str = "inventory",
 ) -> Import:
-    """New purchases by the older loader's rules (``rows`` normalised with ``legacy=True``).
+    """New purchases by the older loader's rules (``rows`` normalised with ``legacy=True``). Items get
+    ``status``.
 
     The manifest may force the basis ('allocate' or 'as_paid'); singles default to as paid. The
     purchase price is what was paid, else the price given, else the market value. A card's
@@ -296,7 +303,7 @@ def import_legacy(
 
     def all_items() -> DataFrame:
         mine = rows_with_keys(rows, keyed, "batch_id", ["row_pos"], rows_per_task)
-        cards = _legacy_cards(manifest, keyed, mine, rows_per_task)
+        cards = _legacy_cards(manifest, keyed, mine, rows_per_task).withColumn("status", F.lit(status))
         new = staged(
             item_rows(cards, keyed.drop("basis"), items, rows_per_task, keep=("basis",)),
             "import-items",
@@ -360,11 +367,19 @@ def import_rejects(
         "_target", whole_key(F.col("acquisition_id"))
     )
     empty = (F.col("n_cards") == 0) & ~((intake == "manual") & (mode == "sealed"))
+    # A manifest may name the file of each upload.
+    no_file = is_blank("file_name") & (intake == "csv") if "file_name" in manifest.columns else F.lit(False)
+    too_large = F.concat_ws(", ", *[
+        F.when(does_not_fit(F.col(f), money(F.col(f))), F.lit(f)) for f in AMOUNTS if f in manifest.columns
+    ])
+    # The texts a user gets to see.
     reason = F.coalesce(
         F.when(~mode.isin(MODES), "Unknown import mode."),
         *[F.when(mode == m, missing(fields)) for m, fields in REQUIRED_FIELDS.items()],
         F.when((mode == "append") & is_blank("acquisition_id"),
                "Pick an existing box to append to."),
+        F.when((mode == "sealed") & (too_large != ""), F.concat(F.lit("Too large: "), too_large, F.lit("."))),
+        F.when(no_file, "Choose a TCGplayer CSV export to upload."),
         F.when(empty & (intake == "manual"), "Enter at least one card."),
         F.when(empty, "No cards parsed from that CSV — check the format."),
         F.when((mode == "append") & F.col("_exists").isNull(), "That box no longer exists."),
@@ -385,9 +400,13 @@ def row_rejects(rows: DataFrame) -> DataFrame:
     cards = rows.select(
         "batch_id", F.col("row_pos").alias("item_id"), "name", "game", "condition"
     )
-    return violations(cards, "item", ["batch_id"]).groupBy("batch_id").agg(
-        F.min("rule").alias("reason")
-    )
+    broken = violations(cards, "item", ["batch_id"]).select("batch_id", "rule")
+    if "misfit" in rows.columns:
+        too_large = rows.where("misfit <> ''").select(
+            "batch_id", F.concat("misfit", F.lit(" is too large")).alias("rule")
+        )
+        broken = broken.unionByName(too_large)
+    return broken.groupBy("batch_id").agg(F.min("rule").alias("reason"))
 
 
 def rule_rejects(result: Import) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hoardbook.functions import cards as c
 from hoardbook.functions.numbers import (
-    checkbox, clean_number, money, positive_whole_number, quantity, whole_number,
+    checkbox, clean_number, does_not_fit, money, positive_whole_number, quantity, whole_number,
 )
 from hoardbook.functions.text import blank_to_null, strip
 from hoardbook.operators.numbering import running_before
@@ -18,12 +18,23 @@ DEFAULT_TYPE = "sealed_box"
 CARD_COLUMNS = [
     "batch_id", "row_pos", "name", "game", "set_code", "collector_number", "variant",
     "condition", "market_value", "tcgplayer_product_id", "image_url", "paid", "quantity",
-    "has_paid_column",
+    "has_paid_column", "misfit",
 ]
 
 
+def _misfit(market_value: str, paid: str, copies: str) -> Column:
+    """The fields of a row whose numbers are too large to be held; '' if there is none."""
+    return F.concat_ws(", ", *[
+        F.when(does_not_fit(F.col(text), read(F.col(text))), F.lit(field))
+        for field, text, read in (
+            ("market_value", market_value, money), ("paid", paid, money), ("quantity", copies, whole_number),
+        )
+    ]).alias("misfit")
+
+
 def normalize_export(rows: DataFrame, legacy: bool = False) -> DataFrame:
-    """Named export rows, one output row each, with codes, amounts and a quantity.
+    """Named export rows, one output row each, with codes, amounts and a quantity. ``misfit`` names the
+    fields whose numbers are too large; their batches are rejected.
 
     ``legacy`` applies the older loader's rules: the number always loses its last word, the set
     comes from the number, and no game is told. It also keeps the price and paid texts.
@@ -46,7 +57,7 @@ def normalize_export(rows: DataFrame, legacy: bool = False) -> DataFrame:
         F.nullif("image_url", F.lit("")).alias("image_url"),
         money(F.col("paid")).alias("paid"),
         quantity(F.col("quantity")).alias("quantity"),
-        "has_paid_column",
+        "has_paid_column", _misfit("price", "paid", "quantity"),
         *([F.col("price").alias("price_text"), F.col("paid").alias("paid_text")] if legacy else []),
     )
     return out
@@ -72,6 +83,7 @@ def normalize_typed(rows: DataFrame) -> DataFrame:
         text("tcgplayer_product_id").alias("tcgplayer_product_id"),
         text("image_url").alias("image_url"), paid.alias("paid"),
         quantity(F.col("qty")).alias("quantity"), paid.isNotNull().alias("has_paid_column"),
+        _misfit("market_value", "paid", "qty"),
     )
 
 

@@ -233,6 +233,8 @@ LINE_TYPED = {
 TYPED_BATCH = "l_suppkey%5=4"
 SUPPLIER_MANIFEST = {
     "batch_id": "s_suppkey",
+    "file_name": "case when s_suppkey%5=4 then null when s_suppkey%31=9 then ' '"
+                 " else 'upload '||s_suppkey||'.csv' end",
     "mode": "case when s_suppkey%23=7 then 'bogus' else case s_suppkey%4 when 0 then 'sealed'"
             " when 1 then 'sealed' when 2 then 'singles' else 'append' end end",
     "intake": "case when s_suppkey%5=4 then 'manual' else 'csv' end",

@@ -230,6 +230,8 @@ RELATIONS = {
                 then 'Please fill in: ' || missing || '.'
             when mode = 'append' and coalesce(trim(acquisition_id), '') = ''
                 then 'Pick an existing box to append to.'
+            when intake <> 'manual' and coalesce(trim(file_name), '') = ''
+                then 'Choose a TCGplayer CSV export to upload.'
             when n_cards = 0 and intake = 'manual' and mode <> 'sealed'
                 then 'Enter at least one card.'
             when n_cards = 0 and intake <> 'manual'
@@ -361,6 +363,32 @@ RELATIONS = {
                 order by row_pos, copy_no) - 1 as card_index
             from (select *, unnest(range(quantity)) as copy_no from old_row)) c
         join old_box b on b.batch_id = c.batch_id""",
+    "la_batch": f"""
+        select *, cast((select count(*) from lineitem) + coalesce(sum(n_cards) over (
+                order by basis = 'allocate', md5(cast(batch_id as varchar)), batch_id
+                rows between unbounded preceding and 1 preceding), 0) as bigint) as first_item
+        from (select f.batch_id, try_cast(f.acquisition_id as bigint) as acquisition_id, n_cards,
+            {amount('f.price')} as given, {whole('f.packs_now')} as packs_now,
+            coalesce(f.basis, case when f.product_type = 'single' then 'as_paid' else 'allocate' end)
+                as basis
+        from manifest f join (select batch_id, cast(sum(quantity) as bigint) as n_cards
+            from old_row group by batch_id) s on s.batch_id = f.batch_id where f.mode = 'append')
+        where acquisition_id in (select o_orderkey from orders)""",
+    "la_box": """
+        select a.* exclude (packs_opened), cast(case when more is null then packs_opened
+            else coalesce(packs_opened, 0) + more end as integer) as packs_opened
+        from acquisition a join (select acquisition_id, sum(packs_now) as more from la_batch
+            group by acquisition_id) x on x.acquisition_id = a.acquisition_id""",
+    "la_item": """
+        select item_id, acquisition_id, name, market_value_at_open, status, cost_basis as held_basis
+            from item where acquisition_id in (select acquisition_id from la_batch)
+        union all select b.first_item + c.card_index + 1, b.acquisition_id, c.name, c.market_value,
+            'listed', cast(case when c.paid_text <> '' then c.paid when b.n_cards = 1
+                and b.given is not null then b.given else c.market_value end as decimal(12,2))
+        from (select * exclude (copy_no), row_number() over (partition by batch_id
+                order by row_pos, copy_no) - 1 as card_index
+            from (select *, unnest(range(quantity)) as copy_no from old_row)) c
+        join la_batch b on b.batch_id = c.batch_id""",
     "event": f"select {_columns(m.CHANGE_EVENTS)}, {_columns({'f_' + k: v for k, v in m.EVENT_FIELDS.items()})} from events",
     "bad_event": """
         select event_id, kind, reason from (select event_id, kind, case
@@ -1018,6 +1046,14 @@ QUERIES["boxes_sorted_all"] = " union all ".join(
         acquisition_id desc) as position, acquisition_id from acquisition where {keep}"""
     for name, keep in (("all", "true"), ("appendable", "status in ('sealed', 'partial')"))
 )
+QUERIES["import_legacy_append"] = f"""
+    select item_id, acquisition_id, name, settled as cost_basis, status
+        from ({_allocated('''select i.*, market_value_at_open as own_value, b.total_cost,
+            b.packs_total, b.packs_opened from la_item i join la_box b
+            on b.acquisition_id = i.acquisition_id where i.acquisition_id in
+            (select acquisition_id from la_batch where basis = 'allocate')''')}) x
+    union all select item_id, acquisition_id, name, held_basis, status from la_item
+        where acquisition_id not in (select acquisition_id from la_batch where basis = 'allocate')"""
 # Stored tables give what the tables they were made from give; cards added after others come behind them.
 QUERIES["box_pl_stored"] = QUERIES["box_pl"]
 QUERIES["merge_changes"] = QUERIES["apply_changes"]

@@ -126,7 +126,7 @@ def intake_export_dialects(t: Inputs):
 
 @query
 def intake_manual_rows(t: Inputs):
-    return intake.normalize_typed(t.typed_rows)
+    return intake.normalize_typed(t.typed_rows).drop("misfit")
 
 
 @query
@@ -587,7 +587,7 @@ def grading_report(t: Inputs):
 
 @query
 def intake_normalize(t: Inputs):
-    return intake.normalize_export(t.export_rows)
+    return intake.normalize_export(t.export_rows).drop("misfit")
 
 
 @query
@@ -721,6 +721,15 @@ def import_legacy_boxes(t: Inputs):
     return result.acquisitions.drop("created_at")
 
 
+@query
+def import_legacy_append(t: Inputs):
+    """Additions by the older rules, new items with a status of their own."""
+    result = imports.import_legacy_append(
+        t.manifest, t.legacy_rows, t.boxes, t.items, status="listed"
+    )
+    return result.items.select("item_id", "acquisition_id", "name", "cost_basis", "status")
+
+
 @query
 def import_legacy_rejects(t: Inputs):
     return imports.legacy_rejects(t.manifest, t.legacy_rows)

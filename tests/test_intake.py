@@ -375,3 +375,39 @@ def test_legacy_basis(manifest, legacy):
         ("forced", D("9.00"), "partial", None), ("given", D("7.00"), "opened", None),
         ("paid", D("2.00"), "opened", "A"), ("sealed", D("89.99"), "partial", None),
         ("value", D("5.00"), "opened", None)]
+
+
+def test_numbers_that_do_not_fit_reject_their_batch(spark, manifest, typed, tables):
+    """Three billion copies, or an amount beyond what a table holds: told by name, never misread."""
+    boxes, _ = tables
+    cards = typed(
+        dict(batch_id="ok", row_idx=1, name="a", qty="2147483647", market_value="9999999999.99"),
+        dict(batch_id="many", row_idx=1, name="b", qty="3000000000"), dict(batch_id="many", row_idx=2, name="c"),
+        dict(batch_id="dear", row_idx=1, name="d", market_value="12345678901.5", paid="1e300"),
+        dict(batch_id="odd", row_idx=1, name="e", qty="lots", market_value="n/a", paid="1_0.5"),
+    )
+    got = {r["name"]: (r["quantity"], r["misfit"]) for r in cards.collect()}
+    assert got == {"a": (2147483647, ""), "b": (1, "quantity"), "c": (1, ""), "d": (1, "market_value, paid"), "e": (1, "")}
+    assert dict(rows(imports.row_rejects(cards))) == {
+        "many": "quantity is too large", "dear": "market_value, paid is too large"}
+    few = cards.where("name <> 'a'")
+    batches = manifest(*[dict(SEALED, batch_id=b) for b in ("many", "dear", "odd")])
+    result = imports.import_sealed(batches, few)
+    assert rows(result.acquisitions, "batch_id") == [("odd",)] and rows(result.items, "name") == [("e",)]
+    priced = manifest(dict(SEALED, batch_id="odd", price="99999999999"), dict(SEALED, batch_id="dear", tax="1e200"))
+    assert dict(rows(imports.import_rejects(priced, few, boxes))) == {"odd": "Too large: price.", "dear": "Too large: tax."}
+
+
+def test_upload_without_a_file(spark, manifest, typed, tables):
+    boxes, _ = tables
+    csv = manifest(dict(SEALED, batch_id="b", intake="csv"), dict(SEALED, batch_id="f", intake="csv"), dict(SEALED, batch_id="m"))
+    named = csv.withColumn("file_name", F.when(F.col("batch_id") == "f", "x.csv"))
+    cards = typed(dict(batch_id="f", row_idx=1, name="n"), dict(batch_id="b", row_idx=1, name="n"))
+    assert dict(rows(imports.import_rejects(named, cards, boxes))) == {"b": "Choose a TCGplayer CSV export to upload."}
+
+
+def test_status_of_items_of_the_older_loader(manifest, legacy):
+    cards = legacy(("b", 1, "one", "S-1 R", "4.00", ""))
+    batch = manifest(dict(SEALED, batch_id="b", intake="csv"))
+    assert rows(imports.import_legacy(batch, cards).items, "status") == [("inventory",)]
+    assert rows(imports.import_legacy(batch, cards, status="keep").items, "status") == [("keep",)]
