@@ -1,5 +1,6 @@
 """Helpers shared by the operators: staged tables, balanced group totals, ranks, components."""
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,15 @@ def unstaged(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.staged_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    settle(*tables[:1])
+
+
+def settle(*tables: DataFrame) -> None:
+    """Let the shuffle files of finished jobs go now: Spark drops those whose plans are garbage, but looks
+    for garbage only every half hour by itself."""
+    for table in tables:
+        gc.collect()  # Python's frames hold plans too
+        table.sparkSession.sparkContext._jvm.System.gc()
 
 
 def extended(rows: DataFrame, columns: str) -> T.StructType:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hoardbook.llm.common import (
-    components, extended, keep_marked, staged, text_digest, unstaged, with_group_totals,
+    components, extended, keep_marked, settle, staged, text_digest, unstaged, with_group_totals,
 )
 
 WORDS, LEAST = 5, 0.8
@@ -257,6 +257,7 @@ def near_groups(
     sets = staged(sketched.select("_id", "bands", "sketch", "shingles").join(needed, "_id", "left_semi"), "sets")
     unstaged(sketched)
     near = staged(similarities(with_leader, sets), "near")
+    settle(near)
     links = near.where(F.col("similarity") >= least).select("a", "b")
     classes = staged(components(links, "near-components"), "classes")
     rest = staged(_left_over(shared, near, sets, classes, least, bands * rows), "rest")
@@ -405,4 +406,6 @@ def _meet(least: float, enough: int):
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) with one of each class of near duplicates."""
-    return keep_marked(docs, staged(near_groups(docs, carry={"_sha": text_digest()}, **options), "marks"))
+    marks = staged(near_groups(docs, carry={"_sha": text_digest()}, **options), "marks")
+    settle(marks)
+    return keep_marked(docs, marks)
