@@ -9,22 +9,15 @@ document holds; none of them is gathered. Documents are dealt into blocks of abo
 ``BLOCK_CHARS`` characters. A block hands in each of its distinct n-grams once, gets the probabilities
 back, and scores its documents with them, so what moves besides text is distinct n-grams a block, not
 distinct n-grams a document.
-
-``classes``, ``symbols``, ``grams`` and ``train`` are the model over 39 classes of characters that
-came before; no query uses that model.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hoardbook.llm.common import extended, staged, whole_row
+from hoardbook.llm.common import extended, staged, unstaged, whole_row
 
 ORDER = 4
-A = 40
-# Classes: 0 start, 1-26 letters without accents, then these.
-_UPPER, _DIGIT, _SPACE, _LINE, _STOP, _COMMA, _COLON, _QUOTE, _BRACKET, _MARK, _LETTER, _OTHER, _AGAIN = range(27, 40)
-_CLASS: np.ndarray | None = None
 # Texts count as if they had this many symbols of their language's usual perplexity besides.
 PRIOR_SYMBOLS = 100
 # A character is its code point + 1, in 21 bits; 0 stands before the start, _REPEAT for a repeated word.
@@ -34,49 +27,29 @@ BLOCK_CHARS = 2_000_000
 FENCE = 8.0
 
 
-def classes() -> np.ndarray:
-    """The class of every code point up to 0x2FFFF."""
-    global _CLASS
-    if _CLASS is None:
+_BLANK: np.ndarray | None = None
+
+
+def _blanks() -> np.ndarray:
+    """Which code points up to 0x2FFFF are white space or control characters."""
+    global _BLANK
+    if _BLANK is None:
         import unicodedata
 
-        table = np.full(0x30000, _OTHER, np.uint8)
-        for c in range(0x30000):
-            kind = unicodedata.category(chr(c))
-            if kind[0] == "L":
-                base = unicodedata.normalize("NFKD", chr(c))[0]
-                if kind in ("Lu", "Lt"):
-                    table[c] = _UPPER
-                else:
-                    table[c] = ord(base) - 96 if "a" <= base <= "z" else _LETTER
-            elif kind[0] == "N":
-                table[c] = _DIGIT
-            elif kind[0] in "ZC":
-                table[c] = _SPACE
-            elif kind[0] in "PS":
-                table[c] = _MARK
-        for chars, k in ((". ", _STOP), (",", _COMMA), (":;", _COLON), ("'\"-«»„“”‘’–—", _QUOTE), ("()[]{}", _BRACKET)):
-            for ch in chars:
-                table[ord(ch)] = k
-        for ch in " \t":
-            table[ord(ch)] = _SPACE
-        for ch in "\n\r":
-            table[ord(ch)] = _LINE
-        _CLASS = table
-    return _CLASS
+        _BLANK = np.array([unicodedata.category(chr(c))[0] in "ZC" for c in range(0x30000)])
+    return _BLANK
 
 
 def _points(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The text's code points, and their classes."""
+    """The text's code points, and which of them are blank."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return points, classes()[np.minimum(points, 0x2FFFF)]
+    return points, _blanks()[np.minimum(points, 0x2FFFF)]
 
 
-def _repeats(points: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+def _repeats(points: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """(last, keep): the last places of words that equal the word before them, and which places
     stay if each such word, with the white space before it, becomes one symbol at its last place.
     Words are compared by a hash of their code points."""
-    blank = (kind == _SPACE) | (kind == _LINE)
     edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     if len(starts) < 2:
@@ -101,24 +74,12 @@ def _repeats(points: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return last, keep
 
 
-def symbols(text: str) -> np.ndarray:
-    """The text's classes. A word that equals the word before it becomes one symbol, with the white
-    space between them."""
-    points, kind = _points(text)
-    again = _repeats(points, kind)
-    if again is None:
-        return kind
-    last, keep = again
-    kind = kind.copy()
-    kind[last] = _AGAIN
-    return kind[keep]
-
-
 def characters(text: str) -> np.ndarray:
-    """The text's characters as numbers; a repeated word is one, as in ``symbols``."""
-    points, kind = _points(text)
+    """The text's characters as numbers. A word that equals the word before it becomes one number,
+    with the white space between them."""
+    points, blank = _points(text)
     out = points.astype(np.int64) + 1
-    again = _repeats(points, kind)
+    again = _repeats(points, blank)
     if again is None:
         return out
     last, keep = again
@@ -126,26 +87,6 @@ def characters(text: str) -> np.ndarray:
     return out[keep]
 
 
-def grams(text: str, order: int = ORDER) -> np.ndarray:
-    """The text's n-grams as numbers to base ``A``, one per symbol, padded by start symbols."""
-    s = np.concatenate([np.zeros(order - 1, np.int64), symbols(text).astype(np.int64)])
-    out = np.zeros(len(s) - order + 1, np.int64)
-    for i in range(order):
-        out = out * A + s[i:len(s) - order + 1 + i]
-    return out
-
-
-def _count(batches):
-    total = np.zeros(A**ORDER, np.int64)
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            gram, n = np.unique(grams(text or ""), return_counts=True)
-            total[gram] += n
-    at = np.flatnonzero(total)
-    for some in np.array_split(at, max(1, len(at) // 65536)):
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-
 def _discounts(n1: int | None, n2: int | None, n3: int | None, n4: int | None) -> list[float]:
     """The discounts of n-grams that occur once, twice and more often, from the counts of counts."""
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.0
@@ -156,49 +97,6 @@ def _discounts(n1: int | None, n2: int | None, n3: int | None, n4: int | None) -
     ] if y else [0.5, 0.75, 0.9]
 
 
-def train(texts: DataFrame, order: int = ORDER) -> np.ndarray:
-    """Log-probability (base 2) of the last symbol of every n-gram, given the others.
-
-    Counts are gathered over all ``texts`` (one text column), per task first, then by n-gram.
-    Each lower order counts distinct left neighbours (continuations). Every order's counts are
-    joined with the totals of their contexts, sharded by context: sum of counts, and how many
-    n-grams occur once, twice, and more often; the three discounts follow from the counts of
-    counts. Orders are then interpolated from the uniform distribution upwards.
-    """
-    levels = {order: texts.mapInArrow(_count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))}
-    levels[order] = staged(levels[order], "ngrams")
-    for k in range(order - 1, 0, -1):
-        levels[k] = (
-            levels[k + 1].withColumn("gram", F.col("gram") % A**k).groupBy("gram")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-    below = np.full(1, 1 / (A - 1))
-    for k in range(1, order + 1):
-        level = levels[k].where(F.col("gram") % A > 0)  # the start symbol is never predicted
-        n1, n2, n3, n4 = level.agg(*[F.sum((F.col("n") == i).cast("int")) for i in (1, 2, 3, 4)]).first()
-        discounts = _discounts(n1, n2, n3, n4)
-        level = level.withColumn("context", F.floor(F.col("gram") / A))
-        totals = level.groupBy("context").agg(
-            F.sum("n").alias("total"),
-            *[F.sum((F.col("n") == i).cast("int")).alias(f"c{i}") for i in (1, 2)],
-            F.sum((F.col("n") > 2).cast("int")).alias("c3"),
-        )
-        discount = F.element_at(F.array(*map(F.lit, discounts)), F.least("n", F.lit(3)).cast("int"))
-        left = sum((F.col(f"c{i + 1}") * F.lit(d) for i, d in enumerate(discounts)), F.lit(0.0))
-        rows = level.join(totals, "context").select(
-            "gram", ((F.col("n") - discount) / F.col("total")).alias("p"),
-            (left / F.col("total")).alias("back"),
-        ).toPandas()  # at most A**k rows
-        own = np.zeros(A**k)
-        back = np.ones(A**(k - 1))
-        gram = rows["gram"].to_numpy(np.int64)
-        own[gram] = rows["p"]
-        back[gram // A] = rows["back"]
-        lower = below if k == 1 else below[np.arange(A**k) % A**(k - 1)]
-        below = own + np.repeat(back, A) * lower
-    return np.log2(np.maximum(below, 1e-9)).astype(np.float32)
-
-
 def _coded(texts: list[str]) -> tuple[np.ndarray, ...]:
     """(lengths, context, symbol, code): each text's number of symbols, and of all symbols in a row
     the three before each, itself, and a number that is the same for the same n-gram and follows
@@ -265,18 +163,18 @@ def _context(k: int) -> Column:
     return F.col("context").bitwiseAND(F.lit((1 << _BITS * k) - 1))
 
 
-def _levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+def _levels(counts: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], list[DataFrame]]:
     """Per order from 1 up, two tables: (context, symbol, own), the discounted share of an n-gram in
     its context, and (context, back), the weight of the next lower order. ``counts`` (context, symbol,
     n) are those of the highest; each lower order counts distinct left neighbours (continuations).
-    An order's three discounts follow from its counts of counts."""
+    An order's three discounts follow from its counts of counts. Also the tables staged for them."""
     levels = [counts]
     for k in range(ORDER - 1, 0, -1):
         levels.insert(0, staged(
             levels[0].groupBy(_context(k - 1).alias("context"), "symbol")
             .agg(F.count(F.lit(1)).alias("n")), "continuations",
         ))
-    out = []
+    out, used = [], []
     for level in levels:
         d1, d2, d3 = map(F.lit, _discounts(
             *level.agg(*[F.sum((F.col("n") == i).cast("int")) for i in (1, 2, 3, 4)]).first()
@@ -293,18 +191,19 @@ def _levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
             "context", "symbol", ((F.col("n") - discount) / F.col("total")).alias("own")
         )
         out.append((own, totals.select("context", "back")))
-    return out
+        used.append(totals)
+    return out, used + levels[:-1]
 
 
 def _probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """(context, symbol, p) of the distinct n-grams ``wanted`` (context, symbol), seen or not, by the
     model of ``counts``. Orders are interpolated from the uniform distribution over the characters
     seen and one unseen upwards; every join is by context."""
-    asked = [wanted]
+    asked = [wanted]  # the caller's table comes last and stays
     for k in range(ORDER - 2, -1, -1):
         asked.insert(0, staged(asked[0].select(_context(k).alias("context"), "symbol").distinct(), "asked"))
-    levels = _levels(counts)
-    lower = asked[0].withColumn("p", F.lit(1 / (levels[0][0].count() + 1)))
+    levels, used = _levels(counts)
+    lower, staged_lower = asked[0].withColumn("p", F.lit(1 / (levels[0][0].count() + 1))), []
     for k, (own, back) in enumerate(levels):
         below = lower.select(F.col("context").alias("_short"), "symbol", F.col("p").alias("_below"))
         lower = staged(
@@ -315,6 +214,9 @@ def _probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
                 (F.coalesce("own", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("_below")).alias("p"),
             ), "probabilities",
         )
+        unstaged(*staged_lower)
+        staged_lower = [lower]
+    unstaged(*asked[:-1], *used)
     return lower
 
 
@@ -335,12 +237,17 @@ def _scored(docs: DataFrame, ids: DataFrame, row: Column) -> DataFrame:
         grams.where("n > 0").groupBy("context", "symbol").agg(F.sum("n").alias("n")), "ngrams"
     )
     wanted = staged(grams.select("context", "symbol").distinct(), "asked")
-    bits = _probabilities(wanted, counts).select("context", "symbol", (-F.log2("p")).alias("bits"))
-    known = grams.join(bits, ["context", "symbol"]).select("block", "at", "bits")
+    likely = _probabilities(wanted, counts)
+    unstaged(wanted, counts)
+    bits = likely.select("context", "symbol", (-F.log2("p")).alias("bits"))
+    known = staged(grams.join(bits, ["context", "symbol"]).select("block", "at", "bits"), "known")
+    unstaged(grams, likely)
     schema = extended(rows.drop("_text", "block"), "_bits double, n_symbols bigint")
-    return staged(
+    scores = staged(
         rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score, schema), "scores"
     )
+    unstaged(known)
+    return scores
 
 
 def _quartiles(scored: DataFrame, trusted: DataFrame) -> tuple[DataFrame, dict]:

@@ -294,17 +294,61 @@ def test_quality_odd_rows(spark, odd):
     assert quality.judged(odd.where("false"), trusted).isEmpty()
 
 
-def test_probabilities_sum_to_one(spark, given):
-    table = quality.train(given.select("text"))
-    sums = np.exp2(table.astype(np.float64)).reshape(-1, quality.A)[:, 1:].sum(1)
-    assert abs(sums - 1).max() < 1e-4
+def test_repeated_words_are_one_symbol():
+    s = quality.characters("go go go on on, on.").tolist()
+    again = quality._REPEAT
+    assert s == [ord("g") + 1, ord("o") + 1, again, again, *[ord(c) + 1 for c in " on on, on."]]
+    assert (quality.characters("gogo go") != again).all()
 
 
-def test_repeated_words_are_one_symbol():
-    s = quality.symbols("go go go on on, on.")
-    again = quality._AGAIN
-    assert [int(x) for x in s] == [*quality.classes()[[ord("g"), ord("o")]], again, again, *quality.symbols(" on on, on.")]
-    assert (quality.symbols("gogo go") != again).all()
+def plain_kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney by dictionaries: a function of (context, symbol)."""
+    counts = [Counter() for _ in range(order + 1)]
+    for text in texts:
+        s = [0] * (order - 1) + quality.characters(text).tolist()
+        for i in range(order - 1, len(s)):
+            counts[order][tuple(s[i - order + 1:i + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        for gram in counts[k + 1]:
+            counts[k][gram[1:]] += 1
+    discounts, totals, kinds = {}, defaultdict(Counter), defaultdict(Counter)
+    for k in range(1, order + 1):
+        n = [sum(c == i for c in counts[k].values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        discounts[k] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0), i) for i in (1, 2, 3)]
+        for gram, c in counts[k].items():
+            totals[k][gram[:-1]] += c
+            kinds[k][gram[:-1], min(c, 3)] += 1
+
+    def p(context, symbol, k=order):
+        if k == 0:
+            return 1 / (len(counts[1]) + 1)
+        context = context[len(context) - (k - 1):] if k > 1 else ()
+        below = p(context[1:], symbol, k - 1)
+        total = totals[k][context]
+        if not total:
+            return below
+        c = counts[k][*context, symbol]
+        own = c - discounts[k][min(c, 3) - 1] if c else 0
+        back = sum(discounts[k][i - 1] * kinds[k][context, i] for i in (1, 2, 3))
+        return (own + back * below) / total
+
+    return p
+
+
+def test_model_against_dictionaries(spark, given):
+    """Perplexities of trusted and other texts, one by one."""
+    texts = {d: t for d, t in collected(given.where("length(text) between 1 and 1500"), "doc_id", "text")}
+    rows = [(d, t, "en") for d, t in texts.items()]
+    good = sorted(texts)[::2]
+    p = plain_kneser_ney([texts[d] for d in good], quality.ORDER)
+    docs, trusted = documents(spark, rows), spark.createDataFrame([(d,) for d in good], "doc_id bigint")
+    scored = quality._scored(docs, quality._trusted(trusted), F.struct("doc_id").alias("_row")).collect()
+    assert len(scored) == len(rows) > 60
+    for x in scored:
+        s = [0] * (quality.ORDER - 1) + quality.characters(texts[x["_doc"]]).tolist()
+        want = -sum(np.log2(p(tuple(s[i - quality.ORDER + 1:i]), s[i])) for i in range(quality.ORDER - 1, len(s)))
+        assert x["n_symbols"] == len(s) - quality.ORDER + 1 and x["_bits"] == pytest.approx(want, rel=1e-9)
 
 
 def test_quality_tells_scrambled_letters_of_any_script(spark):
@@ -681,3 +725,25 @@ def test_pipeline(spark):
         docs = common.staged(stage(spark, docs, SF), "test")
         assert docs.columns == columns, name
     assert set(corpus_pipeline.run(spark, SF).columns) >= {"doc_id", "sequence_id", "offset"}
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and long texts, repeated rows and clashing names through all five stages, and no rows."""
+    import corpus_pipeline
+
+    trusted = spark.createDataFrame([(4, 1, 0), (7, 1, 0), (11, 1, 0)], "doc_id bigint, quality int, toxic int")
+    folder = f"{common.shared_folder(spark)}/odd-tables"
+    trusted.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    rows, empty, texts = odd, odd.where("false"), []
+    for name, stage in corpus_pipeline.STAGES:
+        rows, empty = (common.staged(stage(spark, x, folder), "odd-stage") for x in (rows, empty))
+        assert empty.isEmpty() and empty.columns == rows.columns
+        if name != "packing":
+            assert rows.columns == odd.columns
+            texts.append([r["text"] for r in rows.select("text").collect()])
+    good, exact, near, mixed = texts
+    assert len(exact) == len({t or "" for t in good}) == len(set(t or "" for t in exact))
+    assert set(near) <= set(exact) and "one" in near
+    # A source's last document is cut where its budget ends.
+    assert mixed and all(any((whole or "").startswith(t) for whole in near) for t in mixed)
+    assert rows.agg(F.min("length")).first()[0] >= 1
