@@ -53,9 +53,9 @@ def _assign(least: float):
 KEY = ["dims", "cell"]
 
 
-def _ranked(rows: DataFrame, most: int) -> DataFrame:
-    """Of each cell the ``most`` vectors whose hashes are lowest."""
-    rank = F.row_number().over(W.partitionBy(*KEY).orderBy(F.xxhash64("id"), "id"))
+def _ranked(rows: DataFrame, most: int, salt: int = 0) -> DataFrame:
+    """Of each cell the ``most`` vectors whose hashes, with the salt, are lowest."""
+    rank = F.row_number().over(W.partitionBy(*KEY).orderBy(F.xxhash64(F.lit(salt), "id"), "id"))
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= most)
 
 
@@ -105,7 +105,7 @@ def cells(
 
     Pivots grow with the data: one for ``per`` vectors, those whose hashes are lowest, ``fan`` at most for
     one cut; cells of more than ``cell`` vectors are cut again, by pivots of their own. A cut is first tried
-    on ``TRIAL`` rows of a cell and made where it leaves at most ``WORTH`` of the comparisons and ``COPIES``
+    on ``TRIAL`` rows of a cell, drawn apart from the pivots, and made where it leaves at most ``WORTH`` of the comparisons and ``COPIES``
     copies of a row. Where the very first one is not worth making (vectors without clusters), ``first``
     pivots cut all vectors, and that is all. Vectors of different lengths have cells apart.
     """
@@ -122,7 +122,7 @@ def cells(
             done.append(level)
             break
         full = level.join(counts, KEY)
-        worth = staged(_worth(_cut(_ranked(full, TRIAL), full, fan, per, least, block)), "cells-worth")
+        worth = staged(_worth(_cut(_ranked(full, TRIAL, salt=1), full, fan, per, least, block)), "cells-worth")
         some = full.join(worth, KEY, "left_semi")
         rest = full.join(worth, KEY, "left_anti")
         done.append(level.join(counts, KEY, "left_anti"))
