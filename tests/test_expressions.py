@@ -128,3 +128,8 @@ def test_reasons(spark, tier, condition, amount, flag, median, reason):
         spark, column, t=(tier, "string"), c=(condition, "string"), v=(amount, "string"),
         f=(flag, "boolean"), m=(median, "double"),
     ) == reason
+
+
+def test_strip_reads_its_text_once(spark):
+    """Fields of a row are read together: long expressions make methods that the JVM does not compile."""
+    assert str(x.strip(F.col("typed"))).count("typed") == 1
