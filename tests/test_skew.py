@@ -55,6 +55,18 @@ def test_joins_are_plain_by_default(uneven):
     assert "_salt" not in plan
 
 
+def test_left_join_moves_the_kept_rows_once(table):
+    one = table([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "key int, wide string")
+    many = table([(1, 10), (1, 11), (3, 12), (4, 13), (None, 14)], "key int, n int")
+    joined = join_one_to_many(one, many, ["key"], ["n"], "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ReadSchema: struct<[^>]*wide", plan)) == 1
+    assert joined.columns == ["key", "wide", "n"]
+    assert rows(joined) == sorted(
+        [(1, "a", 10), (1, "a", 11), (2, "b", None), (3, "c", 12), (None, "d", None)], key=repr
+    )
+
+
 def test_key_sets(uneven):
     one, many = uneven
     keys = one.where("k in (7, 8, 149)")
