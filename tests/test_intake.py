@@ -130,6 +130,28 @@ def test_singles_basis(table, typed):
         (0, D("3.00"), False), (1, D("5.00"), True), (2, D("0.00"), False)]
 
 
+def test_entered_prices_are_not_broadcast(spark):
+    """They may be few rows that were expanded into one for every card."""
+    entered = spark.range(1).selectExpr(
+        "'a' as batch_id", "explode(sequence(0L, 99L)) as card_index", "'1' as paid"
+    )
+    lines = spark.range(1).selectExpr(
+        "'a' as batch_id", "0L as row_pos", "2 as quantity", "cast(1 as decimal(12,2)) as paid",
+        "cast(1 as decimal(12,2)) as market_value",
+    )
+    cards = imports.singles_basis(lines, entered)
+    plan = cards._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftOuter, BuildRight" not in plan
+
+
+def test_headers_are_stored_before_they_are_compared(spark, tmp_path):
+    """Else the cells of every line are formed."""
+    (tmp_path / "a.csv").write_text("Title,Number\nx,1\ny,2\n")
+    found = scan_exports(spark, str(tmp_path))
+    assert any("/file-headers-" in f for f in found.inputFiles())
+    assert found.count() == 2
+
+
 def test_sealed_import_then_append_equals_one_import(spark, manifest, typed, tmp_path):
     """Two days of opening end where one import of all cards with the same packs ends."""
     day1 = [dict(batch_id="b1", row_idx=i, name=f"c{i}", market_value=str(i)) for i in range(1, 5)]
