@@ -7,6 +7,7 @@ them, up to a bound, for the life of the worker process: natural text repeats mo
 import heapq
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 # Lower-case letters, numbers and white space of Latin-1, as the tokenizers' classes have them.
@@ -17,6 +18,8 @@ LATIN_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N
 SPLIT_ONLY = re.compile("[\x1c-\x1f]")
 REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
+# Texts of so many characters are learned from together, new pieces so many a call.
+LEARNED_CHARS, LEARNED_PIECES = 4_000_000, 1_000
 
 
 class Memory(dict):
@@ -41,6 +44,11 @@ class Memory(dict):
             self.clear()
         self[key] = value
 
+    def new(self, keys) -> list:
+        """Those of ``keys`` that are short enough to be remembered and are not yet."""
+        former = self.former
+        return [k for k in keys if k not in self and k not in former and len(k) <= LONGEST_REMEMBERED]
+
 
 def load(path: str):
     from tokenizers import Tokenizer
@@ -61,10 +69,20 @@ def plain(text: str) -> bool:
     return True
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str):
     """Text -> its ids as little-endian unsigned 32-bit numbers, as the library at ``path`` gives
     them without added special tokens."""
+    return _encoders(path)[0]
+
+
+def group_encoder(path: str):
+    """Texts -> the ids of each, as ``encoder`` gives them. New pieces of many texts go to the library
+    together, since a call costs as much as a piece."""
+    return _encoders(path)[1]
+
+
+@lru_cache(maxsize=4)
+def _encoders(path: str):
     import numpy as np
 
     tokenizer = load(path)
@@ -84,7 +102,37 @@ def encoder(path: str):
             return library(text)
         return b"".join(map(other.__getitem__, text.split()))
 
-    return encode
+    def learn(chunks):
+        chunks = latin.new(set().union(*chunks))
+        unknown = pieces.new(set(LATIN_PIECES.findall(" ".join(chunks))))
+        for first in range(0, len(unknown), LEARNED_PIECES):
+            part = unknown[first:first + LEARNED_PIECES]
+            found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(found.ids, "<u4").tobytes()
+            ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), "right")
+            start = 0
+            for key, end in zip(part, ends.tolist()):
+                pieces.keep(key, data[start:end])
+                start = end
+        for chunk in chunks:
+            latin.keep(chunk, b"".join(map(piece, LATIN_PIECES.findall(chunk))))
+
+    def encoded(texts):
+        chunks = [text.lower().split() if plain(text) else None for text in texts]
+        learn([some for some in chunks if some])
+        for text, some in zip(texts, chunks):
+            yield encode(text) if some is None else b"".join(map(latin.__getitem__, some))
+
+    def encode_all(texts: list[str]) -> Iterator[bytes]:
+        first = chars = 0
+        for at, text in enumerate(texts):
+            chars += len(text)
+            if chars >= LEARNED_CHARS:
+                yield from encoded(texts[first:at + 1])
+                first, chars = at + 1, 0
+        yield from encoded(texts[first:])
+
+    return encode, encode_all
 
 
 class Merges:

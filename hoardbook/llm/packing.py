@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hoardbook.llm.bpe import encoder
+from hoardbook.llm.bpe import group_encoder
 from hoardbook.llm.common import extended, staged, with_place
 
 WINDOW = 4096
@@ -96,13 +96,13 @@ def best_fit(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, in
 
 def _pieces(tokenizer: str, window: int, end_id: int, with_ids: bool):
     def run(batches):
-        encode = encoder(tokenizer)
+        encode = group_encoder(tokenizer)
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             rows, starts, lengths, sums, totals, ids = [], [], [], [], [], []
-            for row, text in enumerate(texts):
-                data = encode(text or "") + end
+            for row, data in enumerate(encode([text or "" for text in texts])):
+                data += end
                 n = len(data) // 4
                 for start in range(0, n, window):
                     part = data[4 * start:4 * (start + window)]

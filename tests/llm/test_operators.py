@@ -179,6 +179,31 @@ def test_tokens_of_any_character():
             assert list(np.frombuffer(encode(text), "<u4")) == ids and count(text) == len(ids), hex(c)
 
 
+def test_new_pieces_of_many_texts_go_to_the_library_together(monkeypatch):
+    path, calls = queries.tokenizer_path(), []
+    tokenizer = bpe.load(path)
+
+    class Counting:
+        def encode(self, *given, **how):
+            calls.append(given)
+            return tokenizer.encode(*given, **how)
+
+    r = np.random.default_rng(1)
+    words = ["".join(map(chr, r.integers(97, 123, r.integers(1, 12)))) for _ in range(3000)]
+    texts = [" ".join(w.title() + "'s," * (i % 3) for i, w in enumerate(words[at:at + 30])) for at in range(0, 3000, 25)]
+    texts += ["", " \n", "caf\xe9 Na\xefve 12 \xdf", "x" * 70 + " y", "\u4e2d\u6587 Text <|endoftext|> b", "a\x1cb", "\xad \xa0 \x85z", texts[0]]
+    monkeypatch.setattr(bpe, "load", lambda _: Counting())
+    monkeypatch.setattr(bpe, "LEARNED_CHARS", 5000)
+    monkeypatch.setattr(bpe, "REMEMBERED", 500)
+    bpe._encoders.cache_clear()
+    got = list(bpe.group_encoder(path)(texts))
+    bpe._encoders.cache_clear()
+    assert [list(np.frombuffer(g, "<u4")) for g in got] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+    assert len(calls) < 100
+
+
 # 3 vectors
 
 
