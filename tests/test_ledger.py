@@ -100,12 +100,35 @@ def test_locate(t):
     assert counts == {**parts, "total": sum(parts.values())}
 
 
+def test_search_by_location_joins_located_copies_only(t, capsys):
+    for kind in (t.media, t.games):
+        found = catalog.search(kind, location=" Shelf 1 ")
+        every = catalog.base(kind).where(F.contains("location_label", F.lit("Shelf 1")))
+        assert rows(found) == rows(every) and found.count()
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "LeftSemi" in plan
+
+
 def test_samples_depend_on_the_seed_only(t):
     first = rows(catalog.media_posters(t.media, seed=1))
     assert first == rows(catalog.media_posters(t.media, seed=1)) and len(first) == 30
     assert first != rows(catalog.media_posters(t.media, seed=2))
 
 
+def test_box_items_move_the_items_not_for_their_tiers(t, capsys):
+    """Each sale of an item, and an item without sales, carries the tier; one join brings both."""
+    candidates = grading.grade_candidates(t.items)
+    found = ledger.box_items(t.boxes, t.items, t.sales, candidates)
+    want = ledger.item_ledger_base(t.boxes, t.items, t.sales).join(
+        candidates.select("item_id", "tier"), "item_id", "left"
+    ).select(found.columns)
+    assert rows(found) == rows(want)
+    assert {"grade", "review", None} <= {r["tier"] for r in found.collect()}
+    found.explain()  # the tiers are read from where they were written
+    assert "/tiers-" in capsys.readouterr().out
+
+
 def test_fan_out_of_sales(t):
     assert ledger.item_ledger(t.boxes, t.items, t.sales).count() > t.items.count()
 
