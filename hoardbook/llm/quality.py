@@ -8,21 +8,27 @@ Counts, continuations and back-offs are tables, and so is the probability of eve
 document holds; none of them is gathered. Documents are dealt into blocks of about
 ``BLOCK_CHARS`` characters. A block hands in each of its distinct n-grams once, gets the probabilities
 back, and scores its documents with them, so what moves besides text is distinct n-grams a block, not
-distinct n-grams a document.
+distinct n-grams a document. Of the text, only ``1 / PORTIONS`` lies on disk as shuffle files at a time.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hoardbook.llm.common import extended, staged, unstaged, whole_row
+from hoardbook.llm.common import extended, settle, staged, unstaged, whole_row
 
 ORDER = 4
 # Texts count as if they had this many symbols of their language's usual perplexity besides.
 PRIOR_SYMBOLS = 100
 # A character is its code point + 1, in 21 bits; 0 stands before the start, _REPEAT for a repeated word.
 _BITS, _REPEAT = 21, 0x110001
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 8_000_000
+# A task codes so many characters of its block at a time.
+SLICE_CHARS = 1_000_000
+# Texts move in so many portions of the blocks, one after the other: the shuffle files of one go before the next.
+PORTIONS = 4
 # The judgement: upper quartile plus so many times the spread between the quartiles.
 FENCE = 8.0
 
@@ -97,31 +103,51 @@ def _discounts(n1: int | None, n2: int | None, n3: int | None, n4: int | None) -
     ] if y else [0.5, 0.75, 0.9]
 
 
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """The values' numbers from 0, the same for the same value, in the order of their first places."""
+    return pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def _coded(texts: list[str]) -> tuple[np.ndarray, ...]:
     """(lengths, context, symbol, code): each text's number of symbols, and of all symbols in a row
-    the three before each, itself, and a number that is the same for the same n-gram and follows
-    from the set of n-grams alone, not from the order of the texts."""
+    the three before each, itself, and the n-gram's number from 0."""
     parts = [characters(t) for t in texts]
     lengths = np.array([len(p) for p in parts], np.int64)
     pad = ORDER - 1
-    at = np.arange(int(lengths.sum())) + np.repeat(pad * np.arange(1, len(parts) + 1), lengths)
+    at = np.arange(int(lengths.sum())) + np.repeat(pad * np.arange(len(parts)), lengths)
     s = np.zeros(int(lengths.sum()) + pad * len(parts), np.int64)
     if len(at):
-        s[at] = np.concatenate(parts)
-    context = np.zeros(len(at), np.int64)
-    for back in range(pad, 0, -1):
-        context = (context << _BITS) | s[at - back]
-    seen = np.zeros(_REPEAT + 1, bool)
-    seen[s] = True
-    size = int(seen.sum())
-    if size**ORDER < 1 << 63:
-        ids = (np.cumsum(seen) - 1)[s]
-        code = np.zeros(len(at), np.int64)
-        for back in range(pad, -1, -1):
-            code = code * size + ids[at - back]
-    else:
-        code = (np.unique(context, return_inverse=True)[1].astype(np.int64) << _BITS) | s[at]
-    return lengths, context, s[at], code
+        s[at + pad] = np.concatenate(parts)
+    context = np.zeros(max(0, len(s) - pad), np.int64)
+    for k in range(pad):
+        context = (context << _BITS) | s[k:len(s) - pad + k]
+    context, symbol = context[at], s[at + pad]
+    return lengths, context, symbol, _numbered((_numbered(context) << _BITS) | symbol)
+
+
+def _block(texts: list[str]) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray, np.ndarray]:
+    """The distinct n-grams (context, symbol) of a block in their order, whatever that of the texts; before
+    them per slice of about ``SLICE_CHARS`` characters (lengths, code, place): the texts' numbers of symbols,
+    the n-gram's code of each symbol, and the n-gram's place for each code."""
+    slices, contexts, symbols = [], [], []
+    sizes = np.cumsum([0, *map(len, texts)]) // SLICE_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(sizes[:-1])) + 1).tolist(), len(texts)]
+    for start, end in zip(cuts, cuts[1:]):
+        lengths, context, symbol, code = _coded(texts[start:end])
+        some = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+        some[code] = np.arange(len(code))  # any place of each
+        contexts.append(context[some])
+        symbols.append(symbol[some])
+        slices.append((lengths, code.astype(np.int32)))
+    context, symbol = np.concatenate(contexts), np.concatenate(symbols)
+    order = np.lexsort((symbol, context))
+    context, symbol = context[order], symbol[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(context) != 0) | (np.diff(symbol) != 0)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    ends = np.cumsum([len(c) for c in contexts])[:-1]
+    return [(*x, p) for x, p in zip(slices, np.split(place, ends))], context[new], symbol[new]
 
 
 _GRAMS = "block bigint, at int, context bigint, symbol int, n bigint"
@@ -130,32 +156,37 @@ _GRAMS = "block bigint, at int, context bigint, symbol int, n bigint"
 def _block_grams(docs: pa.Table, trusted: pa.Table) -> pa.Table:
     """A block's distinct n-grams, numbered, and how often trusted documents hold them."""
     ids = set(trusted.column("_t").to_pylist())
-    lengths, context, symbol, code = _coded([t or "" for t in docs.column("_text").to_pylist()])
-    some, first, where = np.unique(code, return_index=True, return_inverse=True)
-    good = np.repeat(np.array([i in ids for i in docs.column("_doc").to_pylist()], bool), lengths)
+    slices, context, symbol = _block([t or "" for t in docs.column("_text").to_pylist()])
+    good = np.array([i in ids for i in docs.column("_doc").to_pylist()], bool)
+    n, start = np.zeros(len(context), np.int64), 0
+    for lengths, code, place in slices:
+        own = np.repeat(good[start:start + len(lengths)], lengths)
+        n[place] += np.bincount(code[own], minlength=len(place))
+        start += len(lengths)
     block = docs.column("block")[0].as_py() if docs.num_rows else 0
     return pa.table({
-        "block": pa.array(np.full(len(some), block), pa.int64()),
-        "at": pa.array(np.arange(len(some)), pa.int32()),
-        "context": pa.array(context[first], pa.int64()),
-        "symbol": pa.array(symbol[first], pa.int32()),
-        "n": pa.array(np.bincount(where[good], minlength=len(some)), pa.int64()),
+        "block": pa.array(np.full(len(n), block), pa.int64()),
+        "at": pa.array(np.arange(len(n)), pa.int32()),
+        "context": pa.array(context, pa.int64()),
+        "symbol": pa.array(symbol, pa.int32()),
+        "n": pa.array(n, pa.int64()),
     })
 
 
 def _score(docs: pa.Table, known: pa.Table) -> pa.Table:
     """The block's rows with bits and number of symbols; ``known`` has the bits of its n-grams."""
-    lengths, _, _, code = _coded([t or "" for t in docs.column("_text").to_pylist()])
-    some, where = np.unique(code, return_inverse=True)
-    table = np.full(len(some), np.nan)
+    slices, context, _ = _block([t or "" for t in docs.column("_text").to_pylist()])
+    table = np.full(len(context), np.nan)
     table[known.column("at").to_numpy()] = known.column("bits").to_numpy()
-    full = np.flatnonzero(lengths)
-    sums = np.zeros(len(lengths))
-    if len(full):  # each text is summed by itself, so the order of the texts does not matter
-        sums[full] = np.add.reduceat(table[where], (np.cumsum(lengths) - lengths)[full])
+    sums = []
+    for lengths, code, place in slices:
+        full = np.flatnonzero(lengths)
+        sums.append(np.zeros(len(lengths)))
+        if len(full):  # each text is summed by itself, so the order of the texts does not matter
+            sums[-1][full] = np.add.reduceat(table[place][code], (np.cumsum(lengths) - lengths)[full])
     return docs.drop_columns(["_text", "block"]).append_column(
-        "_bits", pa.array(sums, pa.float64())
-    ).append_column("n_symbols", pa.array(lengths, pa.int64()))
+        "_bits", pa.array(np.concatenate(sums), pa.float64())
+    ).append_column("n_symbols", pa.array(np.concatenate([x[0] for x in slices]), pa.int64()))
 
 
 def _context(k: int) -> Column:
@@ -223,31 +254,40 @@ def _probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
 def _scored(docs: DataFrame, ids: DataFrame, row: Column) -> DataFrame:
     """(_row, a struct; _doc, _lang, _bits, n_symbols) of every row, written once."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = lambda by: F.pmod(by, F.lit(max(1, -(-chars // BLOCK_CHARS)))).alias("block")
+    n = max(1, -(-chars // BLOCK_CHARS))
+    portions = min(PORTIONS, n)
+    blocks = lambda by: F.pmod(by, F.lit(n)).alias("block")
     rows = docs.select(
         row, F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang"), F.col("text").alias("_text"),
         blocks(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))),
     )
-    grams = staged(
-        rows.select("block", "_doc", "_text").groupBy("block")
-        .cogroup(ids.select("_t", blocks(F.xxhash64("_t"))).groupBy("block"))
-        .applyInArrow(_block_grams, _GRAMS), "block-ngrams",
-    )
+    trusted = ids.select("_t", blocks(F.xxhash64("_t")))
+    of = lambda table, p: table.where(F.col("block") % portions == p).groupBy("block")
+    grams = []
+    for p in range(portions):
+        grams.append(staged(
+            of(rows.select("block", "_doc", "_text"), p).cogroup(of(trusted, p)).applyInArrow(_block_grams, _GRAMS),
+            "block-ngrams",
+        ))
+        settle(docs)
+    every = reduce(DataFrame.unionByName, grams)
     counts = staged(
-        grams.where("n > 0").groupBy("context", "symbol").agg(F.sum("n").alias("n")), "ngrams"
+        every.where("n > 0").groupBy("context", "symbol").agg(F.sum("n").alias("n")), "ngrams"
     )
-    wanted = staged(grams.select("context", "symbol").distinct(), "asked")
+    wanted = staged(every.select("context", "symbol").distinct(), "asked")
     likely = _probabilities(wanted, counts)
     unstaged(wanted, counts)
     bits = likely.select("context", "symbol", (-F.log2("p")).alias("bits"))
-    known = staged(grams.join(bits, ["context", "symbol"]).select("block", "at", "bits"), "known")
-    unstaged(grams, likely)
     schema = extended(rows.drop("_text", "block"), "_bits double, n_symbols bigint")
-    scores = staged(
-        rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score, schema), "scores"
-    )
-    unstaged(known)
-    return scores
+    scores = []
+    for p, own in enumerate(grams):
+        known = own.join(bits, ["context", "symbol"]).select("block", "at", "bits")
+        scores.append(staged(
+            of(rows, p).cogroup(known.groupBy("block")).applyInArrow(_score, schema), "scores"
+        ))
+        unstaged(own)
+    unstaged(likely)
+    return reduce(DataFrame.unionByName, scores)
 
 
 def _quartiles(scored: DataFrame, trusted: DataFrame) -> tuple[DataFrame, dict]:

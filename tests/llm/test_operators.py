@@ -376,6 +376,53 @@ def test_model_against_dictionaries(spark, given):
         assert x["n_symbols"] == len(s) - quality.ORDER + 1 and x["_bits"] == pytest.approx(want, rel=1e-9)
 
 
+def test_block_ngrams_by_slices(monkeypatch):
+    """A block coded by slices numbers the same n-grams alike, whatever the order and the slices of its texts."""
+    texts = ["", prose(1, 40), "go go go", "天地人" * 9, prose(2, 60), "", prose(1, 40), "x"]
+    sizes = {}
+    for size, some in ((10**6, texts), (100, texts), (1, texts[::-1]), (1, []), (1, ["", ""])):
+        monkeypatch.setattr(quality, "SLICE_CHARS", size)
+        slices, context, symbol = quality._block(some)
+        want = []
+        for text in some:
+            s = [0] * (quality.ORDER - 1) + quality.characters(text).tolist()
+            want.append([((s[i - 3] << 42) | (s[i - 2] << 21) | s[i - 1], s[i]) for i in range(3, len(s))])
+        grams = list(zip(context.tolist(), symbol.tolist()))
+        assert grams == sorted({g for text in want for g in text})
+        assert [n for lengths, _, _ in slices for n in lengths] == [len(text) for text in want]
+        assert [grams[i] for _, code, place in slices for i in place[code]] == [g for text in want for g in text]
+        sizes[size, len(some)] = len(slices)
+    assert sizes[10**6, 8] == 1 and sizes[100, 8] > 3
+
+
+def test_quality_moves_texts_in_portions(spark, monkeypatch):
+    docs = documents(spark, [(i, prose(i, 30 + i), "en") for i in range(80)] + [(None, "none", "en"), (3, None, None)])
+    trusted = spark.createDataFrame([(i,) for i in range(0, 80, 2)], "doc_id bigint")
+    held, write = [], quality.staged
+
+    def staged(table, name):
+        out = write(table, name)
+        if name == "block-ngrams":
+            held.append({r["block"] for r in out.select("block").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(quality, "staged", staged)
+    def scored():
+        table = quality._scored(docs, quality._trusted(trusted), F.struct("doc_id").alias("_row"))
+        return sorted((tuple(r) for r in table.collect()), key=repr)
+
+    want = scored()
+    assert len(held) == 1 and len(want) == 82
+    held.clear()
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 500)
+    got = scored()
+    near = lambda table: [(*r[:3], pytest.approx(r[3], rel=1e-9), r[4]) for r in table]
+    assert got == near(want)
+    every = set().union(*held)
+    assert len(every) > 20 and sum(map(len, held)) == len(every)
+    assert len(held) == quality.PORTIONS and max(map(len, held)) <= 0.5 * len(every)
+
+
 def test_quality_tells_scrambled_letters_of_any_script(spark):
     r = random.Random(3)
     scripts = {
