@@ -24,11 +24,11 @@ LEARNED_CHARS, LEARNED_PIECES = 4_000_000, 1_000
 
 class Memory(dict):
     """A dictionary that fills itself by ``make``. When full it starts anew and asks its former
-    content first, so what is in use stays and the size is bounded by twice ``REMEMBERED``."""
+    content first, so what is in use stays and the size is bounded by twice ``shares * REMEMBERED``."""
 
-    def __init__(self, make):
+    def __init__(self, make, shares: int = 1):
         super().__init__()
-        self.make, self.former = make, {}
+        self.make, self.shares, self.former = make, shares, {}
 
     def __missing__(self, key):
         value = self.former.get(key)
@@ -39,7 +39,7 @@ class Memory(dict):
         return value
 
     def keep(self, key, value):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.shares * REMEMBERED:
             self.former = dict(self)
             self.clear()
         self[key] = value
@@ -90,9 +90,12 @@ def _encoders(path: str):
     def library(text):
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    pieces = Memory(library)
-    piece = pieces.__getitem__
-    latin = Memory(lambda chunk: b"".join(map(piece, LATIN_PIECES.findall(chunk))))
+    def joined(chunk):
+        found = LATIN_PIECES.findall(chunk)
+        return library(chunk) if len(found) == 1 else b"".join(map(latin.__getitem__, found))
+
+    # Chunks and their pieces in one: most chunks are one piece, and room for them is scarce.
+    latin = Memory(joined, shares=2)
     other = Memory(library)
 
     def encode(text: str) -> bytes:
@@ -104,7 +107,7 @@ def _encoders(path: str):
 
     def learn(chunks):
         chunks = latin.new(set().union(*chunks))
-        unknown = pieces.new(set(LATIN_PIECES.findall(" ".join(chunks))))
+        unknown = latin.new(set(LATIN_PIECES.findall(" ".join(chunks))))
         for first in range(0, len(unknown), LEARNED_PIECES):
             part = unknown[first:first + LEARNED_PIECES]
             found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -112,10 +115,10 @@ def _encoders(path: str):
             ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), "right")
             start = 0
             for key, end in zip(part, ends.tolist()):
-                pieces.keep(key, data[start:end])
+                latin.keep(key, data[start:end])
                 start = end
         for chunk in chunks:
-            latin.keep(chunk, b"".join(map(piece, LATIN_PIECES.findall(chunk))))
+            latin[chunk]
 
     def encoded(texts):
         chunks = [text.lower().split() if plain(text) else None for text in texts]

@@ -204,6 +204,31 @@ def test_new_pieces_of_many_texts_go_to_the_library_together(monkeypatch):
     assert len(calls) < 100
 
 
+def test_pieces_and_chunks_share_the_memory(monkeypatch):
+    """A chunk that is one piece is remembered once, so that there is room for more of them."""
+    path, handed = queries.tokenizer_path(), []
+    tokenizer = bpe.load(path)
+
+    class Counting:
+        def encode(self, given, **how):
+            handed.extend([given] if isinstance(given, str) else given)
+            return tokenizer.encode(given, **how)
+
+    r = np.random.default_rng(2)
+    words = sorted({"".join(map(chr, r.integers(97, 123, 9))) for _ in range(500)})
+    texts = [" ".join(words[at:at + 50]) + ", " + words[at] + "!" for at in range(0, 500, 50)]
+    monkeypatch.setattr(bpe, "load", lambda _: Counting())
+    monkeypatch.setattr(bpe, "LEARNED_CHARS", 400)
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    bpe._encoders.cache_clear()
+    got = list(bpe.group_encoder(path)(texts * 3))
+    bpe._encoders.cache_clear()
+    assert [list(np.frombuffer(g, "<u4")) for g in got] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in texts
+    ] * 3
+    assert len(handed) <= len(words) + 2
+
+
 # 3 vectors
 
 
