@@ -195,6 +195,7 @@ def similarities(pairs: DataFrame, sets: DataFrame, rows_per_task: int = 5_000)
         "a", "b", "_parts", F.pmod(F.xxhash64("a"), F.col("_parts")).alias("_part")
     )
     counted = staged(counted, "pairs")
+    settle(counted)
     left = counted.join(
         sets.select(F.col("_id").alias("a"), F.col("shingles").alias("a_shingles")), "a"
     )
@@ -240,6 +241,7 @@ def near_groups(
         with_group_totals(narrow.where("n > 0"), ["same"], ["_id"], {"rep": ("min", "_id")}), "alike"
     )
     without = staged(narrow.where("n = 0").select(*plain), "without-words")
+    settle(alike)
     reps = alike.where("_id = rep").select("_id")
     buckets = sketched.select("_id", "n", "bands").where("n > 0").join(reps, "_id").select(
         "_id", "n", F.posexplode("bands").alias("band", "bucket")
@@ -250,6 +252,7 @@ def near_groups(
         ).where("members > 1").select("band", "bucket", "_id", "n", "leader"),
         "buckets",
     )
+    settle(shared)
     with_leader = shared.where("_id <> leader").select(
         F.col("_id").alias("a"), F.col("leader").alias("b")
     ).distinct()
@@ -264,9 +267,11 @@ def near_groups(
     unstaged(shared, near, sets)
     # Every class is a star around its smallest member; the links found last join stars.
     stars = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    classes = components(stars.unionByName(rest), "near-components").select(
-        F.col("node").alias("rep"), "component"
+    classes = staged(
+        components(stars.unionByName(rest), "near-components").select(F.col("node").alias("rep"), "component"),
+        "classes",
     )
+    settle(classes)
 
     joined = alike.join(classes, "rep", "left").select(
         *plain, F.coalesce("component", "rep").alias("component")
@@ -325,6 +330,7 @@ def _left_over(
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), parts(n) - 1))
     columns = ["band", "bucket", "ring", "_id", "n", "class", "similarity", "bands", "sketch", "shingles"]
     counted = staged(counted, "meetings")
+    settle(counted)
     full = counted.join(sets, "_id")
     probes = full.where("left = 1").select(*columns, number("_l").alias("lb"), upto("_r").alias("rb"))
     others = full.where("left = 0").select(*columns, number("_r").alias("rb"), upto("_l").alias("lb"))

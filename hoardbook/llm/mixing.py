@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from hoardbook.llm.common import staged, whole_row, with_place
+from hoardbook.llm.common import settle, staged, whole_row, with_place
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -136,10 +136,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(
         whole_row(docs), F.col("doc_id"), F.col("source"), F.col("text"), size.alias("size")
     )
-    shares = mix(rows.select("doc_id", "source", "size"), **options).where("taken > 0").select(
+    shares = staged(mix(rows.select("doc_id", "source", "size"), **options).where("taken > 0").select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_src"), F.col("size").alias("_sz"),
         F.col("copy").alias("_nth"), "taken", "alike",
-    )
+    ), "shares")  # read three times below
+    settle(shares)
     on = (
         F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_src"))
         & (F.col("size") == F.col("_sz"))

@@ -291,14 +291,16 @@ def _scored(docs: DataFrame, ids: DataFrame, row: Column) -> DataFrame:
 
 
 def _quartiles(scored: DataFrame, trusted: DataFrame) -> tuple[DataFrame, dict]:
-    """Quartiles of the trusted documents' bits per symbol, (_l, low, middle, high) by language
+    """The last step to read the staged ids ``trusted``. Quartiles of the trusted documents' bits per symbol, (_l, low, middle, high) by language
     and those of all. Rates are rounded to a thousandth of a bit, so quantiles are exact over
     counts of few distinct values."""
-    rates = (
+    rates = staged(
         scored.where("n_symbols > 0").join(trusted, F.col("_doc") == F.col("_t"), "left_semi")
         .select("_lang", F.round(F.col("_bits") / F.col("n_symbols"), 3).alias("rate"))
-        .groupBy("_lang", "rate").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("_lang", "rate").agg(F.count(F.lit(1)).alias("n")),
+        "rates",
     )
+    unstaged(trusted)
     quartiles = [
         F.expr(f"percentile(rate, {q}, n)").alias(name)
         for q, name in ((0.25, "low"), (0.5, "middle"), (0.75, "high"))
@@ -320,7 +322,8 @@ def _judge(scored: DataFrame, each: DataFrame, overall: dict, fence: float, prio
 
 
 def _trusted(trusted: DataFrame) -> DataFrame:
-    return trusted.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct()
+    """The distinct ids, written once: every portion of the text and the quartiles read them."""
+    return staged(trusted.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct(), "trusted")
 
 
 def judged(

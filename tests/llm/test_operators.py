@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with every odd case."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -84,6 +85,48 @@ def test_components_follow_links(spark):
     assert sorted(collected(found, "node", "component")) == sorted(want.items())
 
 
+def scans(table):
+    """How many scans the table's plan holds: what the driver plans, describes and keeps grows with them."""
+    return table._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_rounds_of_components_have_small_plans_and_go(spark, monkeypatch):
+    write, plans, paths = common.staged, [], []
+
+    def staged(table, name):
+        plans.append(scans(table))
+        out = write(table, name)
+        paths.append(out.staged_at.removeprefix("file:"))
+        return out
+
+    monkeypatch.setattr(common, "staged", staged)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a bigint, b bigint")
+    assert {r["component"] for r in common.components(edges).collect()} == {0}
+    assert len(plans) > 3 and max(plans[1:]) <= 4
+    assert [os.path.exists(path) for path in paths] == [False] * (len(paths) - 1) + [True]
+
+
+def test_plans_of_quality_and_mixing_are_small(spark, monkeypatch):
+    docs = documents(spark, [(i, prose(i, 30 + i), "en", "a") for i in range(20)])
+    trusted = spark.createDataFrame([(i,) for i in range(0, 20, 2)], "doc_id bigint").union(
+        spark.createDataFrame([(2,)], "doc_id bigint")
+    )
+    write, plans = quality.staged, defaultdict(list)
+
+    def staged(table, name):
+        plans[name].append(table._jdf.queryExecution().optimizedPlan().toString())
+        return write(table, name)
+
+    monkeypatch.setattr(quality, "staged", staged)
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 500)
+    assert 0 < quality.keep_good(docs, trusted).count() <= 20
+    # The trusted ids are made distinct once, and the rates are counted once for all quartiles.
+    assert len(plans["block-ngrams"]) == quality.PORTIONS
+    assert not any("Aggregate" in plan for plan in plans["block-ngrams"])
+    assert [len(plans[name]) for name in ("trusted", "rates")] == [1, 1]
+    assert mixing.mixed_documents(docs).count() and scans(mixing.mixed_documents(docs)) <= 6
+
+
 def test_places_without_sorting_a_group(spark):
     rows = spark.range(3000).selectExpr("id % 3 as g", "id", "md5(cast(id as string)) as h", "id % 7 as v")
     rows = common.staged(rows, "test")
