@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hoardbook.sources.exports import export_rows, header_dictionary, scan_exports
-from hoardbook.sources.records import cells, part_starts, records, scan_lines
+from hoardbook.sources.records import _ends_inside, cells, part_starts, records, scan_lines
 
 
 @contextlib.contextmanager
@@ -115,6 +115,50 @@ def test_cells_up_to_a_width(spark):
     assert two == [row[:2] for row in whole]
 
 
+def machine(line, inside):
+    """The state after a line, and its cells, read character by character."""
+    state, done, cell = ("quoted" if inside else "start"), [], ""
+    for ch in line:
+        if state == "quoted":
+            state, cell = ("closed", cell) if ch == '"' else (state, cell + ch)
+        elif ch == ",":
+            state, cell = "start", done.append(cell) or ""
+        elif ch == '"' and state in ("start", "closed"):
+            state, cell = "quoted", cell + ('"' if state == "closed" else "")
+        else:
+            state, cell = "plain", cell + ch
+    return state == "quoted", [*done, cell]
+
+
+def test_lines_like_a_reader_of_characters(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice('"",a \x85\u2028') for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    texts += ["," * 30_000 + '"', '"a",' * 20_000 + '"x', '""' * 20_000 + '"']
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = frame.select("t", _ends_inside(F.col("t"), False), _ends_inside(F.col("t"), True), cells(F.col("t"))).collect()
+    assert all((b, c, d) == (machine(t, False)[0], machine(t, True)[0], machine(t, False)[1]) for t, b, c, d in got)
+
+
+def test_lines_are_not_read_by_interpreted_loops(spark):
+    frame = spark.createDataFrame([("a",)], "t string").select(_ends_inside(F.col("t"), True), cells(F.col("t")))
+    assert "aggregate" not in frame._jdf.queryExecution().analyzed().toString()
+
+
+def test_only_lines_that_may_be_of_longer_records_move_twice(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title\n" + 'plain,""\n' * 100 + '"two\nlines"\n')
+    lines = scan_lines(spark, str(tmp_path))
+    plan = records(lines, part_starts(lines))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("out_before#") > 2 and " OR ((part#" in plan
+
+
+def test_files_in_any_folders(spark, tmp_path):
+    for folder in ("a=1/b=x", "a=2/b=y", "other"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "one.csv").write_text("Title\nx\n")
+    rows = export_rows(scan_exports(spark, str(tmp_path), any_folder=True)).collect()
+    assert sorted(row["name"] for row in rows) == ["x"] * 3
+
+
 DIALECTS = {
     "a.csv": "Product Name,Add to Quantity,Paid\nOne,2,3.5\n",
     "b.csv": "Total Quantity,Title\n4,Two\n",
