@@ -152,6 +152,15 @@ def test_headers_are_stored_before_they_are_compared(spark, tmp_path):
     assert found.count() == 2
 
 
+def test_shares_of_an_import_are_a_table(spark):
+    """Spark knows their size, so the items are not taken for the smaller side and broadcast."""
+    boxes = spark.sql("select 1L as acquisition_id, 2 as packs_opened, 4 as packs_total, cast(8 as decimal(12,2)) as total_cost, 7 as batch_id")
+    items = spark.sql("select id as item_id, 1L as acquisition_id, cast(id as decimal(12,2)) as market_value_at_open, cast(null as decimal(12,2)) as cost_basis from range(1, 4)")
+    settled = imports._settled(boxes, items, None)
+    assert settled._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted((r["item_id"], str(r["cost_basis"])) for r in settled.collect()) == [(1, "0.67"), (2, "1.33"), (3, "2.00")]
+
+
 def test_sealed_import_then_append_equals_one_import(spark, manifest, typed, tmp_path):
     """Two days of opening end where one import of all cards with the same packs ends."""
     day1 = [dict(batch_id="b1", row_idx=i, name=f"c{i}", market_value=str(i)) for i in range(1, 5)]
