@@ -129,6 +129,13 @@ def test_box_items_move_the_items_not_for_their_tiers(t, capsys):
     assert "/tiers-" in capsys.readouterr().out
 
 
+def test_items_without_sales_are_found_without_their_boxes(t):
+    """The boxes are joined once, to the items, and not again to find the items without sales."""
+    plan = ledger.item_ledger(t.boxes, t.items, t.sales)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_orderkey#") and plan.count("orders.parquet") <= 1 and plan.count("LeftAnti") == 1
+    assert plan.count("Join Inner") == 4  # items and boxes, these and sales, parts twice
+
+
 def test_fan_out_of_sales(t):
     assert ledger.item_ledger(t.boxes, t.items, t.sales).count() > t.items.count()
 
