@@ -11,6 +11,7 @@ from hoardbook.operators.keysets import rows_with_keys, rows_without_keys
 from hoardbook.operators.numbering import assign_keys, running_before
 from hoardbook.operators.patterns import match_patterns
 from hoardbook.operators.skew import hot_keys, join_one_to_many
+from hoardbook.sources.tables import read_numbered
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +68,18 @@ def test_left_join_moves_the_kept_rows_once(table):
     )
 
 
+def test_rows_of_several_files_are_numbered_where_they_are(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = read_numbered(spark, str(tmp_path / "t"), "n")
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["n"] for r in found.collect()) == list(range(1, 31))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_key_sets(uneven):
     one, many = uneven
     keys = one.where("k in (7, 8, 149)")
